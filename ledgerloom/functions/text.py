@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Columns removed when a frame leaves the controlled area.
-PII_COLUMNS = ["user_name", "ip_address", "policy_no", "participant_no"]
+# Fields masked to their last characters, and fields removed.
+SENSITIVE_FIELDS = ["account_number", "policy_holder_id", "ssn", "tax_id"]
+PII_FIELDS = ["name", "email", "phone", "address"]
 
 
 def clean_reference(text: Column) -> Column:
@@ -23,9 +24,9 @@ def clean_description(text: Column) -> Column:
 
 
 def masked(text: Column, keep: int = 4) -> Column:
-    """Stars in place of all but the last ``keep`` characters; short text is all stars."""
+    """Stars in place of all but the last ``keep`` characters; short text is only stars."""
     size = F.length(text)
-    return F.when(size <= keep, F.repeat(F.lit("*"), size)).otherwise(
+    return F.when(size <= keep, F.lit("*" * keep)).otherwise(
         F.concat(F.repeat(F.lit("*"), size - keep), F.right(text, F.lit(keep)))
     )
 

@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SETTING = "spark.checkpoint.dir"
 
@@ -36,3 +37,12 @@ def cut(df: DataFrame, name: str = "frame") -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small_side(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
+    """Broadcast a configuration table after counting it.
+
+    Beyond ``max_rows`` the frame is returned as it is and Spark picks the join.
+    """
+    counted = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if counted <= max_rows else df
