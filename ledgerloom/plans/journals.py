@@ -21,13 +21,6 @@ from ledgerloom.scratch import small_side
 
 START_OF_JOURNALS = date(2019, 5, 1)
 
-GL_ITEM = (
-    "struct<acc_debit:string,acc_credit:string,amount:decimal(20,2),journal_line_number:int,"
-    + ",".join(f"t_{i}:string" for i in range(1, 11))
-    + ">"
-)
-
-
 def setting_active(day: Column, mode: str = "either") -> Column:
     """Whether a setting (status, status2, journal_set) applies on ``day``.
 
@@ -62,23 +55,70 @@ def gate_status(day: Column, start: date = START_OF_JOURNALS) -> Column:
     return F.when(day >= F.lit(start), 0).otherwise(1)
 
 
+# A configured line as it is used: where it stands in process order and which
+# later lines (with a positive amount) would overwrite its journal line number.
+POSITIONED = LINE_CONFIG[:-1] + ",pos:int,later:array<struct<data_idx:int,amount:decimal(20,2)>>>"
+
+_LINE_CONFIG_FIELDS = [
+    "journal_line_number", "process_line_number", "account_code", "d_c_marker", "data_idx",
+    "account_flag", "transaction_amount", *[f"t{i}_code" for i in range(1, 11)],
+]
+
+
+def in_process_order(rows: Column) -> Column:
+    """By process line, then journal line (missing ones last), with positions."""
+
+    def key(x: Column) -> Column:
+        p, n = x["process_line_number"], x["journal_line_number"]
+        return F.struct(
+            p.isNull().alias("a"), F.coalesce(p, F.lit(0)).alias("b"),
+            n.isNull().alias("c"), F.coalesce(n, F.lit(0)).alias("d"),
+        )
+
+    ordered = F.array_sort(
+        rows, lambda x, y: F.when(key(x) < key(y), -1).when(key(x) > key(y), 1).otherwise(0)
+    )
+    numbered = F.transform(ordered, lambda x, i: F.struct(i.alias("pos"), x.alias("row")))
+
+    def positioned(x: Column) -> Column:
+        row = x["row"]
+        later = F.filter(
+            numbered,
+            lambda y: (y["pos"] > x["pos"])
+            & (y["row"]["journal_line_number"] == row["journal_line_number"]),
+        )
+        return F.struct(
+            *[row[f].alias(f) for f in _LINE_CONFIG_FIELDS],
+            x["pos"].alias("pos"),
+            F.transform(
+                later,
+                lambda y: F.struct(
+                    y["row"]["data_idx"].alias("data_idx"),
+                    y["row"]["transaction_amount"].alias("amount"),
+                ),
+            ).alias("later"),
+        )
+
+    return F.transform(numbered, positioned).cast(f"array<{POSITIONED}>")
+
+
 def reversal_rows(lines: Column, config: Column) -> Column:
     """Line configuration of a reversal from the original journal's lines."""
+    none = F.array(F.lit(None).cast(LINE_CONFIG))
 
     def one(line: Column, cfg: Column) -> Column:
+        number = line["journal_line_number"].cast("int")
         return F.struct(
-            line["journal_line_number"].cast("int").alias("journal_line_number"),
+            number.alias("journal_line_number"),
             cfg["process_line_number"].alias("process_line_number"),
             line["account_code"].alias("account_code"),
             C.opposite_side(line["d_c_marker"]).alias("d_c_marker"),
-            (line["journal_line_number"].cast("int") - 1).alias("data_idx"),
+            (number - 1).alias("data_idx"),
             cfg["account_flag"].alias("account_flag"),
             line["transaction_amount"].cast("decimal(20,2)").alias("transaction_amount"),
             *[line[f"t{i}"].alias(f"t{i}_code") for i in range(1, 11)],
         )
 
-    none = F.array(F.lit(None).cast(LINE_CONFIG))
-
     def matching(line: Column) -> Column:
         hits = F.filter(
             config, lambda c: c["journal_line_number"] == line["journal_line_number"].cast("int")
@@ -88,86 +128,50 @@ def reversal_rows(lines: Column, config: Column) -> Column:
     return F.flatten(F.transform(lines, matching))
 
 
-def _expanded(cfg: Column) -> Column:
-    """One configured line applied to its source row (columns in scope)."""
-    idx = cfg["data_idx"]
-    t = [
-        C.tcode(cfg[f"t{i}_code"], F.col(f"t{i}"), idx if i >= 8 else None).alias(f"t{i}")
-        for i in range(1, 11)
-    ]
-    amount = A.line_amount(cfg["transaction_amount"], F.col("transaction_amount"), idx)
-    return F.struct(
-        cfg["process_line_number"].alias("process_line_number"),
-        cfg["journal_line_number"].alias("journal_line_number"),
-        cfg["account_flag"].alias("account_flag"),
-        C.account_code(cfg["account_code"], F.col("account_code"), idx).alias("account_code"),
-        cfg["d_c_marker"].alias("d_c_marker"),
-        amount.alias("transaction_amount"),
-        A.base_amount(amount, F.col("currency_rate")).alias("base_amount"),
-        *t,
-    )
-
+def _amount(cfg: Column) -> Column:
+    return A.line_amount(cfg["transaction_amount"], F.col("transaction_amount"), cfg["data_idx"])
 
-def _in_process_order(lines: Column) -> Column:
-    """By process line, then journal line; a missing process line goes last."""
-
-    def key(x: Column) -> Column:
-        p, n = x["process_line_number"], x["journal_line_number"]
-        return F.struct(
-            p.isNull().alias("a"), F.coalesce(p, F.lit(0)).alias("b"), n.isNull().alias("c"),
-            F.coalesce(n, F.lit(0)).alias("d"),
-        )
 
-    return F.array_sort(
-        lines,
-        lambda x, y: F.when(key(x) < key(y), -1).when(key(x) > key(y), 1).otherwise(0),
-    )
-
-
-def _gl_fold(lines: Column) -> Column:
-    """Ledger rows of the account-flag machine over lines in process order."""
+def _gl_fold(config: Column) -> Column:
+    """Posting lines of the account-flag machine: position, positions of the
+    last debit and credit line (-1 for none) and the posted amount."""
+    item = "struct<pos:int,d:int,c:int,amount:decimal(20,2)>"
     start = F.struct(
-        F.lit("").alias("d"),
-        F.lit("").alias("c"),
+        F.lit(-1).alias("d"),
+        F.lit(-1).alias("c"),
         F.lit(0).cast("decimal(20,2)").alias("x"),
-        F.array().cast(f"array<{GL_ITEM}>").alias("rows"),
+        F.array().cast(f"array<{item}>").alias("rows"),
     )
 
-    def step(acc: Column, line: Column) -> Column:
-        flag, amount = line["account_flag"], line["transaction_amount"]
-        d = F.when(line["d_c_marker"] == "D", line["account_code"]).otherwise(acc["d"])
-        c = F.when(line["d_c_marker"] == "C", line["account_code"]).otherwise(acc["c"])
+    def step(acc: Column, cfg: Column) -> Column:
+        flag, amount = cfg["account_flag"], _amount(cfg)
+        d = F.when(cfg["d_c_marker"] == "D", cfg["pos"]).otherwise(acc["d"])
+        c = F.when(cfg["d_c_marker"] == "C", cfg["pos"]).otherwise(acc["c"])
         posted = F.when(flag == 1, amount).otherwise(acc["x"])
         x = (
             F.when(flag.isin(1, 2), amount)
             .when(flag == 4, (amount - acc["x"]).cast("decimal(20,2)"))
             .otherwise(acc["x"])
         )
-        item = F.struct(
-            d.alias("acc_debit"), c.alias("acc_credit"), posted.alias("amount"),
-            line["journal_line_number"].alias("journal_line_number"),
-            *[line[f"t{i}"].alias(f"t_{i}") for i in range(1, 11)],
-        ).cast(GL_ITEM)
-        rows = F.when(flag.isin(1, 3, 4), F.concat(acc["rows"], F.array(item))).otherwise(acc["rows"])
-        return F.struct(d.alias("d"), c.alias("c"), x.alias("x"), rows.alias("rows"))
-
-    return F.aggregate(lines, start, step)["rows"]
-
-
-def _last_per_number(lines: Column, max_line: Column) -> Column:
-    """The line written last for each number up to ``max_line``, by number."""
-    return F.filter(
-        F.transform(
-            F.sequence(F.lit(1), F.greatest(max_line, F.lit(1))),
-            lambda n: F.element_at(
-                F.concat(
-                    F.array(F.lit(None)), F.filter(lines, lambda x: x["journal_line_number"] == n)
-                ),
-                -1,
-            ),
-        ),
-        lambda x: x.isNotNull(),
-    )
+        row = F.struct(
+            cfg["pos"].alias("pos"), d.alias("d"), c.alias("c"), posted.alias("amount")
+        ).cast(item)
+        rows = F.when(flag.isin(1, 3, 4), F.concat(acc["rows"], F.array(row))).otherwise(acc["rows"])
+        after = F.struct(d.alias("d"), c.alias("c"), x.alias("x"), rows.alias("rows"))
+        return F.when(amount > 0, after).otherwise(acc)
+
+    return F.aggregate(config, start, step)["rows"]
+
+
+def _tcodes(cfg: Column) -> list[Column]:
+    return [
+        C.tcode(cfg[f"t{i}_code"], F.col(f"t{i}"), cfg["data_idx"] if i >= 8 else None).alias(f"t{i}")
+        for i in range(1, 11)
+    ]
+
+
+def _account(cfg: Column) -> Column:
+    return C.account_code(cfg["account_code"], F.col("account_code"), cfg["data_idx"])
 
 
 # Every field a journal line is concatenated from; one NULL drops the line.
@@ -179,14 +183,6 @@ _HEAD_FIELDS = [
 ]
 
 
-def _complete(line: Column) -> Column:
-    fields = ["account_code", "base_amount", "d_c_marker", *[f"t{i}" for i in range(1, 11)]]
-    ok = F.col("head_complete")
-    for f in fields:
-        ok = ok & line[f].isNotNull()
-    return ok
-
-
 class Built(NamedTuple):
     journals: DataFrame
     lines: DataFrame
@@ -194,64 +190,129 @@ class Built(NamedTuple):
     dropped_lines: DataFrame
 
 
-def built_rows(
+def source_rows(
     settings: DataFrame,
     sources: DataFrame,
     originals: DataFrame | None = None,
     mode: str = "either",
     start: date = START_OF_JOURNALS,
 ) -> DataFrame:
-    """One row per journal with its ``lines``, ``dropped`` and ``gl`` arrays.
+    """One row per journal with its positioned line configuration ``config``.
 
     ``sources``: the datasource contract plus ``ds`` and ``journal_date``.
     ``originals``: (id, lines) of the journals that reversal types refer to.
     All days present in ``sources`` are built in one job.
     """
-    conf = settings.where(F.col("status") == 1).select(
+    plain = settings.where(F.col("status") == 1)
+    conf = plain.select(
         F.col("journal_type").alias("setting_type"),
         F.col("description").alias("setting_description"),
-        "status", "status2", "journal_set",
+        "status",
+        "status2",
+        "journal_set",
+        C.is_reversal(F.col("journal_type")).alias("reversal"),
+        in_process_order(F.col("journal_set.row")).alias("ordered"),
     )
     # Settings are configuration: broadcast once counted, so source rows stay in place.
+    conf = small_side(conf)
     src = sources.where(gate_status(F.col("journal_date"), start) == 0).withColumnRenamed(
         "journal_type", "src_journal_type"
     )
-    joined = src.join(
-        small_side(conf), (F.col("ds") == F.col("journal_set.ds")) & setting_active(F.col("journal_date"), mode)
-    )
-    config = F.col("journal_set.row")
-    if originals is not None:
-        prior = originals.select(F.col("id").alias("original_id"), F.col("lines").alias("original_lines"))
-        joined = joined.join(prior, F.col("id") == F.col("original_id"), "left")
-        reversed_rows = reversal_rows(F.coalesce("original_lines", F.array()), config)
-    else:
-        reversed_rows = F.array().cast(f"array<{LINE_CONFIG}>")
-    rows = (
-        F.when(C.is_reversal(F.col("setting_type")), reversed_rows)
-        .when(~C.is_reversal(F.col("setting_type")), config)
-        .otherwise(F.array().cast(f"array<{LINE_CONFIG}>"))
-    )
     head_complete = F.lit(True)
     for f in _HEAD_FIELDS:
         head_complete = head_complete & F.col(f).isNotNull()
-    prepared = (
-        joined.withColumn("clean_reference", X.clean_reference(F.col("transaction_reference")))
+    src = (
+        src.withColumn("clean_reference", X.clean_reference(F.col("transaction_reference")))
         .withColumn("clean_text", X.clean_description(F.col("description")))
         .withColumn("clean_participant", X.clean_participant(F.col("general_description_3")))
         .withColumn("head_complete", head_complete)
-        .withColumn("max_line", F.size(config))
-        .withColumn("posted", _in_process_order(
-            F.filter(F.transform(rows, _expanded), lambda x: x["transaction_amount"] > 0)
-        ))
     )
+    joined = src.join(
+        conf, (F.col("ds") == F.col("journal_set.ds")) & setting_active(F.col("journal_date"), mode)
+    )
+    config = F.when(F.coalesce("reversal", F.lit(True)), F.array().cast(f"array<{POSITIONED}>")).otherwise(
+        F.col("ordered")
+    )
+    if originals is not None:
+        prior = originals.select(F.col("id").alias("original_id"), F.col("lines").alias("original_lines"))
+        joined = joined.join(prior, F.col("id") == F.col("original_id"), "left")
+        back = reversal_rows(
+            F.coalesce("original_lines", F.array()), F.col("journal_set.row")
+        )
+        config = F.when(F.col("reversal"), in_process_order(back)).otherwise(config)
     return (
-        prepared.withColumn("slots", _last_per_number(F.col("posted"), F.col("max_line")))
-        .withColumn("lines", F.filter("slots", _complete))
-        .withColumn("dropped", F.filter("slots", lambda x: ~_complete(x)))
-        .withColumn("gl", _gl_fold(F.col("posted")))
+        joined.withColumn("config", config)
+        .withColumn("max_line", F.size("journal_set.row"))
         .withColumn(
             "journal_id", C.stable_key(F.col("setting_type"), F.col("id"), F.col("journal_date"))
         )
+        .drop("ordered", "journal_set")
+    )
+
+
+# Head columns of a journal line: name while building -> name in the result.
+_LINE_HEAD = {
+    "src_journal_type": "journal_type", "journal_source": "journal_source",
+    "journal_number": "journal_number", "clean_reference": "transaction_reference",
+    "accounting_period": "accounting_period", "transaction_date": "transaction_date",
+    "clean_text": "description", "currency_code": "currency_code", "currency_rate": "currency_rate",
+    "asset_indicator": "asset_indicator", "asset_code": "asset_code", "asset_sub_code": "asset_sub_code",
+    "general_description_2": "general_description_2", "clean_participant": "general_description_3",
+    "general_description_4": "general_description_4", "general_description_5": "general_description_5",
+    "general_description_6": "general_description_6", "due_date": "due_date",
+}
+
+
+def _lines(rows: DataFrame) -> DataFrame:
+    """Surviving line slots with ``complete`` (no NULL in any field).
+
+    Only the configured line is exploded; its values are plain columns, so
+    they stay in generated code. The outer form of explode keeps Spark from
+    evaluating the array once more as a filter.
+    """
+    cfg = F.col("cfg")
+    exploded = rows.withColumn("cfg", F.explode_outer("config")).withColumn("line_amount", _amount(cfg))
+    overwritten = (F.size("cfg.later") > 0) & F.exists(
+        "cfg.later",
+        lambda y: A.line_amount(y["amount"], F.col("transaction_amount"), y["data_idx"]) > 0,
+    )
+    slots = exploded.where(
+        (F.col("line_amount") > 0)
+        & F.col("cfg.journal_line_number").between(1, F.col("max_line"))
+        & ~overwritten
+    )
+    out = slots.select(
+        "journal_id", "setting_type", "setting_description", "journal_date",
+        *[F.col(a).alias(b) for a, b in _LINE_HEAD.items()],
+        "cfg.journal_line_number", "cfg.account_flag", _account(cfg).alias("account_code"), "cfg.d_c_marker",
+        F.col("line_amount").alias("transaction_amount"),
+        A.base_amount(F.col("line_amount"), F.col("currency_rate")).alias("base_amount"),
+        *_tcodes(cfg),
+        "head_complete",
+    )
+    complete = F.col("head_complete")
+    for f in ["account_code", "base_amount", "d_c_marker", *[f"t{i}" for i in range(1, 11)]]:
+        complete = complete & F.col(f).isNotNull()
+    return out.withColumn("complete", complete).drop("head_complete")
+
+
+def _gl(rows: DataFrame) -> DataFrame:
+    folded = rows.withColumn("g", F.explode_outer(_gl_fold(F.col("config")))).where(F.col("g").isNotNull())
+    cfg = F.get("config", F.col("g.pos"))
+
+    def side(pos: Column) -> Column:
+        # Before any line of a side its account is the empty text.
+        return F.when(pos < 0, "").otherwise(_account(F.get("config", pos)))
+
+    t = [
+        C.tcode(cfg[f"t{i}_code"], F.col(f"t{i}"), cfg["data_idx"] if i >= 8 else None).alias(f"t_{i}")
+        for i in range(1, 11)
+    ]
+    return folded.select(
+        "journal_id", F.col("setting_type").alias("journal_type"),
+        F.col("transaction_reference").alias("trx_id"), F.col("journal_date").alias("trx_date"),
+        side(F.col("g.d")).alias("acc_debit"), side(F.col("g.c")).alias("acc_credit"),
+        F.col("g.amount").alias("amount"), cfg["journal_line_number"].alias("journal_line_number"), *t,
     )
 
 
@@ -264,7 +325,7 @@ def build_journals(
     created_by: int = 0,
 ) -> Built:
     """Journal headers, their lines, ledger rows and the dropped lines."""
-    rows = built_rows(settings, sources, originals, mode, start)
+    rows = source_rows(settings, sources, originals, mode, start)
     journals = rows.select(
         F.col("journal_id").alias("id"),
         F.col("id").alias("source_rowid"),
@@ -274,34 +335,11 @@ def build_journals(
         F.lit(created_by).alias("created_by"),
         F.array("general_description_3").alias("search_id"),
         F.lit(None).cast("string").alias("voucher_id"),
-        F.size("lines").alias("line_count"),
     )
-    head = {
-        "src_journal_type": "journal_type", "journal_source": "journal_source",
-        "journal_number": "journal_number", "clean_reference": "transaction_reference",
-        "accounting_period": "accounting_period", "transaction_date": "transaction_date",
-        "clean_text": "description", "currency_code": "currency_code", "currency_rate": "currency_rate",
-        "asset_indicator": "asset_indicator", "asset_code": "asset_code", "asset_sub_code": "asset_sub_code",
-        "general_description_2": "general_description_2", "clean_participant": "general_description_3",
-        "general_description_4": "general_description_4", "general_description_5": "general_description_5",
-        "general_description_6": "general_description_6", "due_date": "due_date",
-    }
-
-    # The outer form keeps Spark from evaluating the array once more as a filter.
-    def exploded(array: str) -> DataFrame:
-        return rows.select(
-            "journal_id", F.col("setting_type"), "setting_description", "journal_date",
-            *[F.col(a).alias(b) for a, b in head.items()],
-            F.explode_outer(array).alias("l"),
-        ).where(F.col("l").isNotNull()).select(
-            "journal_id", "setting_type", "setting_description", "journal_date", *head.values(),
-            "l.journal_line_number", "l.account_flag", "l.account_code", "l.d_c_marker",
-            "l.transaction_amount", "l.base_amount", *[f"l.t{i}" for i in range(1, 11)],
-        )
-
-    gl = rows.select(
-        "journal_id", F.col("setting_type").alias("journal_type"),
-        F.col("transaction_reference").alias("trx_id"), F.col("journal_date").alias("trx_date"),
-        F.explode_outer("gl").alias("g"),
-    ).where(F.col("g").isNotNull()).select("journal_id", "journal_type", "trx_id", "trx_date", "g.*")
-    return Built(journals, exploded("lines"), gl, exploded("dropped"))
+    slots = _lines(rows)
+    return Built(
+        journals,
+        slots.where("complete").drop("complete"),
+        _gl(rows),
+        slots.where("not complete").drop("complete"),
+    )

@@ -60,7 +60,12 @@ def built(spark, root):
 @query("l01_journals", f"""WITH {SRC} SELECT h.journal_id AS id, h.id AS source_rowid, h.stype AS journal_type, h.day AS journal_date,
  COUNT(jl.jln) AS line_count FROM (SELECT DISTINCT journal_id, id, stype, day FROM x) h LEFT JOIN jl USING (journal_id) GROUP BY ALL""")
 def l01_journals(spark, root):
-    return built(spark, root).journals.select("id", "source_rowid", "journal_type", "journal_date", "line_count")
+    out = built(spark, root)
+    counts = out.lines.groupBy(F.col("journal_id").alias("id")).agg(F.count(F.lit(1)).alias("line_count"))
+    return out.journals.join(counts, "id", "left").select(
+        "id", "source_rowid", "journal_type", "journal_date",
+        F.coalesce("line_count", F.lit(0).cast("bigint")).alias("line_count"),
+    )
 
 
 @query("l01_journal_lines", f"WITH {SRC} {LINE_SQL} FROM jl")
