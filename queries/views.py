@@ -41,6 +41,7 @@ CLAIMS = """claims AS (SELECT o_orderkey AS claim_id,
     'POL-' || lpad(CAST(o_custkey AS VARCHAR), 6, '0') AS policy_id,
     CAST(o_orderdate AS DATE) AS claim_date, CAST(o_totalprice AS DECIMAL(20,2)) AS claim_amount,
     CAST(round(CAST(o_totalprice AS DECIMAL(20,2)) * 0.80, 2) AS DECIMAL(20,2)) AS fund_tabarru,
+    CAST(CAST(o_totalprice AS DECIMAL(20,2)) - round(CAST(o_totalprice AS DECIMAL(20,2)) * 0.80, 2) AS DECIMAL(20,2)) AS fund_tanahud,
     o_orderstatus = 'F' AS batch_processed FROM orders WHERE o_orderkey % 5 = 0)"""
 
 LINES = """lines AS (
