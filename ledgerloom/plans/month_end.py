@@ -154,6 +154,14 @@ def _result(name: str, expected: Column, actual: Column, failed: Column, differe
     )
 
 
+def _one_row(*frames: DataFrame) -> DataFrame:
+    """Columns of several one-row aggregates in one row."""
+    out = frames[0]
+    for frame in frames[1:]:
+        out = out.unionByName(frame, allowMissingColumns=True)
+    return out.agg(*[F.max(c).alias(c) for c in out.columns])
+
+
 def _as_rows(one_row: DataFrame, results: list[Column]) -> DataFrame:
     return one_row.select(F.explode(F.array(*results)).alias("r")).select("r.*")
 
@@ -195,7 +203,7 @@ def fund_expectations(premiums: DataFrame, claims: DataFrame) -> DataFrame:
     zero = F.lit(0).cast("decimal(38,2)")
     p = premiums.agg(F.sum("fund_tabarru").alias("pt"), F.sum("fund_tanahud").alias("pn"))
     c = claims.agg(F.sum("fund_tabarru").alias("ct"), F.sum("fund_tanahud").alias("cn"))
-    both = p.unionByName(c, allowMissingColumns=True).agg(*[F.sum(x).alias(x) for x in ("pt", "pn", "ct", "cn")])
+    both = _one_row(p, c)
 
     def net(a: str, b: str) -> Column:
         return (F.coalesce(a, zero) - F.coalesce(b, zero)).cast("decimal(38,2)")
@@ -220,8 +228,7 @@ def precommit(staged: Staged, premiums: DataFrame, claims: DataFrame, per: int =
         F.coalesce(F.sum("total_debit"), F.lit(0)).cast("decimal(38,2)").alias("td"),
         F.coalesce(F.sum("total_credit"), F.lit(0)).cast("decimal(38,2)").alias("tc"),
     )
-    # All three are one-row aggregates.
-    one = totals.join(expected, F.lit(True)).join(sequence_check(staged.headers, "je_sequence"), F.lit(True))
+    one = _one_row(totals, expected, sequence_check(staged.headers, "je_sequence"))
     general = _as_rows(
         one,
         [
@@ -262,7 +269,7 @@ def staging_integrity(staged: Staged, premiums: DataFrame, per: int = 3) -> Data
         .cast("decimal(38,2)")
         .alias("staged_total"),
     )
-    return source.join(mine, F.lit(True)).withColumn(
+    return _one_row(source, mine).withColumn(
         "intact",
         (F.col("expected_count") == F.col("actual_count"))
         & (F.abs(F.col("source_total") - F.col("staged_total")) <= F.lit(TOLERANCE)),

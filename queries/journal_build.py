@@ -6,6 +6,7 @@ from ledgerloom.functions.layout import FIELD_POSITIONS, fifty_seven_fields
 from ledgerloom.operators import flags
 from ledgerloom.plans import journals as J
 from ledgerloom.plans import vouchers as V
+from ledgerloom.scratch import small_side
 from ledgerloom.sources import tables as S
 from ledgerloom.sources.datasource_rows import datasource_rows, sample_settings
 from ledgerloom.sources.routing import source_name
@@ -139,17 +140,16 @@ def d04(spark, root):
 
 @query(
     "c01_active_settings",
-    f"""WITH {SRC}, d AS (SELECT DISTINCT day FROM src),
- st AS (SELECT DISTINCT stype, d_from, d_to, status2 FROM cfg)
- SELECT day, stype AS journal_type, d_from IS NULL OR d_to IS NULL OR day BETWEEN d_from AND d_to OR (status2 = 1 AND day > d_to) AS either_active,
+    f"""WITH {SRC}, st AS (SELECT DISTINCT stype, ds, d_from, d_to, status2 FROM cfg)
+ SELECT DISTINCT day, stype AS journal_type, d_from IS NULL OR d_to IS NULL OR day BETWEEN d_from AND d_to OR (status2 = 1 AND day > d_to) AS either_active,
  (d_from IS NULL AND d_to IS NULL) OR COALESCE(day BETWEEN d_from AND d_to, false) OR COALESCE(status2 = 1 AND day > d_to, false) AS strict_active,
  (d_from IS NULL AND d_to IS NULL) OR COALESCE(day BETWEEN d_from AND d_to, false) AS domain_active,
- CASE WHEN day >= DATE '1996-06-01' THEN 0 ELSE 1 END AS gate FROM st, d""",
+ CASE WHEN day >= DATE '1996-06-01' THEN 0 ELSE 1 END AS gate FROM st JOIN src USING (ds)""",
 )
 def c01(spark, root):
-    days = datasource_rows(spark, root).select(F.col("journal_date").alias("day")).distinct()
-    conf = F.broadcast(sample_settings(spark).where("status = 1"))  # four rows
-    return days.join(conf, F.lit(True)).select(
+    days = datasource_rows(spark, root).select("ds", F.col("journal_date").alias("day")).distinct()
+    conf = small_side(sample_settings(spark).where("status = 1"))
+    return days.join(conf, F.col("ds") == F.col("journal_set.ds")).select(
         "day", "journal_type",
         *[J.setting_active(F.col("day"), m).alias(f"{m}_active") for m in ("either", "strict", "domain")],
         J.gate_status(F.col("day"), date(1996, 6, 1)).alias("gate"),
