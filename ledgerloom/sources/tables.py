@@ -161,7 +161,11 @@ def journals(spark: SparkSession, root: str) -> DataFrame:
 
 
 def audit_events(spark: SparkSession, root: str) -> DataFrame:
-    e = table(spark, root, "events")
+    return audit_view(table(spark, root, "events"))
+
+
+def audit_view(e: DataFrame) -> DataFrame:
+    """Audit events from the events table or a stream of it."""
     kind = F.col("event_type")
     return e.select(
         "event_id",
