@@ -37,12 +37,11 @@ def reach(edge: DataFrame, seeds: DataFrame, hops: int = 3) -> DataFrame:
 
 def node_features(edge: DataFrame) -> DataFrame:
     """Degree, edge count and mean/std of the edge amounts per node."""
-    value = F.col("amount").cast("double")
     return edge.groupBy(F.col("src").alias("node")).agg(
         F.count(F.lit(1)).alias("degree"),
         F.sum("n").alias("edge_count"),
-        F.avg(value).alias("mean_amount"),
-        F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("std_amount"),
+        F.avg("amount").alias("mean_amount"),
+        F.coalesce(F.stddev_samp(F.col("amount").cast("double")), F.lit(0.0)).alias("std_amount"),
     )
 
 
@@ -58,7 +57,8 @@ def cluster_risk(features: DataFrame, columns: list[str], k: int = 4, seed: int
     from pyspark.ml.feature import StandardScaler, VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    vectors = VectorAssembler(inputCols=columns, outputCol="_raw").transform(features)
+    numbers = features.withColumns({c: F.col(c).cast("double") for c in columns})
+    vectors = VectorAssembler(inputCols=columns, outputCol="_raw").transform(numbers)
     scaled = StandardScaler(inputCol="_raw", outputCol="_v").fit(vectors).transform(vectors)
     model = KMeans(k=k, seed=seed, featuresCol="_v", predictionCol="cluster").fit(scaled)
     centres = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in model.clusterCenters()])

@@ -2,6 +2,8 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators import ledger as G
 from ledgerloom.plans import templates as T
+from ledgerloom.plans.posting import post_month
+from ledgerloom.scratch import scratch_path
 from ledgerloom.sources import tables as S
 from ledgerloom.sources.sample_templates import sample_catalogue
 from queries.registry import query
@@ -260,3 +262,19 @@ def d09(spark, root):
         [("S0110", "Urgent"), ("S0210", "High"), ("S0510", "Low")], "journal_type string, description string"
     )
     return S.journals(spark, root).join(F.broadcast(st), "journal_type", "left").select("id", "journal_type", "description")
+
+
+@query(
+    "l05_posted_balances",
+    f"""WITH {TXN}, m AS (SELECT txn_month AS period_start, CAST(SUM(gross_amount) AS DECIMAL(38,6)) AS g, CAST(SUM(tabarru_amount) AS DECIMAL(38,6)) AS t,
+   CAST(SUM(invest_amount) AS DECIMAL(38,6)) AS i, CAST(SUM(admin_amount) AS DECIMAL(38,6)) AS a FROM txn WHERE txn_type = 'CLAIM_PAID' AND gross_amount <= 400000 GROUP BY 1),
+ mv AS (SELECT period_start, '5010' AS account_code, 'TBR' AS fund, t AS debit, CAST(0 AS DECIMAL(38,6)) AS credit FROM m UNION ALL SELECT period_start, '5020', 'INV', i, 0 FROM m
+   UNION ALL SELECT period_start, '1010', 'OP', 0, g FROM m UNION ALL SELECT period_start, '4099', 'OP', 0, a FROM m)
+ SELECT period_start, account_code, fund, debit, credit, CAST(COALESCE(SUM(debit - credit) OVER w, 0) AS DECIMAL(38,6)) AS opening_balance,
+ CAST(COALESCE(SUM(debit - credit) OVER w, 0) + debit - credit AS DECIMAL(38,6)) AS closing_balance FROM mv
+ WINDOW w AS (PARTITION BY account_code, fund ORDER BY period_start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
+)
+def l05(spark, root):
+    """Claims of all months staged, posted to the ledger and rolled forward."""
+    claims = S.txn_source(spark, root).where("txn_type = 'CLAIM_PAID' and gross_amount <= 400000")
+    return post_month(claims, sample_catalogue(spark), scratch_path(spark, "ledger"), run_id="run-1").balances
