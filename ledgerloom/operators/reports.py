@@ -90,11 +90,16 @@ def account_pair_journals(gl: DataFrame, max_items: int = MAX_ITEMS) -> DataFram
         F.desc("total_amount"), "account_debit", "account_credit"
     )
     ranked = totals.withColumn("journal_id", F.row_number().over(rank))
-    n_parts = F.ceil(
-        F.greatest(F.when(F.col("kind") == "ref", F.col("n_refs")).otherwise(F.col("n_descs")), F.lit(1))
-        / F.lit(max_items)
+
+    # Only pairs with an oversized list are joined back to their values.
+    def parts(name: str) -> Column:
+        return F.ceil(F.col(name) / F.lit(max_items))
+
+    hot = totals.where((F.col("n_refs") > max_items) | (F.col("n_descs") > max_items)).select(
+        *PAIR, parts("n_refs").alias("_refs"), parts("n_descs").alias("_descs")
     )
-    placed = values.join(ranked, PAIR).withColumn(
+    n_parts = F.greatest(F.when(F.col("kind") == "ref", F.col("_refs")).otherwise(F.col("_descs")), F.lit(1))
+    placed = values.join(hot, PAIR, "left").withColumn(
         "part_no", F.coalesce(F.pmod(F.xxhash64("value"), n_parts), F.lit(0)).cast("int")
     )
 
@@ -102,27 +107,40 @@ def account_pair_journals(gl: DataFrame, max_items: int = MAX_ITEMS) -> DataFram
         picked = F.collect_list(F.when(F.col("kind") == kind, F.col("value")))
         return F.array_join(F.array_sort(picked), sep)
 
-    head = ["journal_id", "total_amount", "tx_count"]
-    return (
-        placed.groupBy(*PAIR, *head, "part_no")
-        .agg(values_of("ref", ",").alias("ref_list"), values_of("desc", " | ").alias("desc_list"))
-        .select(
-            "journal_id",
-            *PAIR,
-            F.lit("DAY").alias("journal_type"),
-            F.concat_ws("_", "account_debit", "account_credit").alias("account_key"),
-            F.when(F.col("account_debit") != "", F.col("account_debit"))
-            .otherwise(F.col("account_credit"))
-            .alias("account"),
-            _dc(F.col("account_debit")).alias("dc_marker"),
-            "total_amount",
-            F.round(F.col("total_amount") / F.lit(1000000), 2).cast("decimal(24,2)").alias("amount_millions"),
-            "tx_count",
-            "part_no",
-            "ref_list",
-            "desc_list",
+    def share(name: str) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("is_total"), F.col(name))), F.lit(0))
+
+    # The explicit repartition places the parts of one pair in different tasks;
+    # without it the join's partitioning by pair would be kept. Amount and count
+    # of each part let both branches read one and the same shuffle.
+    lists = (
+        placed.repartition(*PAIR, "part_no")
+        .groupBy(*PAIR, "part_no")
+        .agg(
+            values_of("ref", ",").alias("ref_list"),
+            values_of("desc", " | ").alias("desc_list"),
+            share("part_amount").cast("decimal(30,2)").alias("part_amount"),
+            share("part_count").alias("part_count"),
         )
     )
+    return lists.join(ranked, PAIR).select(
+        "journal_id",
+        *PAIR,
+        F.lit("DAY").alias("journal_type"),
+        F.concat_ws("_", "account_debit", "account_credit").alias("account_key"),
+        F.when(F.col("account_debit") != "", F.col("account_debit"))
+        .otherwise(F.col("account_credit"))
+        .alias("account"),
+        _dc(F.col("account_debit")).alias("dc_marker"),
+        "total_amount",
+        F.round(F.col("total_amount") / F.lit(1000000), 2).cast("decimal(24,2)").alias("amount_millions"),
+        "tx_count",
+        "part_no",
+        "part_amount",
+        "part_count",
+        "ref_list",
+        "desc_list",
+    )
 
 
 def account_pair_modes(gl: DataFrame) -> DataFrame:

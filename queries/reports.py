@@ -33,7 +33,7 @@ def e01(spark, root):
   account_debit || '_' || account_credit AS account_key,
   CASE WHEN account_debit <> '' THEN account_debit ELSE account_credit END AS account, dc_marker,
   total_amount, CAST(round(total_amount * CAST(0.000001 AS DECIMAL(6,6)), 2) AS DECIMAL(24,2)) AS amount_millions,
-  tx_count, 0 AS part_no, ref_list, desc_list FROM ranked""",
+  tx_count, 0 AS part_no, total_amount AS part_amount, tx_count AS part_count, ref_list, desc_list FROM ranked""",
 )
 def l06(spark, root):
     return R.account_pair_journals(S.gl_entries(spark, root))
