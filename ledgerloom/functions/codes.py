@@ -27,13 +27,14 @@ VOUCHER_SEQUENCE_DIGITS = 4
 MAX_VOUCHER_SEQUENCE = 9999
 
 
+def is_lookup_account(setting: Column) -> Column:
+    """Whether a setting names a kind of account rather than an account."""
+    return F.upper(F.trim(setting)).rlike("|".join(ACCOUNT_KEYWORDS))
+
+
 def account_code(setting: Column, lookup: Column, data_idx: Column) -> Column:
     """Element ``data_idx`` (0-based) for keyword settings, else the setting."""
-    word = F.upper(F.trim(setting))
-    keyword = F.lit(False)
-    for k in ACCOUNT_KEYWORDS:
-        keyword = keyword | word.contains(k)
-    return F.when(keyword, F.get(lookup, data_idx)).otherwise(setting)
+    return F.when(is_lookup_account(setting), F.get(lookup, data_idx)).otherwise(setting)
 
 
 def tcode(setting: Column, values: Column, data_idx: Column | None = None) -> Column:

@@ -145,26 +145,34 @@ def account_pair_journals(gl: DataFrame, max_items: int = MAX_ITEMS) -> DataFram
 
 def account_pair_modes(gl: DataFrame) -> DataFrame:
     """Day aggregate with the most frequent t-codes (smallest code on ties)."""
-    kinds = {"ref": "reference_1", "desc": "description", "t1": "t_1", "t2": "t_2", "t3": "t_3"}
-    values = pair_values(gl, kinds, "ref")
+    values = pair_values(gl, {"ref": "reference_1", "desc": "description"}, "ref")
+    totals = _totals(values, [_distinct("ref").alias("n_refs"), _distinct("desc").alias("n_descs")])
+    codes = ["t_1", "t_2", "t_3"]
+    # Code combinations are few, so only their counts are unfolded per code.
+    combos = (
+        gl.withColumn("account_debit", F.coalesce("acc_debit", F.lit("")))
+        .withColumn("account_credit", F.coalesce("acc_credit", F.lit("")))
+        .groupBy(*PAIR, *codes)
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    unfolded = F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).alias("value")) for c in codes])
+    counts = (
+        combos.select(*PAIR, "n", F.explode(unfolded).alias("e"))
+        .where("e.value is not null")
+        .groupBy(*PAIR, F.col("e.kind").alias("kind"), F.col("e.value").alias("value"))
+        .agg(F.sum("n").alias("n"))
+    )
 
     def mode(kind: str) -> Column:
-        hit = (F.col("kind") == kind) & F.col("value").isNotNull()
-        order = F.struct((-F.col("part_count")).alias("n"), F.col("value").alias("v"))
-        return F.min_by(F.when(hit, F.col("value")), F.when(hit, order))
+        order = F.struct((-F.col("n")).alias("n"), F.col("value").alias("v"))
+        return F.min_by(
+            F.when(F.col("kind") == kind, F.col("value")), F.when(F.col("kind") == kind, order)
+        ).alias(f"primary_{kind.replace('_', '')}")
 
+    modes = counts.groupBy(*PAIR).agg(*[mode(c) for c in codes])
     return (
-        _totals(
-            values,
-            [
-                _distinct("ref").alias("n_refs"),
-                _distinct("desc").alias("n_descs"),
-                mode("t1").alias("primary_t1"),
-                mode("t2").alias("primary_t2"),
-                mode("t3").alias("primary_t3"),
-            ],
-        )
-        .where("total_amount > 0")
+        totals.where("total_amount > 0")
+        .join(modes, PAIR, "left")
         .withColumn("dc_marker", _dc(F.col("account_debit")))
     )
 

@@ -55,9 +55,12 @@ def gate_status(day: Column, start: date = START_OF_JOURNALS) -> Column:
     return F.when(day >= F.lit(start), 0).otherwise(1)
 
 
-# A configured line as it is used: where it stands in process order and which
-# later lines (with a positive amount) would overwrite its journal line number.
-POSITIONED = LINE_CONFIG[:-1] + ",pos:int,later:array<struct<data_idx:int,amount:decimal(20,2)>>>"
+# A configured line as it is used: where it stands in process order, whether
+# its account is looked up, and which later lines (with a positive amount)
+# would overwrite its journal line number.
+POSITIONED = (
+    LINE_CONFIG[:-1] + ",pos:int,by_lookup:boolean,later:array<struct<data_idx:int,amount:decimal(20,2)>>>"
+)
 
 _LINE_CONFIG_FIELDS = [
     "journal_line_number", "process_line_number", "account_code", "d_c_marker", "data_idx",
@@ -90,6 +93,7 @@ def in_process_order(rows: Column) -> Column:
         return F.struct(
             *[row[f].alias(f) for f in _LINE_CONFIG_FIELDS],
             x["pos"].alias("pos"),
+            C.is_lookup_account(row["account_code"]).alias("by_lookup"),
             F.transform(
                 later,
                 lambda y: F.struct(
@@ -132,21 +136,25 @@ def _amount(cfg: Column) -> Column:
     return A.line_amount(cfg["transaction_amount"], F.col("transaction_amount"), cfg["data_idx"])
 
 
+def _account(cfg: Column) -> Column:
+    return F.when(cfg["by_lookup"], F.get("account_code", cfg["data_idx"])).otherwise(cfg["account_code"])
+
+
 def _gl_fold(config: Column) -> Column:
-    """Posting lines of the account-flag machine: position, positions of the
-    last debit and credit line (-1 for none) and the posted amount."""
-    item = "struct<pos:int,d:int,c:int,amount:decimal(20,2)>"
+    """Posting lines of the account-flag machine with the accounts and the
+    amount carried to them."""
+    item = f"struct<cfg:{POSITIONED},debit:string,credit:string,amount:decimal(20,2)>"
     start = F.struct(
-        F.lit(-1).alias("d"),
-        F.lit(-1).alias("c"),
+        F.lit("").alias("d"),
+        F.lit("").alias("c"),
         F.lit(0).cast("decimal(20,2)").alias("x"),
         F.array().cast(f"array<{item}>").alias("rows"),
     )
 
     def step(acc: Column, cfg: Column) -> Column:
         flag, amount = cfg["account_flag"], _amount(cfg)
-        d = F.when(cfg["d_c_marker"] == "D", cfg["pos"]).otherwise(acc["d"])
-        c = F.when(cfg["d_c_marker"] == "C", cfg["pos"]).otherwise(acc["c"])
+        d = F.when(cfg["d_c_marker"] == "D", _account(cfg)).otherwise(acc["d"])
+        c = F.when(cfg["d_c_marker"] == "C", _account(cfg)).otherwise(acc["c"])
         posted = F.when(flag == 1, amount).otherwise(acc["x"])
         x = (
             F.when(flag.isin(1, 2), amount)
@@ -154,7 +162,7 @@ def _gl_fold(config: Column) -> Column:
             .otherwise(acc["x"])
         )
         row = F.struct(
-            cfg["pos"].alias("pos"), d.alias("d"), c.alias("c"), posted.alias("amount")
+            cfg.alias("cfg"), d.alias("debit"), c.alias("credit"), posted.alias("amount")
         ).cast(item)
         rows = F.when(flag.isin(1, 3, 4), F.concat(acc["rows"], F.array(row))).otherwise(acc["rows"])
         after = F.struct(d.alias("d"), c.alias("c"), x.alias("x"), rows.alias("rows"))
@@ -170,10 +178,6 @@ def _tcodes(cfg: Column) -> list[Column]:
     ]
 
 
-def _account(cfg: Column) -> Column:
-    return C.account_code(cfg["account_code"], F.col("account_code"), cfg["data_idx"])
-
-
 # Every field a journal line is concatenated from; one NULL drops the line.
 _HEAD_FIELDS = [
     "src_journal_type", "journal_source", "journal_number", "clean_reference", "accounting_period",
@@ -298,21 +302,13 @@ def _lines(rows: DataFrame) -> DataFrame:
 
 def _gl(rows: DataFrame) -> DataFrame:
     folded = rows.withColumn("g", F.explode_outer(_gl_fold(F.col("config")))).where(F.col("g").isNotNull())
-    cfg = F.get("config", F.col("g.pos"))
-
-    def side(pos: Column) -> Column:
-        # Before any line of a side its account is the empty text.
-        return F.when(pos < 0, "").otherwise(_account(F.get("config", pos)))
-
-    t = [
-        C.tcode(cfg[f"t{i}_code"], F.col(f"t{i}"), cfg["data_idx"] if i >= 8 else None).alias(f"t_{i}")
-        for i in range(1, 11)
-    ]
+    cfg = F.col("g.cfg")
+    codes = [c.alias(f"t_{i}") for i, c in enumerate(_tcodes(cfg), start=1)]
     return folded.select(
         "journal_id", F.col("setting_type").alias("journal_type"),
         F.col("transaction_reference").alias("trx_id"), F.col("journal_date").alias("trx_date"),
-        side(F.col("g.d")).alias("acc_debit"), side(F.col("g.c")).alias("acc_credit"),
-        F.col("g.amount").alias("amount"), cfg["journal_line_number"].alias("journal_line_number"), *t,
+        F.col("g.debit").alias("acc_debit"), F.col("g.credit").alias("acc_credit"),
+        F.col("g.amount").alias("amount"), cfg["journal_line_number"].alias("journal_line_number"), *codes,
     )
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 from decimal import Decimal
+from functools import lru_cache
 
 from pyspark.sql import SparkSession
 
@@ -44,7 +45,9 @@ _LINES = {
 }
 
 
+@lru_cache(maxsize=1)
 def sample_catalogue(spark: SparkSession) -> Catalogue:
+    """The catalogue holds plain values, so one load serves the whole session."""
     far, start, turn = date(9999, 12, 31), date(1990, 1, 1), date(1997, 1, 1)
     templates = [
         ("PREM", "1", "Premium", "PREMIUM_RECEIPT", "Premium", "JE", start, turn, "ACTIVE"),

@@ -6,7 +6,7 @@ from ledgerloom.functions.layout import FIELD_POSITIONS, fifty_seven_fields
 from ledgerloom.operators import flags
 from ledgerloom.plans import journals as J
 from ledgerloom.plans import vouchers as V
-from ledgerloom.scratch import small_side
+from ledgerloom.scratch import cut, small_side
 from ledgerloom.sources import tables as S
 from ledgerloom.sources.datasource_rows import datasource_rows, sample_settings
 from ledgerloom.sources.routing import source_name
@@ -232,7 +232,8 @@ GROUPED = f"""WITH {SRC}, gk AS (SELECT *, 'S0' || p || '10' AS jt FROM jl),
 
 
 def lines(spark, root):
-    return built(spark, root).lines
+    """Journal lines written once, as vouchers are built from stored journals."""
+    return cut(built(spark, root).lines, "lines")
 
 
 @query(
@@ -336,7 +337,7 @@ def f13(spark, root):
  '', '', '', '', CAST(day + 30 AS VARCHAR), '', '', '', '') AS fields FROM jl""",
 )
 def i11(spark, root):
-    df = lines(spark, root)
+    df = built(spark, root).lines
     present = [c for c in FIELD_POSITIONS if c in df.columns]
     return df.select(
         "journal_id", F.col("journal_line_number").alias("line_no"), "setting_type",
