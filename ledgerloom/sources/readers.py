@@ -44,7 +44,11 @@ def active_setting_rows(settings: DataFrame) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, schema: str = K.TXN_SOURCE, corrupt: str = "_corrupt") -> tuple[DataFrame, DataFrame]:
-    """Typed rows of headed CSV files and the lines that do not parse."""
+    """Typed rows of headed CSV files, and the rows that do not parse.
+
+    The second frame keeps all columns: Spark does not read the corrupt-line
+    column on its own.
+    """
     raw = (
         spark.read.schema(f"{schema}, {corrupt} string")
         .option("header", True)
@@ -52,7 +56,7 @@ def read_csv(spark: SparkSession, path: str, schema: str = K.TXN_SOURCE, corrupt
         .option("columnNameOfCorruptRecord", corrupt)
         .csv(path)
     )
-    return raw.where(F.col(corrupt).isNull()).drop(corrupt), raw.where(F.col(corrupt).isNotNull()).select(corrupt)
+    return raw.where(F.col(corrupt).isNull()).drop(corrupt), raw.where(F.col(corrupt).isNotNull())
 
 
 def read_jdbc(
