@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom import schemas as K
+from ledgerloom.scratch import cut
 
 JSON_FIELDS = ["reference_1", "reference_2", "description"] + [f"general_description_{i}" for i in (1, 2, 3)]
 
@@ -46,8 +47,8 @@ def active_setting_rows(settings: DataFrame) -> DataFrame:
 def read_csv(spark: SparkSession, path: str, schema: str = K.TXN_SOURCE, corrupt: str = "_corrupt") -> tuple[DataFrame, DataFrame]:
     """Typed rows of headed CSV files, and the rows that do not parse.
 
-    The second frame keeps all columns: Spark does not read the corrupt-line
-    column on its own.
+    The files are parsed once into a scratch table: whether a line parses then
+    does not depend on the columns a later query happens to read.
     """
     raw = (
         spark.read.schema(f"{schema}, {corrupt} string")
@@ -56,7 +57,8 @@ def read_csv(spark: SparkSession, path: str, schema: str = K.TXN_SOURCE, corrupt
         .option("columnNameOfCorruptRecord", corrupt)
         .csv(path)
     )
-    return raw.where(F.col(corrupt).isNull()).drop(corrupt), raw.where(F.col(corrupt).isNotNull())
+    parsed = cut(raw, "csv")
+    return parsed.where(F.col(corrupt).isNull()).drop(corrupt), parsed.where(F.col(corrupt).isNotNull())
 
 
 def read_jdbc(
