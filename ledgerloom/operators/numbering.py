@@ -110,6 +110,18 @@ def by_group_size(
     )
 
 
+def number_in_groups(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], column: str = "seq", limit: int = TASK_ROWS
+) -> DataFrame:
+    """Row numbers per key: one window where groups fit a task, else ranges."""
+
+    def plain(part: DataFrame) -> DataFrame:
+        w = Window.partitionBy(*keys).orderBy(*order)
+        return part.withColumn(column, F.row_number().over(w).cast("bigint"))
+
+    return by_group_size(df, keys, plain, lambda part: number_rows(part, order, keys=keys, column=column), limit)
+
+
 def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """First row of each group by ``order`` values (ascending), by aggregation.
 

@@ -28,14 +28,20 @@ def distinct_list_parts(
     """(keys, part_no, n_values, list) with values sorted inside each part."""
     keys = list(keys)
     uniq = df.select(*keys, value).where(F.col(value).isNotNull()).distinct()
-    sizes = uniq.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    # Only keys with an oversized list are joined back to their values.
+    sizes = uniq.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > max_items)
     sizes = sizes.withColumn("_parts", F.ceil(F.col("_n") / F.lit(max_items))).drop("_n")
-    spread = join_keys(uniq, sizes, keys).withColumn(
-        "part_no", F.pmod(F.xxhash64(value), F.col("_parts")).cast("int")
+    placed = join_keys(uniq, sizes, keys, "left").withColumn(
+        "part_no", F.pmod(F.xxhash64(value), F.coalesce("_parts", F.lit(1).cast("bigint"))).cast("int")
     )
-    return spread.groupBy(*keys, "part_no").agg(
-        F.count(F.lit(1)).alias(f"n_{column}"),
-        F.array_join(F.array_sort(F.collect_list(F.col(value).cast("string"))), separator).alias(column),
+    # The explicit repartition puts the parts of one key into different tasks.
+    return (
+        placed.repartition(*keys, "part_no")
+        .groupBy(*keys, "part_no")
+        .agg(
+            F.count(F.lit(1)).alias(f"n_{column}"),
+            F.array_join(F.array_sort(F.collect_list(F.col(value).cast("string"))), separator).alias(column),
+        )
     )
 
 

@@ -177,6 +177,23 @@ def account_pair_modes(gl: DataFrame) -> DataFrame:
     )
 
 
+def bucketed_lines(totals: DataFrame, buckets: int = 100) -> DataFrame:
+    """Lines of the day journals gathered by journal number modulo ``buckets``.
+
+    ``totals`` are account-pair aggregates, so a day's lines are bounded by the
+    pairs of the chart of accounts.
+    """
+    item = F.struct(
+        "journal_id",
+        F.when(F.col("account_debit") != "", F.col("account_debit")).otherwise(F.col("account_credit")).alias("account"),
+        F.col("total_amount").alias("amount"),
+        F.col("dc_marker").alias("dc"),
+    )
+    return totals.groupBy("trx_date", (F.col("journal_id") % buckets).alias("bucket")).agg(
+        F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(item)).alias("lines")
+    )
+
+
 def journal_daily_summary(journals: DataFrame) -> DataFrame:
     return journals.groupBy("journal_date", "journal_type").agg(
         F.count(F.lit(1)).alias("entry_count"),

@@ -23,13 +23,14 @@ def write_jdbc(df: DataFrame, url: str, table: str, **options: str) -> None:
 def replace_partitions(df: DataFrame, path: str, partition_by: Sequence[str], sort_by: Sequence[str] = ()) -> None:
     """Overwrite just the partitions present in ``df``; a rerun is idempotent.
 
-    Rows are shuffled by partition and sort column together, so a large month
-    is written by many tasks.
+    With ``sort_by`` rows are range-shuffled by partition and sort columns
+    together, so a large month is written by many tasks; the columns should
+    tell rows apart. Without it every task writes its own rows as they are.
     """
-    keys = [*partition_by, *sort_by]
-    df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic"
-    ).partitionBy(*partition_by).parquet(path)
+    if sort_by:
+        keys = [*partition_by, *sort_by]
+        df = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
 
 
 def post_lines(lines: DataFrame, path: str) -> None:

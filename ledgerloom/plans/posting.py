@@ -50,12 +50,12 @@ def post_month(
     headers = spark.read.parquet(f"{stage}/headers").where(F.col("run_id") == run_id)
     lines = spark.read.parquet(f"{stage}/lines").where(F.col("run_id") == run_id)
     monthly = headers.withColumn("je_month", F.trunc("je_date", "MM").cast("date"))
-    sinks.replace_partitions(monthly, f"{target}/ledger_headers", ["je_month"], ["je_date"])
+    sinks.replace_partitions(monthly, f"{target}/ledger_headers", ["je_month"], ["je_date", "je_number"])
     sinks.post_lines(lines.drop("run_id"), f"{target}/ledger_lines")
     rolled = roll_forward(monthly_movement(lines), prior)
     if snapshot is not None:
         rolled = upsert_snapshot(snapshot, rolled)
-    sinks.replace_partitions(rolled, f"{target}/balances", ["period_start"])
+    sinks.replace_partitions(rolled, f"{target}/balances", ["period_start"], ["account_code", "fund"])
     return Posted(run_id, spark.read.parquet(f"{target}/balances"), out.unmatched)
 
 

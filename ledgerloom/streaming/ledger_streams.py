@@ -49,9 +49,10 @@ def fan_out(all_path: str, approval_path: str) -> Callable[[DataFrame, int], Non
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        tagged = batch.withColumn("batch_no", F.lit(batch_id))
+        tagged = batch.withColumn("batch_no", F.lit(batch_id)).persist()
         for path, df in ((all_path, tagged), (approval_path, tagged.where("approval_level > 0"))):
             df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_no").parquet(path)
+        tagged.unpersist()
 
     return write
 

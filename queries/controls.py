@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 from ledgerloom.operators import audit as A
 from ledgerloom.operators import controls as C
 from ledgerloom.operators import fraud as X
+from ledgerloom.plans.closing import close_periods
 from ledgerloom.sources import tables as S
 from queries.registry import query
 from queries.views import AUDIT, GL, JOURNALS, LINES
@@ -250,6 +251,33 @@ def e36(spark, root):
     return C.closing_blockers(S.journals(spark, root), S.gl_entries(spark, root), submissions(spark, root))
 
 
+@query(
+    "l12_close_periods",
+    f"""WITH {JOURNALS}, {GL}, {LEVELS}, w AS (SELECT journal_date, COUNT(*) FILTER (WHERE approval_level > 0) AS unapproved FROM lv GROUP BY 1),
+ o AS (SELECT journal_date, COUNT(*) FILTER (WHERE voucher_id IS NULL) AS unvouchered FROM journals GROUP BY 1),
+ b AS (SELECT trx_date, CAST(abs(COALESCE(SUM(amount) FILTER (WHERE acc_debit IS NOT NULL), 0) - COALESCE(SUM(amount) FILTER (WHERE acc_credit IS NOT NULL), 0)) AS DECIMAL(31,2)) AS imb FROM gl GROUP BY 1),
+ x AS (SELECT o.journal_date AS period_date, concat_ws('; ', CASE WHEN unvouchered > 0 THEN unvouchered || ' unposted journals' END,
+   CASE WHEN unapproved > 0 THEN unapproved || ' unapproved high-value transactions' END, CASE WHEN COALESCE(imb, 0) >= 0.01 THEN 'Trial balance not balanced: ' || imb END) AS issues
+   FROM o JOIN w USING (journal_date) LEFT JOIN b ON trx_date = journal_date),
+ r AS (SELECT *, CASE day(period_date) % 3 WHEN 0 THEN 'CLERK' WHEN 1 THEN 'CFO' ELSE 'MANAGER' END AS role, month(period_date) % 4 AS m, day(period_date) % 5 = 0 AS force FROM x),
+ z AS (SELECT *, CASE WHEN role = 'CLERK' THEN 'UNAUTHORIZED' WHEN m IN (0, 2) THEN 'NOT_OPEN' WHEN issues <> '' AND NOT force THEN 'BLOCKED' END AS reason,
+   CASE m WHEN 0 THEN 'CLOSED' WHEN 2 THEN 'LOCKED' ELSE 'OPEN' END AS st FROM r)
+ SELECT CAST(period_date AS VARCHAR) AS request_id, period_date, issues, reason, CASE WHEN reason IS NULL THEN 'CLOSED' ELSE st END AS new_status FROM z""",
+)
+def l12(spark, root):
+    """Every journal day is requested to be closed."""
+    j = S.journals(spark, root)
+    days = j.select(F.col("journal_date").alias("period_date")).distinct()
+    d, n = F.dayofmonth("period_date") % 3, F.month("period_date") % 4
+    requests = days.select(
+        F.col("period_date").cast("string").alias("request_id"), "period_date",
+        F.when(d == 0, "CLERK").when(d == 1, "CFO").otherwise("MANAGER").alias("user_role"),
+        (F.dayofmonth("period_date") % 5 == 0).alias("force"),
+    )
+    status = days.withColumn("status", F.when(n == 0, "CLOSED").when(n == 2, "LOCKED").otherwise("OPEN"))
+    return close_periods(requests, status, j, S.gl_entries(spark, root), submissions(spark, root))
+
+
 RISK = """CAST(least(greatest(CASE WHEN hour(event_timestamp) < 6 OR hour(event_timestamp) > 22 THEN 0.2 ELSE 0 END
  + {value} + CASE WHEN event_type = 'JOURNAL_DELETED' THEN 0.4 ELSE 0 END - CASE WHEN authentication_method <> 'password' THEN 0.1 ELSE 0 END, 0), 1) AS DECIMAL(4,1))"""
 

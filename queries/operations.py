@@ -1,6 +1,5 @@
 from datetime import date
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.layout import fifty_seven_fields
@@ -12,7 +11,7 @@ from ledgerloom.operators import quality as Q
 from ledgerloom.operators import reports as R
 from ledgerloom.operators import retention as RT
 from ledgerloom.operators import sinks as K
-from ledgerloom.operators.numbering import number_small, top_per_group
+from ledgerloom.operators.numbering import number_in_groups, number_small, top_per_group
 from ledgerloom.operators.sequences import duplicates
 from ledgerloom.plans.exports import export_vouchers
 from ledgerloom.plans.posting import refresh_reports, standard_reports
@@ -312,16 +311,12 @@ def f01(spark, root):
     "f06_bucketed_lines",
     f"""WITH {GL}, p AS (SELECT trx_date, COALESCE(acc_debit, '') AS d, COALESCE(acc_credit, '') AS c, CAST(SUM(amount) AS DECIMAL(30,2)) AS total FROM gl GROUP BY 1, 2, 3),
  r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY trx_date ORDER BY total DESC, d, c) AS rn FROM p)
- SELECT trx_date, rn % 4 AS bucket, COUNT(*) AS n, string_agg(d || '/' || c || '=' || total, ';' ORDER BY rn) AS entries FROM r GROUP BY 1, 2""",
+ SELECT trx_date, rn % 4 AS bucket, COUNT(*) AS n, string_agg(CASE WHEN d <> '' THEN d ELSE c END || '=' || total || '=' || CASE WHEN d <> '' THEN 'D' ELSE 'C' END, ';' ORDER BY rn) AS entries FROM r GROUP BY 1, 2""",
 )
 def f06(spark, root):
-    """Lines of one day in rn % 4 buckets; the pairs of a day are aggregates already."""
-    totals = R.account_pair_totals(S.gl_entries(spark, root))
-    item = F.struct("journal_id", F.concat(F.col("account_debit"), F.lit("/"), F.col("account_credit"), F.lit("="), F.col("total_amount").cast("string")).alias("t"))
-    return totals.groupBy("trx_date", (F.col("journal_id") % 4).alias("bucket")).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["t"]), ";").alias("entries"),
-    )
+    out = R.bucketed_lines(R.account_pair_totals(S.gl_entries(spark, root)), buckets=4)
+    text = F.transform("lines", lambda x: F.concat_ws("=", x["account"], x["amount"].cast("string"), x["dc"]))
+    return out.select("trx_date", "bucket", "n", F.array_join(text, ";").alias("entries"))
 
 
 @query(
@@ -388,16 +383,7 @@ def g03_first(spark, root):
     f"""WITH {LINES} SELECT journal_id, account_code, amount, sort_part, ROW_NUMBER() OVER (PARTITION BY journal_id ORDER BY line_no, sort_part, sort_supp, amount, sort_date) AS line_number FROM lines""",
 )
 def f03(spark, root):
-    from ledgerloom.operators.numbering import by_group_size, number_rows
-
-    def plain(df):
-        w = Window.partitionBy("journal_id").orderBy(*S.LINE_ORDER)
-        return df.withColumn("line_number", F.row_number().over(w).cast("bigint"))
-
-    def hot(df):
-        return number_rows(df, S.LINE_ORDER, keys=["journal_id"], column="line_number")
-
-    out = by_group_size(S.journal_lines(spark, root), ["journal_id"], plain, hot)
+    out = number_in_groups(S.journal_lines(spark, root), ["journal_id"], S.LINE_ORDER, "line_number")
     return out.select("journal_id", "account_code", "amount", "sort_part", "line_number")
 
 
