@@ -77,6 +77,7 @@ def export_rows(
         picked = picked.where(F.col("journal_type").isin(list(journal_types)))
     if not include_exported:
         picked = picked.where(~F.col("exported"))
+    lines = lines.drop("journal_date")
     rows = lines.join(picked.select("voucher_id", F.col("journal_date").alias("_day")), "voucher_id")
     if "fields" not in lines.columns:
         present = [c for c in FIELD_POSITIONS if c in lines.columns]

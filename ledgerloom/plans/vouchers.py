@@ -24,6 +24,10 @@ GROUP_FIELDS = [
 ]
 LINE_FIELDS = ["journal_line_number", "account_code", "d_c_marker", "t2", "t6", "t8", "t9", "t10"]
 
+# Source field and rate of vouchers grouped by first line.
+FIRST_LINE_SOURCE = "SUN"
+FIRST_LINE_RATE = "1"
+
 DAY_TYPE = ["setting_type", "journal_date"]
 
 
@@ -81,7 +85,7 @@ def build_vouchers(
 ) -> Vouchers:
     """Vouchers, their lines, journal links and the lines left out.
 
-    ``lines``: unvouchered typed journal lines (all days in one job).
+    Voucher lines carry the named fields of the export layout. ``lines``: unvouchered typed journal lines (all days in one job).
     ``split=True`` keeps a journal's lines in every group they fall into.
     """
     if grouping == "fields":
@@ -110,10 +114,10 @@ def _by_fields(lines: DataFrame, existing: DataFrame | None, split: bool) -> Vou
     out = summed.join(
         headers.select(
             F.col("journal_type").alias("setting_type"), "journal_date", "seq", "voucher_id", "voucher_no",
-            F.col("description").alias("voucher_description"),
+            F.col("voucher_no").alias("transaction_reference"), "description",
         ),
         [*DAY_TYPE, "seq"],
-    )
+    ).withColumns({c: F.round(c, 2).cast("decimal(30,2)") for c in ("transaction_amount", "base_amount")})
     links = join_keys(
         placed.groupBy("journal_id", *DAY_TYPE).agg(F.min("seq").alias("seq")),
         headers.select(F.col("journal_type").alias("setting_type"), "journal_date", "seq", "voucher_id"),
@@ -171,14 +175,28 @@ def _by_first_line(lines: DataFrame, existing: DataFrame | None) -> Vouchers:
     )
     w = Window.partitionBy(*DAY_TYPE, "seq").orderBy("first_at")
     headers = _headers(groups)
-    out = merged.select(
-        *DAY_TYPE, "seq", F.row_number().over(w).alias("journal_line_number"), "account_code", "d_c_marker",
-        "t1", "t2", "f.*", "transaction_amount", F.col("transaction_amount").alias("base_amount"),
-    ).join(
-        headers.select(
-            F.col("journal_type").alias("setting_type"), "journal_date", "seq", "voucher_id", "voucher_no"
-        ),
-        [*DAY_TYPE, "seq"],
+    out = (
+        merged.select(
+            *DAY_TYPE, "seq", F.row_number().over(w).alias("journal_line_number"), "account_code", "d_c_marker",
+            "t1", "t2", "f.*", "transaction_amount", F.col("transaction_amount").alias("base_amount"),
+        )
+        .withColumns(
+            {
+                "description": F.substring("description", 1, 50),
+                "journal_type": F.col("setting_type"),
+                "journal_source": F.lit(FIRST_LINE_SOURCE),
+                "accounting_period": F.date_format("journal_date", "yyyyMM"),
+                "transaction_date": F.col("journal_date").cast("string"),
+                "currency_rate": F.lit(FIRST_LINE_RATE),
+            }
+        )
+        .join(
+            headers.select(
+                F.col("journal_type").alias("setting_type"), "journal_date", "seq", "voucher_id", "voucher_no",
+                F.col("voucher_no").alias("transaction_reference"),
+            ),
+            [*DAY_TYPE, "seq"],
+        )
     )
     links = join_keys(
         journal_seq.join(firsts.select("journal_id", *DAY_TYPE), "journal_id"),

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.layout import FIELD_POSITIONS, fifty_seven_fields
 from ledgerloom.operators import flags
+from ledgerloom.operators.sinks import export_rows
 from ledgerloom.plans import journals as J
 from ledgerloom.plans import vouchers as V
 from ledgerloom.scratch import cut, small_side
@@ -124,7 +125,7 @@ def d04(spark, root):
     )
     premium = sample_settings(spark).where("journal_type = 'S0110'").select(
         F.lit("S1110").alias("journal_type"), "description", "status", "status2",
-        F.col("journal_set").withField("ds", F.lit(2)).alias("journal_set"),
+        F.col("journal_set").withField("ds", F.col("journal_set.ds") + 1).alias("journal_set"),
     )
     src = datasource_rows(spark, root).where("ds = 1").join(
         base.journals.where("journal_type = 'S0110'").select(
@@ -132,7 +133,7 @@ def d04(spark, root):
         ),
         F.col("id") == F.col("sid"),
     )
-    src = src.withColumn("id", F.col("jid")).withColumn("ds", F.lit(2)).drop("jid", "sid")
+    src = src.withColumn("id", F.col("jid")).withColumn("ds", F.col("ds") + 1).drop("jid", "sid")
     return J.build_journals(premium, src, originals=body, start=FIRST_DAY).lines.select(
         "journal_id", "journal_line_number", "account_code", "d_c_marker", "transaction_amount", "t3", "t6", "t8"
     )
@@ -343,3 +344,19 @@ def i11(spark, root):
         "journal_id", F.col("journal_line_number").alias("line_no"), "setting_type",
         F.array_join(fifty_seven_fields(F.struct(*present), present), ",").alias("fields"),
     )
+
+
+@query(
+    "l09_voucher_export_rows",
+    GROUPED + """, v AS (SELECT stype, day, jt, s, t3, p, seq, voucher_no, sdesc, jln, account_code, dc, t6, t8, t9, t10, SUM(amount) AS amount
+   FROM own JOIN hdr USING (stype, sdesc, day, jt, s, t3, p, seq) WHERE seq = first_seq GROUP BY ALL)
+ SELECT voucher_no, concat_ws(',', jt, 'SYS', s, jln, voucher_no, strftime(day, '%Y%m'), day, account_code,
+  substr(sdesc || ' ' || day || '/' || lpad(CAST(seq AS VARCHAR), 4, '0'), 1, 50), 'IDR', CAST(amount AS DECIMAL(30,2)), '1.000000', CAST(amount AS DECIMAL(30,2)),
+  dc, '', '', '', s, 'N/A', t3, p, p, t6, p, t8, t9, t10) || repeat(',', 30) AS line FROM v""",
+)
+def l09_rows(spark, root):
+    """Settings to journals to vouchers to the 57 fields of the export."""
+    out = V.build_vouchers(lines(spark, root))
+    heads = out.vouchers.withColumn("exported", F.lit(False))
+    rows = export_rows(heads, out.lines, date(1990, 1, 1), date(2010, 12, 31))
+    return rows.select("voucher_no", F.concat_ws(",", *[f"field_{i:02d}" for i in range(57)]).alias("line"))

@@ -69,7 +69,7 @@ def export_frames(spark, root):
     named = lines.select(
         F.col("journal_id").alias("voucher_id"), number.alias("voucher_no"), "journal_date", "journal_type",
         F.struct(
-            "journal_type", F.lit("SUN").alias("journal_source"), F.col("line_no").alias("journal_line_number"),
+            "journal_type", F.lit("SYS").alias("journal_source"), F.col("line_no").alias("journal_line_number"),
             number.alias("transaction_reference"), "account_code", F.lit("IDR").alias("currency_code"),
             F.col("amount").alias("transaction_amount"), F.col("dc").alias("d_c_marker"), "t1", "t2",
         ).alias("l"),
@@ -85,7 +85,7 @@ def export_frames(spark, root):
 
 @query(
     "b05_export_rows",
-    f"""WITH {LINES} SELECT concat_ws(',', journal_type, 'SUN', '', line_no, journal_type || strftime(journal_date, '%y%m%d') || journal_id, '', '', account_code, '', 'IDR',
+    f"""WITH {LINES} SELECT concat_ws(',', journal_type, 'SYS', '', line_no, journal_type || strftime(journal_date, '%y%m%d') || journal_id, '', '', account_code, '', 'IDR',
  amount, '', '', dc, '', '', '', t1, t2) || repeat(',', 38) AS line FROM lines WHERE t3 = 'F' AND journal_id % 4 <> 0 AND journal_type IN ('S0110', 'S0210', 'S0310')
  AND journal_date BETWEEN DATE '1990-01-01' AND DATE '2010-12-31'""",
 )
