@@ -34,6 +34,19 @@ def test_gl_day_read_unpacks_json(spark, tmp_path):
     assert got == {1: ("r", None), 3: (None, None)}
 
 
+def test_views_keep_decimal_amounts(spark):
+    gl = spark.createDataFrame([(1, "12.345")], "id int, amount string")
+    readers.register_gl_view(gl, "typed_gl")
+    assert spark.sql("select amount from typed_gl").first()[0] == Decimal("12.35")
+    readers.create_views({"old_name": gl})
+    assert spark.table("old_name").count() == 1
+
+
+def test_only_active_settings_are_read(spark):
+    df = spark.createDataFrame([("a", 1), ("b", 0)], "journal_type string, status int")
+    assert [r.journal_type for r in readers.active_setting_rows(df).collect()] == ["a"]
+
+
 def test_csv_separates_lines_that_do_not_parse(spark, tmp_path):
     path = tmp_path / "in.csv"
     path.write_text("a,b\n1,2024-01-01\nx,2024-01-02\n3,2024-01-03\n")

@@ -164,3 +164,19 @@ def test_large_side_is_not_broadcast(spark):
     df = spark.range(50)
     assert "broadcast" not in small_side(df, 10)._jdf.queryExecution().logical().toString().lower()
     assert "broadcast" in small_side(df, 100)._jdf.queryExecution().logical().toString().lower()
+
+
+def test_empty_frames_pass_through(spark):
+    df = spark.createDataFrame([], "k string, id int, v decimal(20,2)")
+    assert numbering.number_rows(df, ["id"], keys=["k"]).isEmpty()
+    assert numbering.quantile_cont(df, ["k"], "v").isEmpty()
+    assert numbering.number_in_groups(df, ["k"], ["id"]).isEmpty()
+    assert parts.distinct_list_parts(df, ["k"], "id", "ids").isEmpty()
+    assert sequences.sequence_check(df.select("id"), "id").first().row_count == 0
+
+
+def test_numbers_in_groups_agree_over_both_routes(spark):
+    _, df = skewed(spark)
+    one = sorted(map(tuple, numbering.number_in_groups(df, ["k"], ["id"]).select("id", "seq").collect()))
+    two = sorted(map(tuple, numbering.number_in_groups(df, ["k"], ["id"], limit=50).select("id", "seq").collect()))
+    assert one == two
