@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import hash_bucket, numbered, source_key
+from ledgerloom.llm.common import hash_bucket, numbered, source_key, written
 
 PERIOD = 1000
 
@@ -89,7 +89,7 @@ def mix_sources(
     until the slowest has been used once in full, so the whole result meets the target; ``mix_epoch`` counts.
     """
     weights = tempered_weights(docs) if weights is None else weights
-    table = period_slots(ticks_of(weights, period), period)
+    table = written(period_slots(ticks_of(weights, period), period), "period")  # `period` rows
     keyed = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
         source_key().alias("_source"),
