@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.licences import scan_licences, scan_sql
 from ledgerloom.llm.mixing import mix_sources
 from ledgerloom.llm.sharding import proportional_shards
+from ledgerloom.llm.simhash import hex64, near_groups
+from ledgerloom.llm.substring import remove_repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -43,3 +45,15 @@ def op3(spark, root):
 def op5(spark, root):
     mixed = mix_sources(table(spark, root, "documents").select("doc_id", "source"))
     return mixed.select("doc_id", "source", "mix_slot", "mix_row", "in_mix", "mix_ticks")
+
+
+@query("op9_simhash_groups")
+def op9(spark, root):
+    groups = near_groups(table(spark, root, "documents"))
+    return groups.select("doc_id", hex64(F.col("f0")).alias("fingerprint"), "component_id")
+
+
+@query("op2_substring_dedup")
+def op2(spark, root):
+    cut = remove_repeats(table(spark, root, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_words", "n_removed", "kept_sha256")
