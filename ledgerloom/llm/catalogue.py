@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.licences import scan_licences, scan_sql
 from ledgerloom.llm.mixing import mix_sources
+from ledgerloom.llm.parsing import document_fingerprints
 from ledgerloom.llm.sharding import proportional_shards
 from ledgerloom.llm.simhash import hex64, near_groups
 from ledgerloom.llm.substring import remove_repeats
@@ -57,3 +58,8 @@ def op9(spark, root):
 def op2(spark, root):
     cut = remove_repeats(table(spark, root, "documents").select("doc_id", "text"))
     return cut.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query("op10_document_fingerprints")
+def op10(spark, root):
+    return document_fingerprints(table(spark, root, "documents"))
