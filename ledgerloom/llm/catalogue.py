@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.ctw import lm_scores
 from ledgerloom.llm.licences import scan_licences, scan_sql
 from ledgerloom.llm.mixing import mix_sources
 from ledgerloom.llm.parsing import document_fingerprints
@@ -63,3 +64,8 @@ def op2(spark, root):
 @query("op10_document_fingerprints")
 def op10(spark, root):
     return document_fingerprints(table(spark, root, "documents"))
+
+
+@query("op7_lm_scores")
+def op7(spark, root):
+    return lm_scores(table(spark, root, "documents"))
