@@ -11,6 +11,7 @@ from ledgerloom.llm.ctw import lm_scores
 from ledgerloom.llm.licences import scan_licences, scan_sql
 from ledgerloom.llm.mixing import mix_sources
 from ledgerloom.llm.parsing import document_fingerprints
+from ledgerloom.llm.quality import quality_scores
 from ledgerloom.llm.sharding import proportional_shards
 from ledgerloom.llm.simhash import hex64, near_groups
 from ledgerloom.llm.substring import remove_repeats
@@ -69,3 +70,8 @@ def op10(spark, root):
 @query("op7_lm_scores")
 def op7(spark, root):
     return lm_scores(table(spark, root, "documents"))
+
+
+@query("op6_quality_classifier")
+def op6(spark, root):
+    return quality_scores(table(spark, root, "documents"), table(spark, root, "labels"))
