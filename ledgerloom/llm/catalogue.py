@@ -11,6 +11,7 @@ from ledgerloom.llm.ctw import lm_scores
 from ledgerloom.llm.licences import scan_licences, scan_sql
 from ledgerloom.llm.mixing import mix_sources
 from ledgerloom.llm.parsing import document_fingerprints
+from ledgerloom.llm.permutation import nearest
 from ledgerloom.llm.quality import quality_scores
 from ledgerloom.llm.sharding import proportional_shards
 from ledgerloom.llm.simhash import hex64, near_groups
@@ -75,3 +76,9 @@ def op7(spark, root):
 @query("op6_quality_classifier")
 def op6(spark, root):
     return quality_scores(table(spark, root, "documents"), table(spark, root, "labels"))
+
+
+@query("op8_nearest_vectors")
+def op8(spark, root):
+    vectors = table(spark, root, "embeddings").select("vec_id", "embedding")
+    return nearest(vectors, vectors.where("vec_id % 20 = 0"))
