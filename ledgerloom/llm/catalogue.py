@@ -12,6 +12,7 @@ from ledgerloom.llm.licences import scan_licences, scan_sql
 from ledgerloom.llm.mixing import mix_sources
 from ledgerloom.llm.parsing import document_fingerprints
 from ledgerloom.llm.permutation import nearest
+from ledgerloom.llm.pieces import encoded
 from ledgerloom.llm.quality import quality_scores
 from ledgerloom.llm.sharding import proportional_shards
 from ledgerloom.llm.simhash import hex64, near_groups
@@ -82,3 +83,8 @@ def op6(spark, root):
 def op8(spark, root):
     vectors = table(spark, root, "embeddings").select("vec_id", "embedding")
     return nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
+@query("op4_sentencepiece")
+def op4(spark, root):
+    return encoded(table(spark, root, "documents").select("doc_id", "text")).select("doc_id", "n_ids", "ids", "round_trip")
