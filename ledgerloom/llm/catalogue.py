@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from ledgerloom.llm.ctw import lm_scores
 from ledgerloom.llm.licences import scan_licences, scan_sql
 from ledgerloom.llm.mixing import mix_sources
@@ -88,3 +90,8 @@ def op8(spark, root):
 @query("op4_sentencepiece")
 def op4(spark, root):
     return encoded(table(spark, root, "documents").select("doc_id", "text")).select("doc_id", "n_ids", "ids", "round_trip")
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark, root):
+    return corpus_pipeline.run(spark, root)
