@@ -54,20 +54,21 @@ def period_slots(ticks: DataFrame, period: int = PERIOD) -> DataFrame:
     """(_source, ticks, _turn, _slot): the slot of each source's block of every period, W rows in all."""
     sources = ticks.agg(F.sort_array(F.collect_list(F.struct("_source", "ticks"))).alias("s")).where(F.size("s") > 0)
     ready = (
-        f"transform(filter(sequence(0, size(s) - 1), i -> a.used[i] < s[i].ticks AND a.used[i] * {period} div s[i].ticks <= t),"
-        f" i -> struct(((a.used[i] + 1) * {period} + s[i].ticks - 1) div s[i].ticks AS due, i AS i))"
+        f"transform(filter(sequence(0, size(s) - 1), i -> get(a.used, i) < get(s, i).ticks"
+        f" AND get(a.used, i) * {period} div get(s, i).ticks <= t), i -> struct("
+        f"((get(a.used, i) + 1) * {period} + get(s, i).ticks - 1) div get(s, i).ticks AS due, i AS i))"
     )
     step = (
-        f"transform(array(array_min({ready}).i), p -> struct("
+        f"get(transform(array(array_min({ready}).i), p -> struct("
         "transform(a.used, (u, i) -> IF(i = p, u + 1, u)) AS used,"
-        " concat(a.picks, array(struct(p AS p, a.used[p] AS turn))) AS picks))[0]"
+        " concat(a.picks, array(struct(p AS p, get(a.used, p) AS turn))) AS picks)), 0)"
     )
     start = "struct(transform(s, x -> 0) AS used, CAST(array() AS array<struct<p:int,turn:int>>) AS picks)"
     picks = sources.select("s", F.expr(f"aggregate(sequence(0, {period - 1}), {start}, (a, t) -> {step}).picks").alias("picks"))
     slots = picks.select("s", F.posexplode("picks").alias("_slot", "pick"))
     return slots.select(
-        F.expr("s[pick.p]._source").alias("_source"),
-        F.expr("s[pick.p].ticks").alias("ticks"),
+        F.expr("get(s, pick.p)._source").alias("_source"),
+        F.expr("get(s, pick.p).ticks").alias("ticks"),
         F.col("pick.turn").alias("_turn"),
         "_slot",
     )
@@ -105,42 +106,45 @@ def _placed(keyed, table, columns, block_rows, period, repeat) -> DataFrame:
     size = source_sizes(keyed, table, block_rows, period)
     ranked = ranked.withColumn("_block", F.expr(f"_rank div {block_rows}")).join(F.broadcast(size), "_source")
     if repeat:
-        last = "(_periods * ticks - 1 - _block) div _blocks"
+        last = f"((_until + {period - 1}) div {period} * ticks - 1 - _block) div _blocks"
         ranked = ranked.withColumn("mix_epoch", F.explode(F.expr(f"sequence(0L, {last})")))
         ranked = ranked.withColumn("_block", F.col("_block") + F.col("mix_epoch") * F.col("_blocks"))
     else:
         ranked = ranked.withColumn("mix_epoch", F.lit(0).cast("long"))
     ranked = ranked.withColumn("_turn", F.expr("CAST(_block % ticks AS int)"))
     slots = F.broadcast(table.select("_source", "_turn", "_slot"))  # one period: `period` rows
-    slotted = ranked.join(slots, ["_source", "_turn"])
-    return slotted.select(
+    slotted = ranked.join(slots, ["_source", "_turn"]).withColumn("mix_slot", F.expr(f"_block div ticks * {period} + _slot"))
+    return slotted.where("mix_slot < _until").select(
         *[F.col(f"_row.`{c}`").alias(c) for c in columns],
-        F.expr(f"_block div ticks * {period} + _slot").alias("mix_slot"),
+        "mix_slot",
         F.expr(f"CAST(_rank % {block_rows} AS int)").alias("mix_row"),
-        F.expr(f"_block div ticks * {period} + _slot < _through").alias("in_mix"),
+        F.expr("mix_slot < _through").alias("in_mix"),
         "mix_epoch",
         F.col("ticks").alias("mix_ticks"),
     )
 
 
 def source_sizes(keyed: DataFrame, table: DataFrame, block_rows: int, period: int) -> DataFrame:
-    """(_source, ticks, _blocks, _periods, _through): one row per source, at most one per slot of a period.
+    """(_source, ticks, _blocks, _until, _through): one row per source, at most one per slot of a period.
 
-    ``_periods`` is the number of periods until every source has been used in full, ``_through`` the first slot
-    whose source has no block left.
+    ``_until`` is the slot after the last block of any source, ``_through`` the first slot whose source has no block
+    left.
     """
     everything = Window.partitionBy()
     counts = keyed.groupBy("_source").agg(F.count(F.lit(1)).alias("_n"))
     blocks = counts.join(table.where("_turn = 0").select("_source", "ticks"), "_source").withColumn(
         "_blocks", F.expr(f"(_n + {block_rows - 1}) div {block_rows}")
     )
-    ends = blocks.withColumn("_turn", F.expr("CAST(_blocks % ticks AS int)")).join(
+    ends = blocks.withColumn("_end", F.explode(F.expr("array(_blocks - 1, _blocks)")))
+    ends = ends.withColumn("_turn", F.expr("CAST(_end % ticks AS int)")).join(
         table.select("_source", "_turn", "_slot"), ["_source", "_turn"]
     )
+    slot = F.expr(f"_end div ticks * {period} + _slot")
     return ends.select(
         "_source",
         "ticks",
         "_blocks",
-        F.max(F.expr("(_blocks + ticks - 1) div ticks")).over(everything).alias("_periods"),
-        F.min(F.expr(f"_blocks div ticks * {period} + _slot")).over(everything).alias("_through"),
-    )
+        "_end",
+        F.max(F.when(F.col("_end") < F.col("_blocks"), slot + 1)).over(everything).alias("_until"),
+        F.min(F.when(F.col("_end") == F.col("_blocks"), slot)).over(everything).alias("_through"),
+    ).where("_end = _blocks").drop("_end")
