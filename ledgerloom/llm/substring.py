@@ -32,7 +32,7 @@ from ledgerloom.llm.common import shuffle_partitions, written
 U64 = np.uint64
 WINDOW = 50
 PREFIX = 10
-CROWD = 20_000
+CROWD = 4_000
 LAST = 2**63 - 1
 STEP = U64(0x9E3779B97F4A7C15)
 BACK = U64(pow(0x9E3779B97F4A7C15, -1, 2**64))
@@ -211,7 +211,8 @@ def _subtrees(window: int):
 def marked_windows(docs: DataFrame, near: DataFrame, window: int, crowd: int) -> DataFrame:
     """(id, lo, mask): bit b is set if the window that starts at word lo + b is to be removed."""
     segments = near.groupBy("key", "seg").agg(F.min("id").alias("_first"))
-    sizes = segments.groupBy("key").agg(F.count(F.lit(1)).alias("_m"))
+    # Written, so that the joins below read plain exchanges, of which Spark splits a hot key's.
+    sizes = written(segments.groupBy("key").agg(F.count(F.lit(1)).alias("_m")), "segment-counts")
     judged = near.join(segments.join(sizes, "key"), ["key", "seg"])
     full = F.expr("shiftleft(1L, n) - 1")
     copies = judged.where("id > _first").select("id", "lo", full.alias("mask"))
@@ -224,8 +225,8 @@ def marked_windows(docs: DataFrame, near: DataFrame, window: int, crowd: int) ->
     groups = cut(firsts.where(F.col("_m") <= crowd), False, "key long, id long, lo int, n int, words binary")
     trees = groups.repartition(shuffle_partitions(docs.sparkSession), "key").sortWithinPartitions("key")
     split = trees.mapInArrow(_subtrees(window), "id long, lo int, mask long")
-    windows = cut(firsts.where(F.col("_m") > crowd), True, "name binary, id long, lo int")
-    least = windows.groupBy("name").agg(F.min("id").alias("_first"))
+    windows = written(cut(firsts.where(F.col("_m") > crowd), True, "name binary, id long, lo int"), "windows")
+    least = written(windows.groupBy("name").agg(F.min("id").alias("_first")), "first-windows")
     crowded = windows.join(least, "name").where("id > _first").select("id", "lo", F.lit(1).cast("long").alias("mask"))
     return copies.union(split).union(crowded)
 
@@ -279,6 +280,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("_id"), *columns)
     seen = written(find_occurrences(rows, window, prefix), "anchors")
     shared = seen.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("key")
+    shared = written(shared, "shared-prefixes")
     near = written(seen.join(shared, "key", "left_semi"), "shared-anchors")
     # Dealt once by doc_id: both joins below read the same exchange.
     placed = rows.repartition(shuffle_partitions(docs.sparkSession), "_id")
