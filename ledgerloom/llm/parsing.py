@@ -31,8 +31,8 @@ U64 = np.uint64
 LEVELS, BINS, EMPTY = (2, 3), 32, 0xFFFF
 BATCH_BYTES = 1 << 20
 LAST = 2**63 - 1
-#: Ranges of doc_id with about equal numbers of rows; each is cut further by width.
-RANGES, RANGE_ROWS = 64, 2_000
+#: Ranges of doc_id with about equal numbers of rows; each is cut further by width, into MOST_CUTS at most.
+RANGES, RANGE_ROWS, MOST_CUTS = 64, 2_000, 1_024
 #: Odd multipliers by place in a phrase; no phrase is longer.
 PLACES = np.cumprod(np.full(64, 0x9E3779B97F4A7C15, U64), dtype=U64)
 
@@ -154,7 +154,7 @@ def document_fingerprints(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     count = docs.count()
-    sub = max(1, -(-count // (RANGES * RANGE_ROWS)), -(-shuffle_partitions(spark) // RANGES))
+    sub = max(1, min(MOST_CUTS, -(-count // (RANGES * RANGE_ROWS))), -(-shuffle_partitions(spark) // RANGES))
     probes = [k / RANGES for k in range(RANGES + 1)]
     cuts = sorted({int(x) for x in docs.approxQuantile("doc_id", probes, 1 / (4 * RANGES))})
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
@@ -167,13 +167,13 @@ def document_fingerprints(docs: DataFrame) -> DataFrame:
         placed = placed.withColumn("_range", F.expr(f"_cell * {sub + 1} + {inside}")).drop("_cell")
     else:
         placed = docs.select(key.alias("_id"), "doc_id", "text").withColumn("_range", F.lit(0))
-    # At most RANGES * (sub + 1) rows, one per range.
+    # One row per range: RANGES * (MOST_CUTS + 1) rows of three numbers at most, so they may be broadcast.
     firsts = placed.groupBy("_range").agg(F.min("_id").alias("_first"))
     order = Window.orderBy("_range")
     before = F.coalesce(F.lag("_range").over(order), F.max("_range").over(Window.partitionBy()))
     spots = firsts.select(F.col("_range").alias("_of"), "_first", before.alias("_before"))
     at = (placed["_range"] == spots["_of"]) & (placed["_id"] == spots["_first"])
-    heads = placed.join(spots, at).groupBy("_before").agg(F.first("_id").alias("_id"), F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    heads = placed.join(F.broadcast(spots), at).groupBy("_before").agg(F.first("_id").alias("_id"), F.min(F.coalesce("text", F.lit(""))).alias("text"))
     heads = heads.select("_id", F.lit(None).cast("long").alias("doc_id"), "text", F.col("_before").alias("_range"), F.lit(True).alias("_head"))
     rows = placed.select("_id", F.col("doc_id").cast("long").alias("doc_id"), "text", "_range", F.lit(False).alias("_head"))
     dealt = rows.unionByName(heads).repartition(shuffle_partitions(spark), "_range")
