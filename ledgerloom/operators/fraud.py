@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.amounts import first_digit, is_round_hundred
 from ledgerloom.operators.checksums import _WORDS, _word
-from ledgerloom.operators.numbering import by_group_size
 
 # Expected share of the first digits 1 to 9.
 BENFORD = ["0.301", "0.176", "0.125", "0.097", "0.079", "0.067", "0.058", "0.051", "0.046"]
@@ -29,7 +28,6 @@ APPROVAL_THRESHOLD = Decimal("100000")
 CASH_LIMIT = Decimal("10000")
 MIN_BENFORD_SAMPLE = 10
 SHARE = "decimal(20,10)"
-MAX_TEXT_LINES = 10_000
 
 
 def digit_profile(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -75,27 +73,23 @@ def _line_text() -> Column:
     return F.concat_ws(":", "account_code", F.col("amount").cast("string"), "dc")
 
 
-def signatures(lines: DataFrame, keys: Sequence[str], max_lines: int = MAX_TEXT_LINES) -> DataFrame:
-    """Duplicate signature: the sorted line texts joined by '|'.
+def signatures(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Duplicate signature: the number of lines and an order-independent digest of their texts.
 
-    Journals above ``max_lines`` lines get an order-independent digest of the
-    same texts, so no huge journal is gathered. Equal journals have equally
-    many lines and thus the same form.
+    Digests are added word by word, so sums combine before the shuffle and no journal is gathered.
     """
+    words = [F.sum(_word(F.col("_d"), i)).cast("decimal(38,0)").cast("string") for i in range(_WORDS)]
+    hashed = lines.select(*keys, F.sha2(_line_text(), 256).alias("_d"))
+    return hashed.groupBy(*keys).agg(
+        F.concat_ws(":", F.count(F.lit(1)).cast("string"), *words).alias("signature")
+    )
 
-    def as_text(df: DataFrame) -> DataFrame:
-        return df.groupBy(*keys).agg(
-            F.array_join(F.array_sort(F.collect_list(_line_text())), "|").alias("signature")
-        )
-
-    def as_digest(df: DataFrame) -> DataFrame:
-        words = [F.sum(_word(F.col("_d"), i)).cast("decimal(38,0)").cast("string") for i in range(_WORDS)]
-        hashed = df.select(*keys, F.sha2(_line_text(), 256).alias("_d"))
-        return hashed.groupBy(*keys).agg(
-            F.concat_ws(":", F.lit("digest"), F.count(F.lit(1)).cast("string"), *words).alias("signature")
-        )
 
-    return by_group_size(lines, keys, as_text, as_digest, limit=max_lines)
+def signature_text(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The same lines in readable form, sorted and joined by '|'; gathers a journal's lines in one cell."""
+    return lines.groupBy(*keys).agg(
+        F.array_join(F.array_sort(F.collect_list(_line_text())), "|").alias("signature_text")
+    )
 
 
 def duplicate_counts(journals: DataFrame, days: int = 30) -> DataFrame:
@@ -138,21 +132,21 @@ def time_pattern(created: Column, day: Column) -> dict[str, Column]:
     }
 
 
-def fraud_scores(journals: DataFrame, lines: DataFrame, max_lines: int = MAX_TEXT_LINES) -> DataFrame:
+def fraud_scores(journals: DataFrame, lines: DataFrame) -> DataFrame:
     """Score 0..1 with its indicators; review above 0.5.
 
-    ``journals``: journal_id, journal_date, created_date.
+    ``journals``: journal_id, journal_date, created_date. Journals without lines keep their time pattern.
     """
     keys = ["journal_id"]
     facts = line_indicators(lines, keys)
     benford = digit_profile(lines, keys).select("journal_id", "deviation")
-    signed = signatures(lines, keys, max_lines)
+    signed = signatures(lines, keys)
     dup = duplicate_counts(
         journals.select("journal_id", "journal_date").join(signed, "journal_id")
     ).select("journal_id", "has_duplicates")
     pattern = time_pattern(F.col("created_date"), F.col("journal_date"))
     unusual = pattern["after_hours"] | pattern["weekend"] | pattern["period_end"]
-    joined = journals.join(facts, keys).join(benford, keys).join(dup, keys)
+    joined = journals.join(facts, keys, "left").join(benford, keys, "left").join(dup, keys, "left")
     tests = {
         "BENFORD_DEVIATION": F.col("deviation") > F.lit(Decimal("0.15")),
         "DUPLICATE_DETECTED": F.col("has_duplicates"),

@@ -52,19 +52,35 @@ def trial_balance(lines: DataFrame, levels: Sequence[str] | None = None) -> Data
 def roll_forward(movement: DataFrame, prior: DataFrame | None = None) -> DataFrame:
     """Opening and closing balances per account and fund over the months.
 
-    ``prior``: (account_code, fund, closing_balance) before the first month.
-    The window runs over monthly totals, not over ledger lines.
+    ``prior``: (account_code, fund, closing_balance) before the first month. Every account has a row for each
+    month up to the last one of ``movement``: from the first month if it has a prior balance, else from its own
+    first. A month without movement carries the balance over. The window runs over monthly totals, not over
+    ledger lines.
     """
     keys = ["account_code", "fund"]
-    w = Window.partitionBy(*keys).orderBy("period_start").rowsBetween(Window.unboundedPreceding, -1)
-    net = F.col("debit") - F.col("credit")
+    zero = F.lit(0).cast(SUM)
+    start = F.min("period_start").alias("_from")
     if prior is None:
-        base = movement.withColumn("_start", F.lit(0).cast(SUM))
+        accounts = movement.groupBy(*keys).agg(start).withColumn("_start", zero)
     else:
-        base = movement.join(
-            prior.select(*keys, F.col("closing_balance").alias("_start")), keys, "left"
-        ).withColumn("_start", F.coalesce("_start", F.lit(0).cast(SUM)))
-    opening = (F.col("_start") + F.coalesce(F.sum(net).over(w), F.lit(0).cast(SUM))).cast(SUM)
+        known = movement.select(*keys, "period_start", F.lit(None).cast(SUM).alias("_start")).unionByName(
+            prior.select(*keys, F.lit(None).cast("date").alias("period_start"), F.col("closing_balance").cast(SUM).alias("_start"))
+        )
+        accounts = known.groupBy(*keys).agg(start, F.sum("_start").alias("_start"))
+    # One row: the span of the months.
+    span = movement.agg(F.min("period_start").alias("_first"), F.max("period_start").alias("_last")).withColumn("_k", F.lit(1))
+    begin = F.col("_from") if prior is None else F.when(F.col("_start").isNull(), F.col("_from")).otherwise(F.col("_first"))
+    spine = (
+        accounts.withColumn("_k", F.lit(1))
+        .join(F.broadcast(span), "_k")
+        .select(*keys, "_start", F.explode(F.sequence(begin, F.col("_last"), F.expr("interval 1 month"))).alias("period_start"))
+    )
+    w = Window.partitionBy(*keys).orderBy("period_start").rowsBetween(Window.unboundedPreceding, -1)
+    base = spine.join(movement, [*keys, "period_start"], "left").select(
+        "period_start", *keys, "_start", F.coalesce("debit", zero).cast(SUM).alias("debit"), F.coalesce("credit", zero).cast(SUM).alias("credit")
+    )
+    net = F.col("debit") - F.col("credit")
+    opening = (F.coalesce("_start", zero) + F.coalesce(F.sum(net).over(w), zero)).cast(SUM)
     return (
         base.withColumn("opening_balance", opening)
         .withColumn("closing_balance", (F.col("opening_balance") + net).cast(SUM))

@@ -94,14 +94,24 @@ def weighted_score(df: DataFrame, dimensions: dict[str, Column], keys: Sequence[
     return out.withColumn("score", total.cast("decimal(12,8)"))
 
 
-def journal_validity(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Balanced, not empty and not zero, per journal (see ``lines`` dc/amount)."""
+def journal_validity(lines: DataFrame, keys: Sequence[str], journals: DataFrame | None = None) -> DataFrame:
+    """Balanced, not empty and not zero, per journal (see ``lines`` dc/amount).
+
+    ``journals`` holds ``keys`` of every journal, those without lines included.
+    """
     zero = F.lit(0).cast("decimal(20,2)")
     d = F.sum(F.when(F.col("dc") == "D", F.col("amount")).otherwise(zero))
     c = F.sum(F.when(F.col("dc") == "D", zero).otherwise(F.col("amount")))
     out = lines.groupBy(*keys).agg(
         d.alias("debits"), c.alias("credits"), F.count(F.col("dc")).alias("line_count")
     )
+    if journals is not None:
+        out = journals.select(*keys).join(out, list(keys), "left").select(
+            *keys,
+            F.coalesce("debits", zero).cast(out.schema["debits"].dataType).alias("debits"),
+            F.coalesce("credits", zero).cast(out.schema["credits"].dataType).alias("credits"),
+            F.coalesce("line_count", F.lit(0).cast("bigint")).alias("line_count"),
+        )
     return out.withColumn(
         "error",
         F.when(F.col("line_count") == 0, "NO_LINES")

@@ -25,7 +25,7 @@ def rows_of_runs(df: DataFrame, runs: DataFrame, status: str = "FAILED") -> Data
 
 
 def staging_archive(df: DataFrame, batch_id: str) -> Split:
-    mine = F.col("batch_id") == batch_id
+    mine = F.coalesce(F.col("batch_id") == batch_id, F.lit(False))
     return Split(df.where(~mine), df.where(mine))
 
 

@@ -33,10 +33,37 @@ def replace_partitions(df: DataFrame, path: str, partition_by: Sequence[str], so
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
 
 
-def post_lines(lines: DataFrame, path: str) -> None:
-    """Ledger lines below their month, in date order."""
-    monthly = lines.withColumn("je_month", F.trunc("je_date", "MM").cast("date"))
-    replace_partitions(monthly, path, ["je_month"], ["je_date", "je_id", "line_no"])
+def with_month(df: DataFrame) -> DataFrame:
+    return df.withColumn("je_month", F.trunc("je_date", "MM").cast("date"))
+
+
+def replace_run(
+    df: DataFrame, path: str, run_id: str, partition_by: Sequence[str] = (), sort_by: Sequence[str] = ()
+) -> None:
+    """Write the rows of one run to its own folder; a rerun replaces what the run wrote, and nothing else."""
+    keys = [*partition_by, *sort_by]
+    df = df.drop("run_id")
+    if keys:
+        df = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    df.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(*partition_by).parquet(
+        f"{path}/run_id={run_id}"
+    )
+
+
+def read_runs(spark: SparkSession, path: str, schema) -> DataFrame:
+    """All runs below ``path``; the schema keeps run ids text, whatever they look like."""
+    return spark.read.schema(schema).parquet(path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a table has been written at ``path``."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+
+
+def post_lines(lines: DataFrame, path: str, run_id: str) -> None:
+    """Ledger lines of one run below their month, in date order."""
+    replace_run(with_month(lines), path, run_id, ["je_month"], ["je_date", "je_id", "line_no"])
 
 
 def new_rows(df: DataFrame, existing: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

@@ -27,7 +27,10 @@ def export_vouchers(
     journal_types: Sequence[str] | None = None,
     include_exported: bool = False,
 ) -> Export:
-    """Write the lines and return the vouchers with the exported ones marked."""
+    """Write the lines and return the vouchers with those exported now marked.
+
+    A voucher exported before keeps its date, unless ``include_exported`` writes it again.
+    """
     rows = export_rows(vouchers, lines, start, end, journal_types, include_exported)
     write_export(rows, path)
     count = rows.sparkSession.read.text(path).count()
@@ -36,6 +39,8 @@ def export_vouchers(
     done = vouchers.where(F.col("journal_date").between(F.lit(start), F.lit(end)))
     if journal_types:
         done = done.where(F.col("journal_type").isin(list(journal_types)))
+    if not include_exported:
+        done = done.where(~F.col("exported"))
     marked = with_mark(
         vouchers, done, "voucher_id", "exported", "export_date", F.current_timestamp().cast("timestamp_ntz")
     )

@@ -334,12 +334,11 @@ def rollback(
     headers: DataFrame, lines: DataFrame, balances: DataFrame, premiums: DataFrame, claims: DataFrame, batch_id: str
 ) -> RolledBack:
     """Undo a committed batch: entries out, balances back, sources free again."""
-    gone = F.col("batch_id") == batch_id
+    gone = F.coalesce(F.col("batch_id") == batch_id, F.lit(False))
 
     def reset(df: DataFrame) -> DataFrame:
-        mine = F.coalesce(gone, F.lit(False))
-        return df.withColumn("batch_processed", F.col("batch_processed") & ~mine).withColumn(
-            "batch_id", F.when(~mine, F.col("batch_id"))
+        return df.withColumn("batch_processed", F.col("batch_processed") & ~gone).withColumn(
+            "batch_id", F.when(~gone, F.col("batch_id"))
         )
 
     return RolledBack(

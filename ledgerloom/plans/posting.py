@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import ledger, reports, sinks
-from ledgerloom.operators.ledger import monthly_movement, roll_forward, upsert_snapshot
+from ledgerloom.operators.ledger import monthly_movement, roll_forward
 from ledgerloom.plans.templates import Catalogue, expand_transactions
 
 
@@ -30,12 +30,13 @@ def post_month(
     target: str,
     run_id: str | None = None,
     prior: DataFrame | None = None,
-    snapshot: DataFrame | None = None,
 ) -> Posted:
-    """Stage, check, post and roll the balances of the months in ``txn``.
+    """Stage, check and post ``txn``, then roll the balances from its first month on.
 
-    Staging is written once and read back, so posting does not expand the
-    transactions again. Months are replaced as a whole, so a rerun is safe.
+    The ledger is append-only: each run has its own folder, so runs of the same months add up and a rerun
+    replaces itself alone. Entries another run has posted already (same je_number) are not posted again.
+    Balances come from the whole ledger of the months since the first one touched, on top of the balances
+    before it (``prior``: those before the ledger begins), so later months follow a change.
     """
     spark = txn.sparkSession
     run_id = run_id or uuid.uuid4().hex
@@ -46,19 +47,34 @@ def post_month(
         raise ValueError(f"run {run_id} has transactions without a template")
     stage = f"{target}/staging"
     for name, df in (("headers", out.headers), ("lines", out.lines)):
-        sinks.replace_partitions(df, f"{stage}/{name}", ["run_id"])
-    headers = spark.read.parquet(f"{stage}/headers").where(F.col("run_id") == run_id)
-    lines = spark.read.parquet(f"{stage}/lines").where(F.col("run_id") == run_id)
-    monthly = headers.withColumn("je_month", F.trunc("je_date", "MM").cast("date"))
-    sinks.replace_partitions(monthly, f"{target}/ledger_headers", ["je_month"], ["je_date", "je_number"])
-    sinks.post_lines(lines.drop("run_id"), f"{target}/ledger_lines")
-    rolled = roll_forward(monthly_movement(lines), prior)
-    if snapshot is not None:
-        rolled = upsert_snapshot(snapshot, rolled)
-    sinks.replace_partitions(rolled, f"{target}/balances", ["period_start"], ["account_code", "fund"])
+        sinks.replace_run(df, f"{stage}/{name}", run_id)
+    headers = sinks.read_runs(spark, f"{stage}/headers", out.headers.schema).where(F.col("run_id") == run_id)
+    lines = sinks.read_runs(spark, f"{stage}/lines", out.lines.schema).where(F.col("run_id") == run_id)
+    if sinks.exists(spark, f"{target}/ledger_headers"):
+        posted = sinks.read_runs(spark, f"{target}/ledger_headers", sinks.with_month(out.headers).schema)
+        others = posted.where(F.col("run_id") != run_id).select("je_number").distinct()
+        headers, lines = (df.join(others, "je_number", "left_anti") for df in (headers, lines))
+    sinks.replace_run(sinks.with_month(headers), f"{target}/ledger_headers", run_id, ["je_month"], ["je_date", "je_number"])
+    sinks.post_lines(lines, f"{target}/ledger_lines", run_id)
+    _roll(spark, target, headers, sinks.with_month(out.lines).schema, prior)
     return Posted(run_id, spark.read.parquet(f"{target}/balances"), out.unmatched)
 
 
+def _roll(spark: SparkSession, target: str, headers: DataFrame, schema, prior: DataFrame | None) -> None:
+    first = headers.agg(F.trunc(F.min("je_date"), "MM").cast("date")).first()[0]
+    if first is None:
+        return
+    ledger_lines = sinks.read_runs(spark, f"{target}/ledger_lines", schema).where(F.col("je_month") >= F.lit(first))
+    if sinks.exists(spark, f"{target}/balances"):
+        # Months below the first one touched stay as they are: the balances before it open the new ones.
+        keys = ["account_code", "fund"]
+        before = spark.read.parquet(f"{target}/balances").where(F.col("period_start") < F.lit(first))
+        last = before.groupBy(*keys).agg(F.max_by("closing_balance", "period_start").alias("closing_balance"))
+        prior = last if prior is None else last.unionByName(prior.select(*last.columns).join(last, keys, "left_anti"))
+    rolled = roll_forward(monthly_movement(ledger_lines), prior)
+    sinks.replace_partitions(rolled, f"{target}/balances", ["period_start"], ["account_code", "fund"])
+
+
 def trial_balance_of(spark: SparkSession, target: str) -> DataFrame:
     return ledger.trial_balance(spark.read.parquet(f"{target}/ledger_lines"))
 

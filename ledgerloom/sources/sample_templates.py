@@ -81,3 +81,23 @@ def sample_catalogue(spark: SparkSession) -> Catalogue:
         spark.createDataFrame(conds, K.TEMPLATE_COND),
         spark.createDataFrame(controls, K.TEMPLATE_CONTROL),
     )
+
+
+@lru_cache(maxsize=1)
+def balanced_catalogue(spark: SparkSession) -> Catalogue:
+    """Two templates that book every transaction of ``txn_source`` without a remainder."""
+    start, far = date(1990, 1, 1), date(9999, 12, 31)
+    templates = [
+        ("PREM", "1", "Premium", "PREMIUM_RECEIPT", "Premium", "JE", start, far, "ACTIVE"),
+        ("CLAIM", "1", "Claim", "CLAIM_PAID", "Claim", "JE", start, far, "ACTIVE"),
+    ]
+    matches = [(1, "PREM", "1", None, None, None, None, None, 100), (2, "CLAIM", "1", None, None, None, None, None, 100)]
+    lines = [(*key, *row) for key in (("PREM", "1"), ("CLAIM", "1")) for row in _LINES[key]]
+    controls = [("CLAIM", "1", True, Decimal("0.01"), "AUTO_ADJUST", "4099", "OP")]
+    return load_catalogue(
+        spark.createDataFrame(templates, K.TEMPLATE),
+        spark.createDataFrame(matches, K.TEMPLATE_MATCH),
+        spark.createDataFrame(lines, K.TEMPLATE_LINE),
+        spark.createDataFrame([], K.TEMPLATE_COND),
+        spark.createDataFrame(controls, K.TEMPLATE_CONTROL),
+    )

@@ -56,9 +56,9 @@ def e31(spark, root):
     return X.line_indicators(fraud_lines(spark, root), ["journal_id"])
 
 
-SIG = """sigl AS (SELECT * REPLACE (CAST(round(amount, -5) AS DECIMAL(20,2)) AS amount) FROM lines),
- sig AS (SELECT journal_id, string_agg(account_code || ':' || amount || ':' || dc, '|' ORDER BY account_code || ':' || amount || ':' || dc) AS signature
-   FROM sigl GROUP BY 1)"""
+SIG_WORDS = " || ':' || ".join(f"CAST(SUM(CAST('0x' || substr(h, {1 + 15 * i}, 15) AS HUGEINT)) AS VARCHAR)" for i in range(4))
+SIG = f"""sigl AS (SELECT journal_id, sha256(account_code || ':' || CAST(round(amount, -5) AS DECIMAL(20,2)) || ':' || dc) AS h FROM lines),
+ sig AS (SELECT journal_id, COUNT(*) || ':' || {SIG_WORDS} AS signature FROM sigl GROUP BY 1)"""
 
 
 def coarse_lines(spark, root):
@@ -102,11 +102,11 @@ def h19(spark, root):
  cn AS (SELECT journal_id, COUNT(d) AS sample_size, {", ".join(f"COUNT(*) FILTER (WHERE d = {i}) AS d{i}" for i in range(1, 10))} FROM dg GROUP BY 1),
  dev AS (SELECT journal_id, CASE WHEN sample_size >= 10 THEN ({DEV_SQL}) / 9 ELSE 0 END AS deviation FROM cn),
  sg AS (SELECT journal_id, string_agg(account_code || ':' || amount || ':' || dc, '|' ORDER BY account_code || ':' || amount || ':' || dc) AS s FROM flines GROUP BY 1),
- js AS (SELECT id AS journal_id, journal_date, created_date, s FROM journals JOIN sg ON id = journal_id),
+ js AS (SELECT id AS journal_id, journal_date, created_date, s FROM journals LEFT JOIN sg ON id = journal_id),
  dup AS (SELECT DISTINCT a.journal_id FROM js a JOIN js b ON a.s = b.s AND b.journal_date BETWEEN a.journal_date - 30 AND a.journal_date AND a.journal_id <> b.journal_id),
- t AS (SELECT js.journal_id, deviation > 0.15 AS b, dup.journal_id IS NOT NULL AS d, round_count > 0.3 * line_count AS r,
+ t AS (SELECT js.journal_id, COALESCE(deviation > 0.15, false) AS b, dup.journal_id IS NOT NULL AS d, COALESCE(round_count > 0.3 * line_count, false) AS r,
    hour(created_date) < 6 OR hour(created_date) > 20 OR isodow(created_date) >= 6 OR day(journal_date) >= 28 AS u,
-   unusual_combination AS c, near_threshold_count >= 3 AS st FROM js JOIN facts USING (journal_id) JOIN dev USING (journal_id) LEFT JOIN dup USING (journal_id)),
+   COALESCE(unusual_combination, false) AS c, COALESCE(near_threshold_count >= 3, false) AS st FROM js LEFT JOIN facts USING (journal_id) LEFT JOIN dev USING (journal_id) LEFT JOIN dup USING (journal_id)),
  sc AS (SELECT journal_id, CAST(least(0.3 * b::INT + 0.4 * d::INT + 0.2 * r::INT + 0.2 * u::INT + 0.3 * c::INT + 0.5 * st::INT, 1.0) AS DECIMAL(4,1)) AS risk_score,
    concat_ws(',', CASE WHEN b THEN 'BENFORD_DEVIATION' END, CASE WHEN d THEN 'DUPLICATE_DETECTED' END, CASE WHEN r THEN 'EXCESSIVE_ROUND_NUMBERS' END,
    CASE WHEN u THEN 'UNUSUAL_TIME_PATTERN' END, CASE WHEN c THEN 'UNUSUAL_ACCOUNT_COMBINATION' END, CASE WHEN st THEN 'POTENTIAL_STRUCTURING' END) AS indicators FROM t)

@@ -5,7 +5,7 @@ from ledgerloom.plans import templates as T
 from ledgerloom.plans.posting import post_month
 from ledgerloom.scratch import scratch_path
 from ledgerloom.sources import tables as S
-from ledgerloom.sources.sample_templates import sample_catalogue
+from ledgerloom.sources.sample_templates import balanced_catalogue, sample_catalogue
 from queries.registry import query
 from queries.views import GL, JOURNALS, LINES, TXN
 
@@ -111,9 +111,15 @@ def e12_rollup(spark, root):
     return G.trial_balance(expanded(spark, root).lines, ["period_start", "fund"])
 
 
-ROLL = MOVE + """, rolled AS (SELECT *, CAST(COALESCE(SUM(debit - credit) OVER (PARTITION BY account_code, fund ORDER BY period_start
- ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DECIMAL(38,6)) AS opening_balance FROM mvt),
+#: Each account's months from its first movement to the last month of all, then running balances.
+SPINE = """sp AS (SELECT account_code, fund, CAST(unnest(generate_series(f, (SELECT MAX(period_start) FROM mvt), INTERVAL 1 MONTH)) AS DATE) AS period_start
+   FROM (SELECT account_code, fund, MIN(period_start) AS f FROM mvt GROUP BY 1, 2)),
+ mvs AS (SELECT period_start, account_code, fund, CAST(COALESCE(debit, 0) AS DECIMAL(38,6)) AS debit, CAST(COALESCE(credit, 0) AS DECIMAL(38,6)) AS credit
+   FROM sp LEFT JOIN mvt USING (period_start, account_code, fund)),
+ rolled AS (SELECT *, CAST(COALESCE(SUM(debit - credit) OVER (PARTITION BY account_code, fund ORDER BY period_start
+ ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DECIMAL(38,6)) AS opening_balance FROM mvs),
  snap AS (SELECT *, CAST(opening_balance + debit - credit AS DECIMAL(38,6)) AS closing_balance FROM rolled)"""
+ROLL = MOVE + ", " + SPINE
 
 
 @query("f09_roll_forward", ROLL + " SELECT * FROM snap")
@@ -266,15 +272,21 @@ def d09(spark, root):
 
 @query(
     "l05_posted_balances",
-    f"""WITH {TXN}, m AS (SELECT txn_month AS period_start, CAST(SUM(gross_amount) AS DECIMAL(38,6)) AS g, CAST(SUM(tabarru_amount) AS DECIMAL(38,6)) AS t,
-   CAST(SUM(invest_amount) AS DECIMAL(38,6)) AS i, CAST(SUM(admin_amount) AS DECIMAL(38,6)) AS a FROM txn WHERE txn_type = 'CLAIM_PAID' AND gross_amount <= 400000 GROUP BY 1),
- mv AS (SELECT period_start, '5010' AS account_code, 'TBR' AS fund, t AS debit, CAST(0 AS DECIMAL(38,6)) AS credit FROM m UNION ALL SELECT period_start, '5020', 'INV', i, 0 FROM m
-   UNION ALL SELECT period_start, '1010', 'OP', 0, g FROM m UNION ALL SELECT period_start, '4099', 'OP', 0, a FROM m)
- SELECT period_start, account_code, fund, debit, credit, CAST(COALESCE(SUM(debit - credit) OVER w, 0) AS DECIMAL(38,6)) AS opening_balance,
- CAST(COALESCE(SUM(debit - credit) OVER w, 0) + debit - credit AS DECIMAL(38,6)) AS closing_balance FROM mv
- WINDOW w AS (PARTITION BY account_code, fund ORDER BY period_start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
+    f"""WITH {TXN}, m AS (SELECT txn_type, txn_month AS period_start, CAST(SUM(gross_amount) AS DECIMAL(38,6)) AS g, CAST(SUM(tabarru_amount) AS DECIMAL(38,6)) AS t,
+   CAST(SUM(invest_amount) AS DECIMAL(38,6)) AS i, CAST(SUM(admin_amount) AS DECIMAL(38,6)) AS a, CAST(SUM(tanahud_amount) AS DECIMAL(38,6)) AS h,
+   CAST(SUM(ujroh_amount) AS DECIMAL(38,6)) AS u FROM txn GROUP BY 1, 2),
+ each AS (SELECT period_start, '5010' AS account_code, 'TBR' AS fund, t AS debit, CAST(0 AS DECIMAL(38,6)) AS credit FROM m WHERE txn_type = 'CLAIM_PAID'
+   UNION ALL SELECT period_start, '5020', 'INV', i, 0 FROM m WHERE txn_type = 'CLAIM_PAID' UNION ALL SELECT period_start, '1010', 'OP', 0, g FROM m WHERE txn_type = 'CLAIM_PAID'
+   UNION ALL SELECT period_start, '4099', 'OP', 0, a FROM m WHERE txn_type = 'CLAIM_PAID' UNION ALL SELECT period_start, '1010', 'OP', g, 0 FROM m WHERE txn_type <> 'CLAIM_PAID'
+   UNION ALL SELECT period_start, '3010', 'TBR', 0, t FROM m WHERE txn_type <> 'CLAIM_PAID' UNION ALL SELECT period_start, '3020', 'TNH', 0, h FROM m WHERE txn_type <> 'CLAIM_PAID'
+   UNION ALL SELECT period_start, '3030', 'INV', 0, i FROM m WHERE txn_type <> 'CLAIM_PAID' UNION ALL SELECT period_start, '4010', 'OP', 0, u + a FROM m WHERE txn_type <> 'CLAIM_PAID'),
+ mvt AS (SELECT period_start, account_code, fund, CAST(SUM(debit) AS DECIMAL(38,6)) AS debit, CAST(SUM(credit) AS DECIMAL(38,6)) AS credit FROM each GROUP BY 1, 2, 3),
+ {SPINE} SELECT * FROM snap""",
 )
 def l05(spark, root):
-    """Claims of all months staged, posted to the ledger and rolled forward."""
-    claims = S.txn_source(spark, root).where("txn_type = 'CLAIM_PAID' and gross_amount <= 400000")
-    return post_month(claims, sample_catalogue(spark), scratch_path(spark, "ledger"), run_id="run-1").balances
+    """All transactions in two runs over the same months, the second one run again."""
+    txn, target = S.txn_source(spark, root), scratch_path(spark, "ledger")
+    late = F.crc32("source_rowid") % 2 == 1
+    post_month(txn.where(~late), balanced_catalogue(spark), target, run_id="run-1")
+    post_month(txn.where(late), balanced_catalogue(spark), target, run_id="run-2")
+    return post_month(txn.where(late), balanced_catalogue(spark), target, run_id="run-2").balances

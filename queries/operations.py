@@ -98,7 +98,7 @@ def b05(spark, root):
 @query(
     "l09_export_marks",
     f"""WITH {LINES} SELECT DISTINCT journal_id AS voucher_id, journal_id % 4 = 0 OR journal_type IN ('S0110', 'S0210', 'S0310') AS exported,
- journal_type IN ('S0110', 'S0210', 'S0310') AS has_date FROM lines WHERE t3 = 'F'""",
+ journal_id % 4 <> 0 AND journal_type IN ('S0110', 'S0210', 'S0310') AS has_date FROM lines WHERE t3 = 'F'""",
 )
 def l09(spark, root):
     heads, body = export_frames(spark, root)
@@ -426,12 +426,14 @@ def h04(spark, root):
 
 @query(
     "h05_journal_validity",
-    f"""WITH {LINES}, b AS (SELECT journal_id, CAST(SUM(CASE WHEN dc = 'D' THEN amount ELSE 0 END) AS DECIMAL(30,2)) AS debits,
- CAST(SUM(CASE WHEN dc = 'D' THEN 0 ELSE amount END) AS DECIMAL(30,2)) AS credits, COUNT(*) AS line_count FROM lines GROUP BY 1)
- SELECT *, CASE WHEN debits = 0 THEN 'ZERO_TOTAL' WHEN debits <> credits THEN 'UNBALANCED' END AS error FROM b""",
+    f"""WITH {LINES}, {JOURNALS}, b AS (SELECT id AS journal_id, CAST(COALESCE(SUM(CASE WHEN dc = 'D' THEN lines.amount ELSE 0 END), 0) AS DECIMAL(30,2)) AS debits,
+ CAST(COALESCE(SUM(CASE WHEN dc = 'D' THEN 0 ELSE lines.amount END), 0) AS DECIMAL(30,2)) AS credits, COUNT(dc) AS line_count
+ FROM journals LEFT JOIN lines ON id = lines.journal_id GROUP BY 1)
+ SELECT *, CASE WHEN line_count = 0 THEN 'NO_LINES' WHEN debits = 0 THEN 'ZERO_TOTAL' WHEN debits <> credits THEN 'UNBALANCED' END AS error FROM b""",
 )
 def h05(spark, root):
-    return Q.journal_validity(S.journal_lines(spark, root), ["journal_id"])
+    heads = S.journals(spark, root).select(F.col("id").alias("journal_id"))
+    return Q.journal_validity(S.journal_lines(spark, root), ["journal_id"], heads)
 
 
 @query(

@@ -110,11 +110,37 @@ def test_post_month_is_idempotent_and_balanced(spark, tmp_path):
     assert spark.read.parquet(f"{target}/ledger_lines").count() == 5
     total = trial_balance_of(spark, target).agg(F.sum("net")).first()[0]
     assert total == 0
-    assert out.balances.count() == 5
-    months = sorted(p.name for p in (tmp_path / "ledger" / "ledger_lines").glob("je_month=*"))
+    # Accounts without movement in the second month carry over.
+    accounts = out.balances.select("account_code", "fund").distinct().count()
+    assert out.balances.where("period_start = date'2024-02-01'").count() == accounts
+    months = sorted(p.name for p in (tmp_path / "ledger" / "ledger_lines").glob("run_id=r/je_month=*"))
     assert months == ["je_month=2024-01-01", "je_month=2024-02-01"]
 
 
+def test_runs_of_one_month_add_up(spark, tmp_path):
+    cat = catalogue(spark, LINES)
+    target = str(tmp_path / "ledger")
+    post_month(txn(spark, [ROWS[0]]), cat, target, run_id="1")
+    post_month(txn(spark, [ROWS[2]]), cat, target, run_id="2")
+    once = post_month(txn(spark, [ROWS[0], ROWS[2]]), cat, str(tmp_path / "once"), run_id="x").balances
+    again = post_month(txn(spark, [ROWS[0], ROWS[2]]), cat, target, run_id="2").balances  # the first is posted by run 1
+    lines = spark.read.parquet(f"{target}/ledger_lines")
+    assert lines.count() == spark.read.parquet(f"{tmp_path}/once/ledger_lines").count()
+    assert sorted(again.collect()) == sorted(once.collect())
+
+
+def test_roll_forward_keeps_idle_accounts(spark):
+    move = spark.createDataFrame(
+        [(date(2024, 1, 1), "A", "F", Decimal(5), Decimal(0)), (date(2024, 3, 1), "A", "F", Decimal(1), Decimal(0))],
+        "period_start date, account_code string, fund string, debit decimal(38,6), credit decimal(38,6)",
+    )
+    prior = spark.createDataFrame(
+        [("A", "F", Decimal(10)), ("B", "F", Decimal(99))], "account_code string, fund string, closing_balance decimal(38,6)"
+    )
+    got = {(r.account_code, r.period_start.month): int(r.closing_balance) for r in ledger.roll_forward(move, prior).collect()}
+    assert got == {("A", 1): 15, ("A", 2): 15, ("A", 3): 16, ("B", 1): 99, ("B", 2): 99, ("B", 3): 99}
+
+
 def test_post_month_refuses_unbalanced_entries(spark, tmp_path):
     with pytest.raises(UnbalancedError):
         post_month(txn(spark, ROWS), catalogue(spark, LINES), str(tmp_path / "x"))
