@@ -20,9 +20,6 @@ SCORE = "decimal(4,1)"
 CHAIN = ["entity_type", "entity_id"]
 ORDER = ["event_timestamp", "event_id"]
 
-# Events of one chain that are linked one after the other in one task.
-SEGMENT_EVENTS = 100_000
-
 
 def changed_fields(old: Column, new: Column) -> Column:
     """Sorted keys whose values differ between two string maps."""
@@ -115,20 +112,26 @@ def segment_seed(segment: Column) -> Column:
     return F.when(segment == 0, F.lit(GENESIS)).otherwise(seed)
 
 
-def chain_segments(events: DataFrame, segment_events: int = SEGMENT_EVENTS) -> DataFrame:
-    numbered = number_rows(events, ORDER, keys=CHAIN, column="chain_no")
-    return numbered.withColumn("segment", F.floor((F.col("chain_no") - 1) / F.lit(segment_events)))
+def month_segment(timestamp: str = "event_timestamp") -> Column:
+    """Calendar month as a number, the rule by which chains are cut unless another is given."""
+    return (F.year(timestamp) * 12 + F.month(timestamp) - 1).cast("bigint")
+
+
+def chain_segments(events: DataFrame, segment: Column | None = None) -> DataFrame:
+    """Events with their segment and, as chain_no, their place in it."""
+    cut = events.withColumn("segment", month_segment() if segment is None else segment.cast("bigint"))
+    return number_rows(cut, ORDER, keys=[*CHAIN, "segment"], column="chain_no")
 
 
-def build_hash_chain(events: DataFrame, segment_events: int = SEGMENT_EVENTS) -> DataFrame:
+def build_hash_chain(events: DataFrame, segment: Column | None = None) -> DataFrame:
     """(event_id, segment, chain_no, hash_previous, hash_current) per chain.
 
-    One chain per entity. Linking is serial, so a chain is cut into segments of
-    at most ``segment_events`` events; each later segment starts from a seed of
-    its own and ``segment_heads`` links the segments.
+    Linking is serial, so the chain of an entity is cut by a rule on the event itself: its calendar month, or
+    ``segment``. Each segment starts from a seed of its own, and ``segment_heads`` links them. ``F.lit(0)`` as
+    segment gives one chain per entity from the genesis hash, at any length.
     """
     keys = [*CHAIN, "segment"]
-    slim = chain_segments(events, segment_events).select(
+    slim = chain_segments(events, segment).select(
         *keys, "chain_no", "event_id", payload_digest(events.columns).alias("digest"),
         segment_seed(F.col("segment")).alias("seed"),
     )
@@ -161,7 +164,7 @@ def build_hash_chain(events: DataFrame, segment_events: int = SEGMENT_EVENTS) ->
 def segment_heads(chain: DataFrame) -> DataFrame:
     """Last hash of every segment with a root over the heads of its chain."""
     heads = chain.groupBy(*CHAIN, "segment").agg(F.max_by("hash_current", "chain_no").alias("head"))
-    # One head per segment: bounded by events / SEGMENT_EVENTS.
+    # One head per calendar month of an entity (or per value of the segment rule).
     roots = heads.groupBy(*CHAIN).agg(
         F.sha2(
             F.array_join(
@@ -173,13 +176,14 @@ def segment_heads(chain: DataFrame) -> DataFrame:
     return heads.join(roots, CHAIN)
 
 
-def verify_hash_chain(events: DataFrame) -> DataFrame:
+def verify_hash_chain(events: DataFrame, sliced: bool = False) -> DataFrame:
     """Events whose link or content does not fit, with what was expected.
 
-    ``events`` carry segment, hash_previous and hash_current.
+    ``events`` carry segment, hash_previous and hash_current. With ``sliced`` they are a range of dates: the first
+    event of a segment in the range has its predecessor outside and is checked for its content only.
     """
     linked = with_previous(events, ORDER, "hash_current", "_before", keys=[*CHAIN, "segment"])
-    expected_link = F.coalesce("_before", segment_seed(F.col("segment")))
+    expected_link = F.col("_before") if sliced else F.coalesce("_before", segment_seed(F.col("segment")))
     recomputed = F.sha2(F.concat(payload_digest(events.columns), F.col("hash_previous")), 256)
     broken = F.struct(
         F.lit("HASH_CHAIN_BROKEN").alias("error"), expected_link.alias("expected"), F.col("hash_previous").alias("actual")
@@ -233,13 +237,13 @@ def forensic_search(
 
 def audit_log(
     events: DataFrame, in_open_period: Column | None = None, fixed_risk: bool = False,
-    segment_events: int = SEGMENT_EVENTS,
+    segment: Column | None = None,
 ) -> DataFrame:
     """Events with changes, risk, flags and their place in the hash chain."""
     rich = with_compliance(events, in_open_period).withColumn("risk_score", risk_score(fixed_risk))
     if {"old_values", "new_values"} <= set(events.columns):
         rich = rich.withColumn("changed_fields", changed_fields(F.col("old_values"), F.col("new_values")))
-    chain = build_hash_chain(events, segment_events).drop(*CHAIN)
+    chain = build_hash_chain(events, segment).drop(*CHAIN)
     return rich.join(chain, "event_id")
 
 

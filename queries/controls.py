@@ -311,13 +311,19 @@ DIGEST = """sha256('{"context_user_id":' || user_id || ',"entity_id":"' || entit
  ',"event_timestamp":"' || strftime(event_timestamp, '%Y-%m-%dT%H:%M:%S.%f') || '","event_type":"' || event_type || '"}')"""
 
 
+def chain_sql(segment: str) -> str:
+    return f"""{AUDIT}, e AS (SELECT entity_id, event_id, {segment} AS segment, {DIGEST} AS digest,
+   ROW_NUMBER() OVER (PARTITION BY entity_id, {segment} ORDER BY event_timestamp, event_id) AS n FROM audit),
+ s AS (SELECT *, sha256('JOURNAL#' || entity_id || '#' || segment) AS seed FROM e),
+ chain AS (SELECT entity_id, segment, event_id, n, seed AS hash_previous, sha256(digest || seed) AS hash_current FROM s WHERE n = 1
+   UNION ALL SELECT s.entity_id, s.segment, s.event_id, s.n, c.hash_current, sha256(s.digest || c.hash_current)
+   FROM chain c JOIN s ON s.entity_id = c.entity_id AND s.segment = c.segment AND s.n = c.n + 1)"""
+
+
 @query(
     "f08_hash_chain",
-    f"""WITH RECURSIVE {AUDIT}, e AS (SELECT entity_id, event_id, {DIGEST} AS digest,
-   ROW_NUMBER() OVER (PARTITION BY entity_id ORDER BY event_timestamp, event_id) AS n FROM audit),
- chain AS (SELECT entity_id, event_id, n, repeat('0', 64) AS hash_previous, sha256(digest || repeat('0', 64)) AS hash_current FROM e WHERE n = 1
-   UNION ALL SELECT e.entity_id, e.event_id, e.n, c.hash_current, sha256(e.digest || c.hash_current) FROM chain c JOIN e ON e.entity_id = c.entity_id AND e.n = c.n + 1)
- SELECT 'JOURNAL' AS entity_type, entity_id, CAST(0 AS BIGINT) AS segment, n AS chain_no, event_id, hash_previous, hash_current FROM chain""",
+    f"""WITH RECURSIVE {chain_sql("CAST(year(event_timestamp) * 12 + month(event_timestamp) - 1 AS BIGINT)")}
+ SELECT 'JOURNAL' AS entity_type, entity_id, segment, n AS chain_no, event_id, hash_previous, hash_current FROM chain""",
 )
 def f08(spark, root):
     return A.build_hash_chain(S.audit_events(spark, root))
@@ -337,9 +343,31 @@ def f07(spark, root):
     return A.verify_hash_chain(altered).select("event_id", "error")
 
 
-@query("f08_segment_heads")
+@query(
+    "f07_slice_errors",
+    f"""WITH {AUDIT} SELECT event_id, 'HASH_MISMATCH' AS error FROM audit WHERE user_id % 50 = 7 AND event_timestamp >= TIMESTAMP '2024-01-15'""",
+)
+def f07_slice(spark, root):
+    """The same check from the fifteenth on: intact events raise no alarm."""
+    events = S.audit_events(spark, root)
+    stored = events.join(A.build_hash_chain(events).drop(*A.CHAIN), "event_id").where("event_timestamp >= timestamp'2024-01-15'")
+    altered = stored.withColumn(
+        "event_type", F.when(F.col("user_id") % 50 == 7, F.lit("ALTERED")).otherwise(F.col("event_type"))
+    )
+    return A.verify_hash_chain(altered, sliced=True).select("event_id", "error")
+
+
+@query(
+    "f08_segment_heads",
+    f"""WITH RECURSIVE {chain_sql("CAST(datediff('day', DATE '1970-01-01', CAST(event_timestamp AS DATE)) AS BIGINT)")},
+ h AS (SELECT entity_id, segment, arg_max(hash_current, n) AS head FROM chain GROUP BY 1, 2)
+ SELECT 'JOURNAL' AS entity_type, entity_id, segment, head, sha256(string_agg(head, '' ORDER BY segment) OVER (PARTITION BY entity_id
+   ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS root FROM h""",
+)
 def f08_heads(spark, root):
-    return A.segment_heads(A.build_hash_chain(S.audit_events(spark, root), segment_events=25))
+    """Chains cut by day."""
+    day = F.unix_date(F.to_date("event_timestamp"))
+    return A.segment_heads(A.build_hash_chain(S.audit_events(spark, root), day))
 
 
 @query(
