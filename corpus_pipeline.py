@@ -20,16 +20,16 @@ from ledgerloom.llm.substring import remove_repeats
 FLATTEN = 0.9
 
 
-def _with_row(docs: DataFrame, other: DataFrame) -> DataFrame:
-    """``docs`` with the columns of ``other``, whose key ``_key`` is a doc_id (a missing one included)."""
-    return docs.join(other, docs["doc_id"].eqNullSafe(other["_key"])).drop("_key")
+def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id, a missing one included, is in ``kept`` (_key)."""
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_key"]), "left_semi")
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the quality classifier predicts to be good; rows that share a doc_id are judged by the best of them."""
     scores = quality_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     good = scores.groupBy(F.col("doc_id").alias("_key")).agg(F.max("predicted").alias("_good")).where("_good = 1").select("_key")
-    return _with_row(docs, good)
+    return _only(docs, good)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +38,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Of rows that share this doc_id one stays; rows without doc_id stay, since nothing tells them apart.
     """
     groups = near_groups(docs, SIMILAR).where("doc_id <=> component_id").select(F.col("doc_id").alias("_key")).distinct()
-    kept = _with_row(docs, groups)
+    kept = _only(docs, groups)
     return kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).union(kept.where("doc_id IS NULL"))
 
 

@@ -87,10 +87,12 @@ def mix_sources(
     ``weights`` (_source as given by ``source_key``, weight) defaults to ``tempered_weights``; sources without
     a weight are left out. ``in_mix`` is true up to the slot at which the first source has run out: so far the
     mixture meets its target; all rows have a place in either case. With ``repeat`` a source starts again,
-    until the slowest has been used once in full, so the whole result meets the target; ``mix_epoch`` counts.
+    until the slowest has been used once in full, so the whole result meets the target; ``mix_epoch`` counts. The
+    added columns take the place of columns of these names.
     """
     weights = tempered_weights(docs) if weights is None else weights
     table = written(period_slots(ticks_of(weights, period), period), "period")  # `period` rows
+    docs = docs.drop("mix_slot", "mix_row", "in_mix", "mix_epoch", "mix_ticks")
     keyed = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
         source_key().alias("_source"),

@@ -150,8 +150,12 @@ def decode(ids: np.ndarray, v: Vocabulary) -> str:
 
 
 def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """``docs`` with ids (array<int>), n_ids and round_trip: decoding gives the text again (U+2581 as a blank)."""
+    """``docs`` with ids (array<int>), n_ids and round_trip: decoding gives the text again (U+2581 as a blank).
+
+    The added columns take the place of columns of these names.
+    """
     path = path or default_model()
+    docs = docs.drop("ids", "n_ids", "round_trip")
     columns = docs.columns
 
     def run(batches):

@@ -231,7 +231,10 @@ def marked_windows(docs: DataFrame, near: DataFrame, window: int, crowd: int) ->
     return copies.union(split).union(crowded)
 
 
-def _remover(window: int, columns: list[str]):
+ADDED = ["n_words", "n_removed", "kept_sha256", "kept_text"]
+
+
+def _remover(window: int):
     def run(batches):
         for batch in batches:
             removed, kept, total, digest = [], [], [], []
@@ -256,13 +259,13 @@ def _remover(window: int, columns: list[str]):
                 digest.append(hashlib.sha256(rest).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [
-                    *(batch.column(c) for c in columns),
+                    batch.column("_row"),
                     pa.array(total, pa.int64()),
                     pa.array(removed, pa.int64()),
                     pa.array(digest, pa.string()),
                     pa.array(kept, pa.string()),
                 ],
-                [*columns, "n_words", "n_removed", "kept_sha256", "kept_text"],
+                ["_row", *ADDED],
             )
 
     return run
@@ -273,11 +276,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
 
     A word goes if a window of ``window`` words around it also starts in a document with a smaller doc_id.
     Prefixes and first-copy tables are written to the shared folder; texts are shuffled once.
+    The added columns take the place of columns of these names.
     """
     if not prefix < window <= prefix + 61:
         raise ValueError("a window must be longer than its prefix, by 61 words at most")
-    columns = docs.columns
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("_id"), *columns)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ADDED]).alias("_row")
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("_id"), "text", row)
     seen = written(find_occurrences(rows, window, prefix), "anchors")
     shared = seen.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("key")
     shared = written(shared, "shared-prefixes")
@@ -287,8 +291,6 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
     marks = marked_windows(placed, near, window, crowd)
     lists = marks.groupBy(F.col("id").alias("_of")).agg(F.collect_list(F.struct("lo", "mask")).alias("_marks"))
     joined = placed.join(lists, placed["_id"] == lists["_of"], "left").drop("_of")
-    added = [("n_words", "long"), ("n_removed", "long"), ("kept_sha256", "string"), ("kept_text", "string")]
-    schema = T.StructType([f for f in docs.schema.fields])
-    for name, kind in added:
-        schema = schema.add(name, kind)
-    return joined.mapInArrow(_remover(window, columns), schema)
+    schema = T.StructType([rows.schema["_row"]]).add("n_words", "long").add("n_removed", "long")
+    schema = schema.add("kept_sha256", "string").add("kept_text", "string")
+    return joined.mapInArrow(_remover(window), schema).select("_row.*", *ADDED)
