@@ -1,8 +1,7 @@
-"""Distinct-value lists whose cells stay bounded.
+"""Distinct values as text lists, in a form a caller asks for, and modal values.
 
-A text list of all distinct references of an account pair has no size bound.
-A list longer than ``max_items`` is therefore spread over several rows, each
-with its ``part_no``; together the rows hold every value.
+A list of more than ``max_items`` values is spread over several rows, each with its ``part_no``; together the rows
+hold every value. Reports give values as rows.
 """
 
 from __future__ import annotations
@@ -14,16 +13,14 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators.numbering import join_keys
 
-MAX_ITEMS = 10_000
-
 
 def distinct_list_parts(
     df: DataFrame,
     keys: Sequence[str],
     value: str,
     column: str,
+    max_items: int,
     separator: str = ",",
-    max_items: int = MAX_ITEMS,
 ) -> DataFrame:
     """(keys, part_no, n_values, list) with values sorted inside each part."""
     keys = list(keys)

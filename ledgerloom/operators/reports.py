@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.numbering import quantile_cont
-from ledgerloom.operators.parts import MAX_ITEMS, distinct_list_parts
 
 PAIR = ["trx_date", "account_debit", "account_credit"]
 
@@ -76,55 +75,21 @@ def account_pair_totals(gl: DataFrame) -> DataFrame:
     )
 
 
-def account_pair_journals(gl: DataFrame, max_items: int = MAX_ITEMS) -> DataFrame:
-    """Day journals with reference and description lists.
+def account_pair_journals(gl: DataFrame) -> DataFrame:
+    """Day journals: one row per day and account pair, ranked by total.
 
-    One row per journal and list part. A list of more than ``max_items``
-    distinct values spreads over several parts, so no cell grows with the data.
+    The references and descriptions of a journal are rows of ``account_pair_details``, so no cell grows with the
+    data and the shape is the same at any size.
     """
-    values = pair_values(gl.where("amount > 0"), {"ref": "reference_1", "desc": "description"}, "ref")
-    totals = _totals(
-        values, [_distinct("ref").alias("n_refs"), _distinct("desc").alias("n_descs")]
-    ).where("total_amount > 0")
-    rank = Window.partitionBy("trx_date").orderBy(
-        F.desc("total_amount"), "account_debit", "account_credit"
-    )
-    ranked = totals.withColumn("journal_id", F.row_number().over(rank))
-
-    # Only pairs with an oversized list are joined back to their values.
-    def parts(name: str) -> Column:
-        return F.ceil(F.col(name) / F.lit(max_items))
-
-    hot = totals.where((F.col("n_refs") > max_items) | (F.col("n_descs") > max_items)).select(
-        *PAIR, parts("n_refs").alias("_refs"), parts("n_descs").alias("_descs")
+    totals = (
+        gl.where("amount > 0")
+        .groupBy("trx_date", F.coalesce("acc_debit", F.lit("")).alias("account_debit"), F.coalesce("acc_credit", F.lit("")).alias("account_credit"))
+        .agg(F.sum("amount").cast("decimal(30,2)").alias("total_amount"), F.count(F.lit(1)).alias("tx_count"))
+        .where("total_amount > 0")
     )
-    n_parts = F.greatest(F.when(F.col("kind") == "ref", F.col("_refs")).otherwise(F.col("_descs")), F.lit(1))
-    placed = values.join(hot, PAIR, "left").withColumn(
-        "part_no", F.coalesce(F.pmod(F.xxhash64("value"), n_parts), F.lit(0)).cast("int")
-    )
-
-    def values_of(kind: str, sep: str) -> Column:
-        picked = F.collect_list(F.when(F.col("kind") == kind, F.col("value")))
-        return F.array_join(F.array_sort(picked), sep)
-
-    def share(name: str) -> Column:
-        return F.coalesce(F.sum(F.when(F.col("is_total"), F.col(name))), F.lit(0))
-
-    # The explicit repartition places the parts of one pair in different tasks;
-    # without it the join's partitioning by pair would be kept. Amount and count
-    # of each part let both branches read one and the same shuffle.
-    lists = (
-        placed.repartition(*PAIR, "part_no")
-        .groupBy(*PAIR, "part_no")
-        .agg(
-            values_of("ref", ",").alias("ref_list"),
-            values_of("desc", " | ").alias("desc_list"),
-            share("part_amount").cast("decimal(30,2)").alias("part_amount"),
-            share("part_count").alias("part_count"),
-        )
-    )
-    return lists.join(ranked, PAIR).select(
-        "journal_id",
+    rank = Window.partitionBy("trx_date").orderBy(F.desc("total_amount"), "account_debit", "account_credit")
+    return totals.select(
+        F.row_number().over(rank).alias("journal_id"),
         *PAIR,
         F.lit("DAY").alias("journal_type"),
         F.concat_ws("_", "account_debit", "account_credit").alias("account_key"),
@@ -135,11 +100,14 @@ def account_pair_journals(gl: DataFrame, max_items: int = MAX_ITEMS) -> DataFram
         "total_amount",
         F.round(F.col("total_amount") / F.lit(1000000), 2).cast("decimal(24,2)").alias("amount_millions"),
         "tx_count",
-        "part_no",
-        "part_amount",
-        "part_count",
-        "ref_list",
-        "desc_list",
+    )
+
+
+def account_pair_details(gl: DataFrame) -> DataFrame:
+    """References (kind ref) and descriptions (desc) of the day journals, each with its amount and count."""
+    values = pair_values(gl.where("amount > 0"), {"ref": "reference_1", "desc": "description"}, "ref")
+    return values.where(F.col("value").isNotNull()).select(
+        *PAIR, "kind", "value", F.col("part_amount").cast("decimal(30,2)").alias("amount"), F.col("part_count").alias("tx_count")
     )
 
 
@@ -295,20 +263,27 @@ def data_quality_summary(journals: DataFrame, as_of: Column, age_days: int = 7)
     )
 
 
-def day_id_lists(gl: DataFrame, max_items: int = MAX_ITEMS) -> DataFrame:
-    """Day aggregate with its distinct t-codes and transaction ids in parts."""
-    keys = ["trx_date", "acc_debit", "acc_credit"]
-    head = gl.groupBy(*keys).agg(
+def day_totals(gl: DataFrame) -> DataFrame:
+    """Totals per day and account pair, with the number of different transaction ids."""
+    return gl.groupBy("trx_date", "acc_debit", "acc_credit").agg(
         F.sum("amount").alias("total_amount"),
         F.count(F.lit(1)).alias("tx_count"),
-        code_list("t_1").alias("t1_codes"),
+        F.count_distinct("trx_id").alias("n_trx_ids"),
+    )
+
+
+def day_ids(gl: DataFrame) -> DataFrame:
+    """The t-codes (kind t1) and transaction ids (trx_id) of each day and account pair, a row each."""
+    entries = F.array(
+        F.struct(F.lit("t1").alias("kind"), F.col("t_1").alias("value")),
+        F.struct(F.lit("trx_id").alias("kind"), F.col("trx_id").alias("value")),
+    )
+    rows = gl.select("trx_date", "acc_debit", "acc_credit", F.explode(entries).alias("e"))
+    return (
+        rows.groupBy("trx_date", "acc_debit", "acc_credit", F.col("e.kind").alias("kind"), F.col("e.value").alias("value"))
+        .agg(F.count(F.lit(1)).alias("tx_count"))
+        .where("value IS NOT NULL")
     )
-    ids = distinct_list_parts(gl, keys, "trx_id", "trx_ids", max_items=max_items)
-    other = ids.select(*[F.col(k).alias(f"i_{k}") for k in keys], "part_no", "n_trx_ids", "trx_ids")
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & F.col(k).eqNullSafe(F.col(f"i_{k}"))
-    return head.join(other, cond).drop(*[f"i_{k}" for k in keys])
 
 
 def journal_voucher_counts(journals: DataFrame) -> DataFrame:

@@ -33,12 +33,22 @@ def e01(spark, root):
   account_debit || '_' || account_credit AS account_key,
   CASE WHEN account_debit <> '' THEN account_debit ELSE account_credit END AS account, dc_marker,
   total_amount, CAST(round(total_amount * CAST(0.000001 AS DECIMAL(6,6)), 2) AS DECIMAL(24,2)) AS amount_millions,
-  tx_count, 0 AS part_no, total_amount AS part_amount, tx_count AS part_count, ref_list, desc_list FROM ranked""",
+  tx_count FROM ranked""",
 )
 def l06(spark, root):
     return R.account_pair_journals(S.gl_entries(spark, root))
 
 
+@query(
+    "l06_day_journal_details",
+    f"""WITH {GL} SELECT trx_date, COALESCE(acc_debit, '') AS account_debit, COALESCE(acc_credit, '') AS account_credit, k.kind, k.value,
+ CAST(SUM(amount) AS DECIMAL(30,2)) AS amount, COUNT(*) AS tx_count
+ FROM gl, LATERAL (VALUES ('ref', reference_1), ('desc', description)) k(kind, value) WHERE amount > 0 AND k.value IS NOT NULL GROUP BY ALL""",
+)
+def l06_details(spark, root):
+    return R.account_pair_details(S.gl_entries(spark, root))
+
+
 @query(
     "e02_account_pair_modes",
     f"""WITH {GL},
@@ -167,13 +177,21 @@ def e08(spark, root):
 
 
 @query(
-    "e09_day_id_lists",
+    "e09_day_totals",
     f"""WITH {GL} SELECT trx_date, acc_debit, acc_credit, CAST(SUM(amount) AS DECIMAL(30,2)) AS total_amount,
- COUNT(*) AS tx_count, string_agg(DISTINCT t_1, ',' ORDER BY t_1) AS t1_codes, 0 AS part_no,
- COUNT(DISTINCT trx_id) AS n_trx_ids, string_agg(DISTINCT trx_id, ',' ORDER BY trx_id) AS trx_ids FROM gl GROUP BY 1, 2, 3""",
+ COUNT(*) AS tx_count, COUNT(DISTINCT trx_id) AS n_trx_ids FROM gl GROUP BY 1, 2, 3""",
 )
 def e09(spark, root):
-    return R.day_id_lists(S.gl_entries(spark, root))
+    return R.day_totals(S.gl_entries(spark, root))
+
+
+@query(
+    "e09_day_id_lists",
+    f"""WITH {GL} SELECT trx_date, acc_debit, acc_credit, k.kind, k.value, COUNT(*) AS tx_count
+ FROM gl, LATERAL (VALUES ('t1', t_1), ('trx_id', trx_id)) k(kind, value) WHERE k.value IS NOT NULL GROUP BY ALL""",
+)
+def e09_ids(spark, root):
+    return R.day_ids(S.gl_entries(spark, root))
 
 
 @query(
