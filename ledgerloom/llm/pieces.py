@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import functools
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from pyspark.sql import types as T
 
 SPACE = "▁"
 #: Texts of single words kept with their ids by each worker.
-MEMO = 400_000
+MEMO = 600_000
 #: White space that ends a word; the next word begins with the blank that stands before it.
 WORD = re.compile(f"{SPACE}*[^{SPACE}]*")
 
@@ -47,8 +48,14 @@ class Vocabulary:
         self.scores = [round(s * 1e6) for s in scores]
         self.byte_ids = byte_ids
         self.longest = longest or max(map(len, self.ids), default=1)
-        #: Every start of a piece, with the piece's id or -1.
-        self.starts = {p[:n]: -1 for p in self.ids for n in range(1, len(p) + 1)} | self.ids
+        #: The pieces sign by sign: a sign leads to (further signs, score, id), with id -1 inside a piece.
+        self.trie: dict[str, tuple] = {}
+        for piece, k in sorted(self.ids.items()):
+            node = self.trie
+            for sign in piece[:-1]:
+                node = node.setdefault(sign, ({}, 0, -1))[0]
+            below = node[piece[-1]][0] if piece[-1] in node else {}
+            node[piece[-1]] = (below, self.scores[k], k)
         self.outside = min((self.scores[k] for k in self.ids.values()), default=0) - 10_000_000
         self.text = [p.encode() for p in pieces]
         for byte, k in enumerate(byte_ids):
@@ -76,56 +83,70 @@ def load(path: str) -> Vocabulary:
 
 def viterbi(text: str, v: Vocabulary):
     """Yield lists of ids as soon as they are final. ``text`` has U+2581 for blanks."""
-    look, scores, outside, longest = v.starts.get, v.scores, v.outside, v.longest
-    n = len(text)
-    best = {0: 0}
-    back: dict[int, tuple[int, int]] = {}  # boundary -> (boundary before, id or -1)
-    done = 0
+    trie, outside, longest = v.trie, v.outside, v.longest
+    n, done = len(text), 0
+    # Of each boundary from ``done`` on: its best sum, the boundary before it on that path, and the piece's id or -1.
+    best, back, by = [0], [0], [-1]
 
     def path(end: int) -> list[int]:
         out: list[int] = []
-        while end > done:
-            start, piece = back[end]
+        while end:
+            start, piece = back[end], by[end]
             if piece < 0:
-                out += [v.byte_ids[b] for b in reversed(text[start:end].encode())]
+                out += [v.byte_ids[b] for b in reversed(text[done + start : done + end].encode())]
             else:
                 out.append(piece)
             end = start
-        return out[::-1]
+        out.reverse()
+        return out
 
+    here = far = 0
     for at in range(n):
-        base = best.pop(at)
-        for end in range(at + 1, min(n, at + longest) + 1):
-            piece = look(text[at:end])
-            if piece is None:
+        if here + longest >= len(best):
+            more = min(n - at, 1024) + longest
+            best += [-(1 << 62)] * more
+            back += [0] * more
+            by += [-1] * more
+        base, end, node = best[here], here, trie
+        for sign in text[at : at + longest]:
+            found = node.get(sign)
+            if found is None:
                 break
-            if piece >= 0:
-                total = base + scores[piece]
-                if end not in best or total > best[end]:
-                    best[end], back[end] = total, (at, piece)
-        if at + 1 not in best or best[at + 1] < base + outside:
-            best[at + 1], back[at + 1] = base + outside, (at, -1)
-        # The states left are the ends of pieces that reach beyond this place; where they meet, all is decided.
-        if len(best) == 1:
-            (last,) = best
-            yield path(last)
-            done, best, back = last, {last: 0}, {}
-        elif at - done >= longest:
-            heads = set(best)
+            node, score, piece = found
+            end += 1
+            if piece >= 0 and base + score > best[end]:
+                best[end], back[end], by[end] = base + score, here, piece
+                if end > far:
+                    far = end
+        here += 1
+        if base + outside > best[here]:
+            best[here], back[here], by[here] = base + outside, here - 1, -1
+        if far < here:
+            far = here
+        if far == here:  # one state is left: all before it is decided
+            meet = here if here >= longest or at == n - 1 else 0
+        elif here >= longest and here % longest == 0:  # the boundary where the paths of all states meet
+            heads = {end for end in range(here, far + 1) if best[end] > -(1 << 62)}
             while len(heads) > 1:
                 top = max(heads)
-                heads = (heads - {top}) | {back[top][0]} if top > done else {done}
+                heads.remove(top)
+                heads.add(back[top])
             (meet,) = heads
-            if meet > done:
-                yield path(meet)
-                done = meet
-                back = {k: x for k, x in back.items() if k > meet}
+        else:
+            meet = 0
+        if meet:
+            yield path(meet)
+            if at == n - 1:
+                return
+            done, here, far = done + meet, here - meet, far - meet
+            best = [x - best[meet] if x > -(1 << 62) else x for x in best[meet:]]
+            back, by = [max(0, x - meet) for x in back[meet:]], by[meet:]
 
 
 def word_ids(word: str, v: Vocabulary) -> bytes:
     found = v.memo.get(word)
     if found is None:
-        found = np.array([i for part in viterbi(word, v) for i in part], np.int32).tobytes()
+        found = array("i", [i for part in viterbi(word, v) for i in part]).tobytes()
         if len(word) <= 64:
             if len(v.memo) >= MEMO:
                 v.memo.clear()
