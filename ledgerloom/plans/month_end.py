@@ -322,6 +322,53 @@ def mark_processed(df: DataFrame, day_col: str, start: date, end: date, batch_id
     )
 
 
+class MonthEnd(NamedTuple):
+    status: str
+    results: DataFrame
+    balances: DataFrame
+    premiums: DataFrame
+    claims: DataFrame
+
+
+def month_end(
+    premiums: DataFrame,
+    claims: DataFrame,
+    batches: DataFrame,
+    balances: DataFrame,
+    start: date,
+    end: date,
+    batch_id: str,
+    target: str,
+) -> MonthEnd:
+    """One batch: pre-flight, staging, pre-commit checks, publication, fund balances and source marks.
+
+    REFUSED by the pre-flight or REJECTED by the pre-commit checks, nothing is published and balances and sources come
+    back as they were. Entries are staged once below ``target`` and read back for every later step.
+    """
+    due = unprocessed(premiums, "payment_date", start, end), unprocessed(claims, "claim_date", start, end)
+    results = preflight(due[0], batches)
+    if not gate_passed(results):
+        return MonthEnd("REFUSED", results, balances, premiums, claims)
+    made = stage_entries(*due, batch_id)
+    kept = []
+    for name, df in zip(Staged._fields, made):
+        path = f"{target}/staging/{batch_id}/{name}"
+        df.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path)
+        kept.append(df.sparkSession.read.schema(df.schema).parquet(path))
+    staged = Staged(*kept)
+    checks = precommit(staged, *due)
+    results = results.unionByName(checks, allowMissingColumns=True)
+    if not publish(staged, checks, target, batch_id):
+        return MonthEnd("REJECTED", results, balances, premiums, claims)
+    return MonthEnd(
+        "COMMITTED",
+        results,
+        fund_balances(balances, staged.lines),
+        mark_processed(premiums, "payment_date", start, end, batch_id),
+        mark_processed(claims, "claim_date", start, end, batch_id),
+    )
+
+
 class RolledBack(NamedTuple):
     headers: DataFrame
     lines: DataFrame

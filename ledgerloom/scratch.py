@@ -29,7 +29,11 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/ledgerloom/{name}-{uuid.uuid4().hex}"
+    """A new path for an intermediate table, removed when the session ends."""
+    path = f"{scratch_root(spark)}/ledgerloom/{name}-{uuid.uuid4().hex}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
 
 
 def cut(df: DataFrame, name: str = "frame") -> DataFrame:

@@ -6,6 +6,7 @@ from ledgerloom.operators import checksums, sequences
 from ledgerloom.operators.ledger import fund_net_change
 from ledgerloom.operators.numbering import number_rows
 from ledgerloom.plans import month_end as M
+from ledgerloom.scratch import scratch_path
 from ledgerloom.sources import tables as S
 from queries.registry import query
 from queries.views import CLAIMS, PREMIUM
@@ -199,6 +200,37 @@ def e29_buckets(spark, root):
     return checksums.bucket_checksums(S.premium_transaction(spark, root), "txn_id", "premium_amount")
 
 
+@query(
+    "l07_month_end",
+    BASE + f""", net AS (SELECT fund_type, SUM(credit_amount - debit_amount) AS change FROM jl GROUP BY 1)
+ SELECT fund_type, 'COMMITTED' AS status, CAST(1000000 + change AS DECIMAL(38,2)) AS current_balance, (SELECT COUNT(*) FROM hdr) AS headers,
+ (SELECT COUNT(*) FROM jl) AS lines, (SELECT COUNT(*) FROM p WHERE payment_date BETWEEN '{START}' AND '{END}') AS premiums_marked,
+ (SELECT COUNT(*) FROM c WHERE claim_date BETWEEN '{START}' AND '{END}') AS claims_marked FROM net""",
+)
+def l07(spark, root):
+    """The whole batch as one call; what it published, balanced and marked."""
+    p, c = S.premium_transaction(spark, root), S.claims_transaction(spark, root)
+    funds = spark.createDataFrame([(f,) for f in ("OPERATOR", "TABARRU", "TANAHUD")], "fund_type string")
+    before = funds.withColumn("current_balance", F.lit(1000000).cast("decimal(38,2)"))
+    batches = spark.createDataFrame([(b, "COMPLETED") for b in M.PREREQUISITES], "batch_type string, status string")
+    target = scratch_path(spark, "month-end")
+    out = M.month_end(p, c, batches, before, START, END, BATCH, target)
+    mine = F.col("batch_id") == BATCH
+    counts = [
+        df.agg(F.count(F.lit(1)).alias(name))
+        for name, df in (
+            ("headers", spark.read.parquet(f"{target}/headers").where(mine)),
+            ("lines", spark.read.parquet(f"{target}/lines").where(mine)),
+            ("premiums_marked", out.premiums.where(mine)),
+            ("claims_marked", out.claims.where(mine)),
+        )
+    ]
+    rows = out.balances.withColumn("status", F.lit(out.status)).withColumn("_k", F.lit(1))
+    for one in counts:  # one row each
+        rows = rows.join(F.broadcast(one.withColumn("_k", F.lit(1))), "_k")
+    return rows.drop("_k")
+
+
 @query(
     "l08_rollback_balances",
     BASE + """ SELECT fund_type, CAST(1000000 AS DECIMAL(38,2)) AS current_balance FROM (VALUES ('OPERATOR'), ('TABARRU'), ('TANAHUD')) f(fund_type)""",

@@ -95,3 +95,20 @@ def test_no_sequence_gap_on_given_tables(spark, root):
     staged = M.stage_entries(S.premium_transaction(spark, root), S.claims_transaction(spark, root), "B")
     row = M.sequence_check(staged.headers, "je_sequence").first()
     assert row.gap_count == row.duplicate_count == 0 and row.last_seq == row.row_count
+
+
+def test_month_end_in_one_call(spark, root, tmp_path):
+    p, c = S.premium_transaction(spark, root), S.claims_transaction(spark, root)
+    funds = spark.createDataFrame([("TABARRU",), ("OPERATOR",)], "fund_type string").withColumn("current_balance", F.lit(5).cast("decimal(38,2)"))
+    done = spark.createDataFrame([(b, "COMPLETED") for b in M.PREREQUISITES], "batch_type string, status string")
+    span = date(1990, 1, 1), date(2010, 12, 31)
+    refused = M.month_end(p, c, done.where("batch_type <> 'AR_CLOSE'"), funds, *span, "B", str(tmp_path / "x"))
+    assert refused.status == "REFUSED" and not (tmp_path / "x").exists()
+    assert refused.balances.collect() == funds.collect()
+    out = M.month_end(p, c, done, funds, *span, "B", str(tmp_path / "y"))
+    assert out.status == "COMMITTED" and out.results.where("status = 'FAIL'").isEmpty()
+    lines = spark.read.parquet(str(tmp_path / "y" / "lines"))
+    for fund in ("TABARRU", "OPERATOR"):
+        moved = lines.where(F.col("fund_type") == fund).agg(F.sum(F.col("credit_amount") - F.col("debit_amount"))).first()[0]
+        assert out.balances.where(F.col("fund_type") == fund).first().current_balance == 5 + moved
+    assert out.premiums.where("NOT batch_processed").isEmpty() and out.claims.where("NOT batch_processed").isEmpty()
