@@ -60,6 +60,22 @@ def without_months(df: DataFrame, month: str, expired: DataFrame) -> DataFrame:
     return df.join(expired.select(F.col("month").alias(month)), month, "left_anti")
 
 
+def copy_partitioned(frames: dict[str, tuple[DataFrame, str]], cutoff: Column, target: str) -> DataFrame:
+    """Copy the rows of each table (frame, day column) from ``cutoff`` on into month partitions; report what is there.
+
+    Rows are dealt by month and day, so a large month is written by several tasks.
+    """
+    copied = {}
+    for name, (df, day) in frames.items():
+        rows = df.where(F.col(day) >= cutoff).withColumn("month", F.trunc(day, "MM").cast("date"))
+        path = f"{target}/{name}"
+        rows.repartitionByRange("month", day).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+            "month"
+        ).parquet(path)
+        copied[name] = df.sparkSession.read.parquet(path)
+    return copy_report(copied)
+
+
 def copy_report(frames: dict[str, DataFrame]) -> DataFrame:
     """Rows copied per table."""
     out = None

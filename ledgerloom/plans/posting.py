@@ -6,7 +6,7 @@ import time
 import uuid
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import ledger, reports, sinks
@@ -97,10 +97,22 @@ def refresh_reports(jobs: dict[str, DataFrame], target: str) -> DataFrame:
     return spark.createDataFrame(log, "view_name string, seconds double, row_count bigint, error string")
 
 
-def standard_reports(journals: DataFrame, gl: DataFrame) -> dict[str, DataFrame]:
-    return {
+def standard_reports(
+    journals: DataFrame,
+    gl: DataFrame,
+    vouchers: DataFrame | None = None,
+    payloads: DataFrame | None = None,
+    as_of: Column | None = None,
+) -> dict[str, DataFrame]:
+    """The summary tables by name; ``vouchers`` and ``payloads`` (see the two reports) add theirs."""
+    jobs = {
         "journal_daily_summary": reports.journal_daily_summary(journals),
         "account_balance": reports.account_balance_summary(gl),
         "tcode_analysis": reports.tcode_analysis(gl),
         "processing_metrics": reports.processing_metrics(journals),
     }
+    if vouchers is not None:
+        jobs["voucher_summary"] = reports.voucher_summary(vouchers)
+    if payloads is not None:
+        jobs["data_quality_summary"] = reports.data_quality_summary(payloads, F.current_date() if as_of is None else as_of)
+    return jobs

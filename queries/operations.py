@@ -20,6 +20,7 @@ from ledgerloom.scratch import scratch_path
 from ledgerloom.sources import readers
 from ledgerloom.sources import tables as S
 from queries.registry import avg6, query
+from queries.reports import VOUCHERS, finished_vouchers, payloads
 from queries.views import CHECKPOINTS, GL, JOURNALS, LINES, TXN
 
 
@@ -147,10 +148,13 @@ def b09(spark, root):
 
 @query(
     "b10_copy_report",
-    "SELECT 'journals' AS table_name, COUNT(*) AS rows_copied FROM orders UNION ALL SELECT 'gl_entries', COUNT(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
+    f"""WITH {JOURNALS}, {GL} SELECT 'journals' AS table_name, COUNT(*) AS rows_copied FROM journals WHERE journal_date >= DATE '1995-01-01'
+ UNION ALL SELECT 'gl_entries', COUNT(*) FROM gl WHERE trx_date >= DATE '1995-01-01'""",
 )
 def b10(spark, root):
-    return RT.copy_report({"journals": S.journals(spark, root), "gl_entries": S.gl_entries(spark, root)})
+    """Rows from 1995 on, copied into month partitions and counted there."""
+    frames = {"journals": (S.journals(spark, root), "journal_date"), "gl_entries": (S.gl_entries(spark, root), "trx_date")}
+    return RT.copy_partitioned(frames, F.lit("1995-01-01").cast("date"), scratch_path(spark, "copy"))
 
 
 @query(
@@ -173,7 +177,9 @@ def b11(spark, root):
     f"WITH {JOURNALS} SELECT journal_type, 'r1' AS run_id, 'COMPLETED' AS status, COUNT(*) AS record_count FROM journals GROUP BY 1",
 )
 def b12(spark, root):
-    return K.run_counts(S.journals(spark, root), "r1")
+    path = scratch_path(spark, "run-log")
+    K.append(K.run_counts(S.journals(spark, root), "r1"), path)
+    return spark.read.parquet(path)
 
 
 @query(
@@ -573,13 +579,38 @@ def h25(spark, root):
     return GR.reach(edge_table(spark, root), seeds, hops=3)
 
 
+L11 = {
+    "journal_daily_summary": ("entry_count", "SELECT COUNT(*) AS n FROM journals GROUP BY journal_date, journal_type"),
+    "account_balance": ("transaction_count", "SELECT COUNT(*) AS n FROM gl GROUP BY trx_date, acc_debit, acc_credit"),
+    "tcode_analysis": ("transaction_count", "SELECT COUNT(*) AS n FROM gl GROUP BY date_trunc('month', trx_date), t_1, t_2, t_3"),
+    "processing_metrics": ("records_processed", "SELECT COUNT(*) AS n FROM journals GROUP BY date_trunc('hour', created_date), journal_type"),
+    "voucher_summary": ("total_lines", "SELECT SUM(line_count) AS n FROM vouchers GROUP BY journal_date, journal_type"),
+    "data_quality_summary": ("null_data_count", "SELECT COUNT(*) FILTER (WHERE status = 'P') AS n FROM journals GROUP BY journal_date, journal_type"),
+}
+
+
 @query(
     "l11_refreshed_reports",
-    f"""WITH {JOURNALS}, {GL} SELECT 'journal_daily_summary' AS view_name, (SELECT COUNT(*) FROM (SELECT DISTINCT journal_date, journal_type FROM journals)) AS row_count
- UNION ALL SELECT 'account_balance', (SELECT COUNT(*) FROM (SELECT DISTINCT trx_date, acc_debit, acc_credit FROM gl))
- UNION ALL SELECT 'tcode_analysis', (SELECT COUNT(*) FROM (SELECT DISTINCT date_trunc('month', trx_date), t_1, t_2, t_3 FROM gl))
- UNION ALL SELECT 'processing_metrics', (SELECT COUNT(*) FROM (SELECT DISTINCT date_trunc('hour', created_date), journal_type FROM journals))""",
+    f"WITH {JOURNALS}, {GL}, {VOUCHERS} "
+    + " UNION ALL ".join(
+        f"SELECT '{name}' AS view_name, COUNT(*) AS row_count, CAST(SUM(n) AS BIGINT) AS total, CAST(SUM(n * n) AS BIGINT) AS squares FROM ({sql})"
+        for name, (_, sql) in L11.items()
+    ),
 )
 def l11(spark, root):
-    jobs = standard_reports(S.journals(spark, root), S.gl_entries(spark, root))
-    return refresh_reports(jobs, scratch_path(spark, "reports")).select("view_name", "row_count")
+    """All six tables written, read back and measured."""
+    jobs = standard_reports(
+        S.journals(spark, root), S.gl_entries(spark, root), finished_vouchers(spark, root), payloads(spark, root),
+        F.lit("2000-01-01").cast("date"),
+    )
+    target = scratch_path(spark, "reports")
+    log = refresh_reports(jobs, target).select("view_name", "row_count")
+    measures = None
+    for name, (column, _) in L11.items():
+        one = spark.read.parquet(f"{target}/{name}").agg(
+            F.lit(name).alias("view_name"),
+            F.sum(F.col(column).cast("bigint")).alias("total"),
+            F.sum(F.col(column).cast("bigint") * F.col(column).cast("bigint")).alias("squares"),
+        )
+        measures = one if measures is None else measures.unionByName(one)
+    return log.join(measures, "view_name")

@@ -94,7 +94,7 @@ def e04(spark, root):
     return R.account_balance_summary(S.gl_entries(spark, root))
 
 
-def _vouchers(spark, root):
+def finished_vouchers(spark, root):
     """One voucher per finished order with its line count."""
     lines = S.journal_lines(spark, root).where("t3 = 'F'")
     return lines.groupBy("journal_date", "journal_type", "journal_id").agg(
@@ -118,7 +118,7 @@ VOUCHERS = """vouchers AS (SELECT CAST(o_orderdate AS DATE) AS journal_date,
  CAST(SUM(line_count) AS BIGINT) AS total_lines, AVG(line_count) AS avg_lines_per_voucher FROM vouchers GROUP BY 1, 2""",
 )
 def e05(spark, root):
-    return R.voucher_summary(_vouchers(spark, root))
+    return R.voucher_summary(finished_vouchers(spark, root))
 
 
 @query(
@@ -162,6 +162,11 @@ def e07(spark, root):
  COUNT(*) FILTER (WHERE status = 'F' AND id % 11 = 0) AS type_mismatch_count FROM journals GROUP BY 1, 2""",
 )
 def e08(spark, root):
+    return R.data_quality_summary(payloads(spark, root), F.lit("2000-01-01").cast("date"))
+
+
+def payloads(spark, root):
+    """Journals with a JSON text, missing or not an object in some."""
     j = S.journals(spark, root)
     told = F.when(F.col("id") % 11 == 0, "other").otherwise(F.col("journal_type"))
     body = F.to_json(F.struct(F.when(F.col("status") == "F", told).alias("journal_type")))
@@ -170,10 +175,9 @@ def e08(spark, root):
         .when((F.col("status") == "O") & (F.col("id") % 7 == 0), "[1]")
         .otherwise(body)
     )
-    j = j.withColumn("data", data).withColumn(
+    return j.withColumn("data", data).withColumn(
         "search_id", F.when(F.col("amount") >= 1000, F.array("source_rowid"))
     )
-    return R.data_quality_summary(j, F.lit("2000-01-01").cast("date"))
 
 
 @query(
@@ -218,7 +222,7 @@ def e22(spark, root):
     # The stored document stands for the data column whose size is reported.
     j = S.journals(spark, root)
     sized = j.select("journal_date", "journal_ts", "created_date", F.concat(F.lit("12345678"), "status").alias("data"))
-    return R.processing_report(sized, _vouchers(spark, root), S.gl_entries(spark, root))
+    return R.processing_report(sized, finished_vouchers(spark, root), S.gl_entries(spark, root))
 
 
 @query(
