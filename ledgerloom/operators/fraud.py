@@ -30,12 +30,12 @@ MIN_BENFORD_SAMPLE = 10
 SHARE = "decimal(20,10)"
 
 
-def digit_profile(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """First-digit counts and mean absolute deviation from the expected shares."""
-    counted = lines.groupBy(*keys).agg(
-        F.count(first_digit(F.col("amount"))).alias("sample_size"),
-        *[F.count_if(first_digit(F.col("amount")) == d).alias(f"d{d}") for d in range(1, 10)],
-    )
+def _digit_counts() -> list[Column]:
+    digit = first_digit(F.col("amount"))
+    return [F.count(digit).alias("sample_size"), *[F.count_if(digit == d).alias(f"d{d}") for d in range(1, 10)]]
+
+
+def _with_deviation(counted: DataFrame) -> DataFrame:
     total = F.lit(0).cast(SHARE)
     for d, expected in enumerate(BENFORD, start=1):
         actual = F.try_divide(F.col(f"d{d}").cast("decimal(18,0)"), F.col("sample_size").cast("decimal(18,0)"))
@@ -47,20 +47,27 @@ def digit_profile(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def line_indicators(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Benford, round-number, structuring and account-pair facts per journal."""
+def digit_profile(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """First-digit counts and mean absolute deviation from the expected shares."""
+    return _with_deviation(lines.groupBy(*keys).agg(*_digit_counts()))
+
+
+def _line_facts() -> list[Column]:
     amount, account, dc = F.col("amount"), F.col("account_code"), F.col("dc")
     near = (amount >= F.lit(APPROVAL_THRESHOLD * Decimal("0.8"))) & (amount < F.lit(APPROVAL_THRESHOLD))
     cash_out = account.contains("CASH") & (dc == "C") & (amount > F.lit(CASH_LIMIT))
     expense = account.contains("EXPENSE") & (dc == "D")
-    facts = lines.groupBy(*keys).agg(
+    return [
         F.count(F.lit(1)).alias("line_count"),
         F.count_if(is_round_hundred(amount)).alias("round_count"),
         F.count_if(near).alias("near_threshold_count"),
         (F.coalesce(F.bool_or(cash_out), F.lit(False)) & F.coalesce(F.bool_or(expense), F.lit(False))).alias(
             "unusual_combination"
         ),
-    )
+    ]
+
+
+def _with_shares(facts: DataFrame) -> DataFrame:
     share = (F.col("round_count").cast("decimal(18,0)") / F.col("line_count").cast("decimal(18,0)")).cast(SHARE)
     return (
         facts.withColumn("round_share", share)
@@ -69,20 +76,26 @@ def line_indicators(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+def line_indicators(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Round-number, structuring and account-pair facts per journal."""
+    return _with_shares(lines.groupBy(*keys).agg(*_line_facts()))
+
+
 def _line_text() -> Column:
     return F.concat_ws(":", "account_code", F.col("amount").cast("string"), "dc")
 
 
+def _signature() -> Column:
+    words = [F.sum(_word(F.col("_d"), i)).cast("decimal(38,0)").cast("string") for i in range(_WORDS)]
+    return F.concat_ws(":", F.count(F.lit(1)).cast("string"), *words).alias("signature")
+
+
 def signatures(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Duplicate signature: the number of lines and an order-independent digest of their texts.
 
     Digests are added word by word, so sums combine before the shuffle and no journal is gathered.
     """
-    words = [F.sum(_word(F.col("_d"), i)).cast("decimal(38,0)").cast("string") for i in range(_WORDS)]
-    hashed = lines.select(*keys, F.sha2(_line_text(), 256).alias("_d"))
-    return hashed.groupBy(*keys).agg(
-        F.concat_ws(":", F.count(F.lit(1)).cast("string"), *words).alias("signature")
-    )
+    return lines.select(*keys, F.sha2(_line_text(), 256).alias("_d")).groupBy(*keys).agg(_signature())
 
 
 def signature_text(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -137,16 +150,16 @@ def fraud_scores(journals: DataFrame, lines: DataFrame) -> DataFrame:
 
     ``journals``: journal_id, journal_date, created_date. Journals without lines keep their time pattern.
     """
-    keys = ["journal_id"]
-    facts = line_indicators(lines, keys)
-    benford = digit_profile(lines, keys).select("journal_id", "deviation")
-    signed = signatures(lines, keys)
-    dup = duplicate_counts(
-        journals.select("journal_id", "journal_date").join(signed, "journal_id")
-    ).select("journal_id", "has_duplicates")
+    slim = lines.select("journal_id", "account_code", "amount", "dc", F.sha2(_line_text(), 256).alias("_d"))
+    facts = _with_shares(
+        _with_deviation(slim.groupBy("journal_id").agg(*_line_facts(), *_digit_counts(), _signature()))
+    )
+    known = journals.join(facts, "journal_id", "left")
+    # Journals without lines have no signature and no duplicates; they would only form one large group.
+    dup = duplicate_counts(known.where("signature IS NOT NULL").select("journal_id", "journal_date", "signature"))
     pattern = time_pattern(F.col("created_date"), F.col("journal_date"))
     unusual = pattern["after_hours"] | pattern["weekend"] | pattern["period_end"]
-    joined = journals.join(facts, keys, "left").join(benford, keys, "left").join(dup, keys, "left")
+    joined = known.join(dup.select("journal_id", "has_duplicates"), "journal_id", "left")
     tests = {
         "BENFORD_DEVIATION": F.col("deviation") > F.lit(Decimal("0.15")),
         "DUPLICATE_DETECTED": F.col("has_duplicates"),
