@@ -58,10 +58,10 @@ class Scheme:
 #: 64 bits, 4-word shingles, links up to 4 bits: found without exception.
 PLAIN = Scheme()
 #: Five-word shingles and a similarity of 0.8: equal-sized sets of Jaccard similarity 0.8 have cosine 8/9, at
-#: which a bit differs with probability acos(8/9)/pi = 0.1515, that is 39 of 256 bits on average; half a standard
-#: deviation is allowed on top. Eight tries of 32 bits with 3 errors each find 0.91 of the pairs at that border,
-#: 0.98 at similarity 0.85 and over 0.99 from 0.88 on.
-SIMILAR = Scheme(5, 4, True, 42, tuple(Trie(32 * k, 32, (8, 8, 8, 8)) for k in range(8)))
+#: which a bit differs with probability acos(8/9)/pi = 0.1515, that is 78 of 512 bits on average with a standard
+#: deviation of 8; one such deviation is allowed on top. Eight tries of 32 bits with 3 errors each find 0.91 of the
+#: pairs at that border, 0.98 at similarity 0.85 and over 0.99 from 0.88 on.
+SIMILAR = Scheme(5, 8, True, 86, tuple(Trie(32 * k, 32, (8, 8, 8, 8)) for k in range(8)))
 
 
 def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
