@@ -72,3 +72,10 @@ def hash_bucket(h: Column) -> Column:
 def source_key(source: str = "source") -> Column:
     """The source of a row as a key that is never null: ``=name``, or ``-`` for a missing one."""
     return F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("-"))
+
+
+def slices(batches, rows: int = 500):
+    """Arrow batches in pieces of ``rows`` rows, so that a task holds few texts as Python objects at a time."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm.common import shuffle_partitions, written
+from ledgerloom.llm.common import shuffle_partitions, slices, written
 
 U64 = np.uint64
 WINDOW = 50
@@ -114,7 +114,7 @@ def find_occurrences(docs: DataFrame, window: int, prefix: int) -> DataFrame:
 
     def run(batches):
         powers = Powers()
-        for batch in batches:
+        for batch in slices(batches):
             ids, found = [], []
             for id_, text in zip(batch.column("_id").to_pylist(), batch.column("text").to_pylist()):
                 got = occurrences(words_of(text), powers, window, prefix)
@@ -134,9 +134,12 @@ def _cutter(window: int, whole: bool):
     names = ["name", "id", "lo"] if whole else ["key", "id", "lo", "n", "words"]
     kinds = [pa.binary(), pa.int64(), pa.int32()] if whole else [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
 
+    def packed(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+
     def run(batches):
-        for batch in batches:
-            rows = []
+        rows: list[tuple] = []
+        for batch in slices(batches):
             for id_, text, spots in zip(*(batch.column(c).to_pylist() for c in ("_id", "text", "_spots"))):
                 words = words_of(text)
                 for spot in spots:
@@ -149,9 +152,11 @@ def _cutter(window: int, whole: bool):
                             rows.append((digest, id_, s))
                     else:
                         rows.append((key, id_, lo, n, b" ".join(words[lo : lo + n + window - 1])))
-            for s in range(0, len(rows), 20_000):
-                columns = zip(*rows[s : s + 20_000])
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+                    if len(rows) >= 20_000:
+                        yield packed(rows)
+                        rows = []
+        if rows:
+            yield packed(rows)
 
     return run
 
@@ -236,7 +241,7 @@ ADDED = ["n_words", "n_removed", "kept_sha256", "kept_text"]
 
 def _remover(window: int):
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             removed, kept, total, digest = [], [], [], []
             for text, marks in zip(batch.column("text").to_pylist(), batch.column("_marks").to_pylist()):
                 words = words_of(text)
