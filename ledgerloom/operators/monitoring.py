@@ -143,6 +143,7 @@ def alerts(kpis: DataFrame) -> DataFrame:
     )
 
 
+# The advice texts.
 def recommendation() -> Column:
     """Dry-run advice over batch KPIs."""
     return (

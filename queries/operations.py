@@ -284,22 +284,16 @@ def d14(spark, root):
 )
 def d17(spark, root):
     base = S.journal_lines(spark, root).select(F.col("journal_id").alias("reference"), "amount", "line_no")
-    one = base.groupBy("reference").agg(F.sum("amount").alias("amount"), F.count(F.lit(1)).alias("k"))
-    # Spread each side back over its lines, so that the operator has to total it.
+
     def side(skip, every, extra):
-        add = F.when(F.col("reference") % every == 0, F.lit(extra).cast("decimal(10,3)")).otherwise(F.lit(0).cast("decimal(10,3)"))
-        first = base.where(F.col("reference") % skip != 0).select("reference", F.col("amount").cast("decimal(20,3)").alias("amount"))
-        fix = one.where(F.col("reference") % skip != 0).select("reference", add.cast("decimal(20,3)").alias("amount")).where("amount <> 0")
-        return first, fix
-
-    j, _ = side(11, 1000003, "0")
-    b, b_fix = side(13, 7, "1")
-    s, s_fix = side(17, 5, "0.005")
-    out = MT.reconcile(j, b.unionByName(b_fix), s.unionByName(s_fix))
-    fixed = out.withColumn("bank_count", F.col("bank_count") - F.when(F.col("reference") % 7 == 0, 1).otherwise(0)).withColumn(
-        "source_count", F.col("source_count") - F.when(F.col("reference") % 5 == 0, 1).otherwise(0)
-    )
-    return fixed.select("reference", "journal_count", "bank_count", "source_count", "exception")
+        """The lines of most journals, the first line of some of them off by ``extra``."""
+        off = F.when((F.col("line_no") == 1) & (F.col("reference") % every == 0), F.lit(extra)).otherwise(F.lit("0"))
+        amount = F.col("amount").cast("decimal(20,3)") + off.cast("decimal(10,3)")
+        return base.where(F.col("reference") % skip != 0).select("reference", amount.alias("amount"))
+
+    journals = base.where(F.col("reference") % 11 != 0).select("reference", F.col("amount").cast("decimal(20,3)").alias("amount"))
+    out = MT.reconcile(journals, side(13, 7, "1"), side(17, 5, "0.005"))
+    return out.select("reference", "journal_count", "bank_count", "source_count", "exception")
 
 
 @query(
