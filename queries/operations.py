@@ -284,12 +284,11 @@ def d14(spark, root):
 )
 def d17(spark, root):
     lines = S.journal_lines(spark, root).select(F.col("journal_id").alias("reference"), "amount", "line_no")
-    firsts = lines.groupBy("reference").agg(F.min("line_no").alias("first_no"))
-    base = lines.join(firsts, "reference")
+    base = number_in_groups(lines, ["reference"], ["line_no"], column="place")
 
     def side(skip, every, extra):
         """The lines of most journals, the first line of some of them off by ``extra``."""
-        off = F.when((F.col("line_no") == F.col("first_no")) & (F.col("reference") % every == 0), F.lit(extra)).otherwise(F.lit("0"))
+        off = F.when((F.col("place") == 1) & (F.col("reference") % every == 0), F.lit(extra)).otherwise(F.lit("0"))
         amount = F.col("amount").cast("decimal(20,3)") + off.cast("decimal(10,3)")
         return base.where(F.col("reference") % skip != 0).select("reference", amount.alias("amount"))
 
