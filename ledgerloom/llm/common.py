@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import re
 import tempfile
 import uuid
 
@@ -13,6 +15,11 @@ SETTING = "spark.checkpoint.dir"
 RANGES = 4096
 
 
+@functools.lru_cache(maxsize=None)
+def _local_root(application: str) -> str:
+    return tempfile.mkdtemp(prefix="text-")
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder of the session, removed when the session ends.
 
@@ -20,10 +27,9 @@ def shared_path(spark: SparkSession, name: str) -> str:
     """
     root = spark.conf.get(SETTING, None)
     if not root:
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError(f"{SETTING} must name a folder all executors can reach")
-        root = tempfile.mkdtemp(prefix="text-")
-        spark.conf.set(SETTING, root)
+        root = _local_root(spark.sparkContext.applicationId)
     path = f"{root.rstrip('/')}/text/{name}-{uuid.uuid4().hex}"
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
