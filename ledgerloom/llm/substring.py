@@ -214,14 +214,14 @@ def _subtrees(window: int):
 
 
 def marked_windows(docs: DataFrame, near: DataFrame, window: int, crowd: int) -> DataFrame:
-    """(id, lo, mask): bit b is set if the window that starts at word lo + b is to be removed."""
+    """(id, los, mask): bit b is set if the windows that start b words after each of ``los`` are to be removed."""
     segments = near.groupBy("key", "seg").agg(F.min("id").alias("_first"))
     # Written, so that the joins below read plain exchanges, of which Spark splits a hot key's.
     sizes = written(segments.groupBy("key").agg(F.count(F.lit(1)).alias("_m")), "segment-counts")
     judged = near.join(segments.join(sizes, "key"), ["key", "seg"])
     full = F.expr("shiftleft(1L, n) - 1")
-    copies = judged.where("id > _first").select("id", "lo", full.alias("mask"))
-    firsts = judged.where("id = _first AND _m > 1")
+    copies = judged.where("id > _first").select("id", "los", full.alias("mask"))
+    firsts = judged.where("id = _first AND _m > 1").select("key", "id", F.explode("los").alias("lo"), "n", "_m")
 
     def cut(rows: DataFrame, whole: bool, schema: str) -> DataFrame:
         spots = rows.groupBy("id").agg(F.collect_list(F.struct("key", "lo", "n")).alias("_spots"))
@@ -229,10 +229,10 @@ def marked_windows(docs: DataFrame, near: DataFrame, window: int, crowd: int) ->
 
     groups = cut(firsts.where(F.col("_m") <= crowd), False, "key long, id long, lo int, n int, words binary")
     trees = groups.repartition(shuffle_partitions(docs.sparkSession), "key").sortWithinPartitions("key")
-    split = trees.mapInArrow(_subtrees(window), "id long, lo int, mask long")
+    split = trees.mapInArrow(_subtrees(window), "id long, lo int, mask long").select("id", F.array("lo").alias("los"), "mask")
     windows = written(cut(firsts.where(F.col("_m") > crowd), True, "name binary, id long, lo int"), "windows")
     least = written(windows.groupBy("name").agg(F.min("id").alias("_first")), "first-windows")
-    crowded = windows.join(least, "name").where("id > _first").select("id", "lo", F.lit(1).cast("long").alias("mask"))
+    crowded = windows.join(least, "name").where("id > _first").select("id", F.array("lo").alias("los"), F.lit(1).cast("long").alias("mask"))
     return copies.union(split).union(crowded)
 
 
@@ -249,12 +249,13 @@ def _remover(window: int):
                 if marks and len(words) >= window:
                     edge = np.zeros(len(words) + 1, np.int64)
                     for mark in marks:
-                        bits, s = mark["mask"], mark["lo"]
+                        bits = mark["mask"]
                         while bits:
                             low = (bits & -bits).bit_length() - 1
-                            if s + low + window <= len(words):
-                                edge[s + low] += 1
-                                edge[s + low + window] -= 1
+                            for s in mark["los"]:
+                                if s + low + window <= len(words):
+                                    edge[s + low] += 1
+                                    edge[s + low + window] -= 1
                             bits &= bits - 1
                     stay = np.cumsum(edge[:-1]) == 0
                     words = [w for w, k in zip(words, stay.tolist()) if k]
@@ -290,11 +291,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
     seen = written(find_occurrences(rows, window, prefix), "anchors")
     shared = seen.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("key")
     shared = written(shared, "shared-prefixes")
-    near = written(seen.join(shared, "key", "left_semi"), "shared-anchors")
+    # A segment that stands several times in a document is one row with all its places.
+    near = seen.join(shared, "key", "left_semi").groupBy("key", "seg", "id")
+    near = written(near.agg(F.collect_list("lo").alias("los"), F.min("n").alias("n")), "shared-anchors")
     # Dealt once by doc_id: both joins below read the same exchange.
     placed = rows.repartition(shuffle_partitions(docs.sparkSession), "_id")
     marks = marked_windows(placed, near, window, crowd)
-    lists = marks.groupBy(F.col("id").alias("_of")).agg(F.collect_list(F.struct("lo", "mask")).alias("_marks"))
+    lists = marks.groupBy(F.col("id").alias("_of")).agg(F.collect_list(F.struct("los", "mask")).alias("_marks"))
     joined = placed.join(lists, placed["_id"] == lists["_of"], "left").drop("_of")
     schema = T.StructType([rows.schema["_row"]]).add("n_words", "long").add("n_removed", "long")
     schema = schema.add("kept_sha256", "string").add("kept_text", "string")
