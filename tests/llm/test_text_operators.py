@@ -377,3 +377,59 @@ def test_native_operators_have_no_python_in_their_plans(docs):
     for frame in (licences.scan_licences(docs), sharding.proportional_shards(docs), mixing.mix_sources(docs)):
         plan = frame._jdf.queryExecution().executedPlan().toString()
         assert not any(word in plan for word in ("Python", "Arrow", "Pandas", "CartesianProduct", "NestedLoop"))
+
+
+WARRANTY = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR\nIMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,\nFITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE\nAUTHORS BE LIABLE.\n'
+MIT = (
+    "MIT License\n\nCopyright (c) 2020 Some One\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\n"
+    'of this software and associated documentation files (the "Software"), to deal\nin the Software without restriction, including without limitation the rights\n'
+    "to use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\n"
+    "furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all\n"
+    "copies or substantial portions of the Software.\n\n" + WARRANTY
+)
+ISC = (
+    "Copyright (c) 2020, Some One\n\nPermission to use, copy, modify, and/or distribute this software for any\n"
+    "purpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n\n"
+    'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES\nWITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF\nMERCHANTABILITY AND FITNESS. IN NO EVENT\n'
+)
+BSD = (
+    "Copyright (c) 2020, Some One\nAll rights reserved.\n\nRedistribution and use in source and binary forms, with or without\n"
+    "modification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this\n"
+    "   list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice,\n"
+    "   this list of conditions and the following disclaimer in the documentation\n   and/or other materials provided with the distribution.\n\n"
+)
+ENDORSE = (
+    "3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products derived from\n"
+    "   this software without specific prior written permission.\n\n"
+)
+GPL = (
+    "/*\n * This program is free software{0} you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n"
+    " * the Free Software Foundation{1} either version {2} of the License, or\n * (at your option) any later version.\n *\n"
+    " * This program is distributed in the hope that it will be useful,\n * but WITHOUT ANY WARRANTY; without even the implied warranty of\n"
+    " * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\n * GNU General Public License for more details.\n */\nint main;\n"
+)
+
+
+def test_verbatim_licences_are_found(spark):
+    want = {
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License. Either version 3 of the License, or (at your option) any later version.": "GPL-3.0-or-later",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License.": "GPL",
+        MIT: "MIT",
+        ISC: "ISC",
+        BSD: "BSD-2-Clause",
+        BSD + ENDORSE: "BSD-3-Clause",
+        BSD + ENDORSE.replace("the copyright holder", "Example Inc."): "BSD-3-Clause",
+        GPL.format(":", ",", 3): "GPL-3.0-or-later",
+        GPL.format(";", ";", 2): "GPL-2.0-or-later",
+        GPL.format(";", ";", 2).replace("This program is free", "GNU Tool is free"): "GPL-2.0-or-later",
+        "# SPDX-License-Identifier: MIT\nimport os\n": "MIT",
+        "// SPDX-License-Identifier: GPL-2.0+\n": "GPL-2.0-or-later",
+        "/* SPDX-License-Identifier: BSD-3-Clause */": "BSD-3-Clause",
+        "Title line\nLicensed under the MIT License\nnext line without a stop": "MIT",
+        'Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.\n': "Apache-2.0",
+        "Text on a license: we MIT people print it": "",
+    }
+    frame = spark.createDataFrame(list(enumerate(want)), "doc_id long, text string")
+    got = {r.doc_id: r.licences for r in licences.scan_licences(frame).collect()}
+    assert [got[k] for k in range(len(want))] == list(want.values())
+    assert all(any(h in s for h in licences.HINTS) for s in licences.STANDARD_SENTENCES)
