@@ -1,13 +1,14 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Rows of a source, shuffled by a seeded hash, form blocks of ``block_rows``. Target weights are rounded to
-ticks w out of a period of W slots. Block j of a source may start from slot floor(j W / w) on (its release)
-and must have had its slot by ceil((j + 1) W / w) (its deadline); at each slot the released block with the
-earliest deadline goes next. The full load makes this schedule feasible without idle slots, so every
-source stays within one block of its target at every slot, and after W slots all of them are exactly even:
-the order of one period, W rows, serves for all periods. When a source has run out, the others go on in
-the proportions of their ticks, or, with ``repeat``, it starts again until each source has been used once
-in full.
+Rows of a source, shuffled by a seeded hash, form blocks of ``block_rows``. Target weights are whole ticks w out of
+W = 2^40, so they are the given weights but for one part in 10^12. Block j of a source may start from slot
+floor(j W / w) on (its release) and must have had its slot by ceil((j + 1) W / w) (its deadline); at each slot the
+released block with the earliest deadline goes next. The full load makes this schedule feasible without idle
+slots, so every source stays within one block of its target at every slot. When a source has run out, the others
+go on from their releases, or, with ``repeat``, it starts again until each source has been used once in full.
+
+The schedule is a loop of the driver over blocks, a sixteenth of the rows, that reads only the number of blocks of
+each source; it is written as a table (source, block, slot) and joined to the rows by (source, block).
 
 A null source is a source of its own, null and empty texts are rows like any other, equal rows take
 neighbouring places, and an empty table gives an empty frame.
@@ -15,12 +16,19 @@ neighbouring places, and an empty table gives an empty frame.
 
 from __future__ import annotations
 
+import heapq
+from array import array
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import hash_bucket, numbered, source_key, written
 
 PERIOD = 1000
+#: Ticks the weights are rounded to for the schedule.
+FINE = 1 << 40
 
 
 def tempered_weights(docs: DataFrame, power: float = 0.7) -> DataFrame:
@@ -45,13 +53,13 @@ def ticks_of(weights: DataFrame, period: int = PERIOD) -> DataFrame:
     order = Window.orderBy(F.desc(F.col("_part") - F.col("_floor")), F.asc("_source"))
     left = F.lit(period) - F.col("_m") - F.sum("_floor").over(everything)
     extra = F.when(F.row_number().over(order) <= left, 1).otherwise(0)
-    ticks = (1 + F.col("_floor") + extra).cast("int")
-    fits = F.when(F.col("_m") > period, F.raise_error(F.lit("more sources than slots in a period")).cast("int"))
+    ticks = (1 + F.col("_floor") + extra).cast("long")
+    fits = F.when(F.col("_m") > period, F.raise_error(F.lit("more sources than slots in a period")).cast("long"))
     return shared.select("_source", F.coalesce(fits, ticks).alias("ticks"))
 
 
 def period_slots(ticks: DataFrame, period: int = PERIOD) -> DataFrame:
-    """(_source, ticks, _turn, _slot): the slot of each source's block of every period, W rows in all."""
+    """(_source, ticks, _turn, _slot): one short period of the schedule as a SQL fold, ``period`` rows; tests compare it."""
     sources = ticks.agg(F.sort_array(F.collect_list(F.struct("_source", "ticks"))).alias("s")).where(F.size("s") > 0)
     ready = (
         f"transform(filter(sequence(0, size(s) - 1), i -> get(a.used, i) < get(s, i).ticks"
@@ -74,11 +82,58 @@ def period_slots(ticks: DataFrame, period: int = PERIOD) -> DataFrame:
     )
 
 
+def schedule(ticks: list[int], blocks: list[int], period: int, repeat: bool = False):
+    """Arrays (source, turn, slot) of the blocks in their order, and the slot at which the first source has run out.
+
+    ``ticks`` add up to ``period``. With ``repeat`` turns go on until turn ``blocks - 1`` of each source is placed.
+    The last blocks of the first pass are then asked for as soon as they may all have been placed, and later
+    only if another block would miss its deadline.
+    """
+    if not repeat:
+        source, turn, slot, through, _ = _earliest(ticks, blocks, period, None)
+        return source, turn, slot, through
+    ready, extra = max((b - 1) * period // w + 1 for w, b in zip(ticks, blocks)), len(ticks)
+    while True:
+        source, turn, slot, through, met = _earliest(ticks, blocks, period, ready + extra)
+        if met:
+            return source, turn, slot, through
+        extra *= 2
+
+
+def _earliest(ticks, blocks, period, last):
+    """One run by earliest deadline; ``last`` bounds the deadlines of the first pass, whose sources start again."""
+    source, turn, slot = array("i"), array("q"), array("q")
+    used, left, at, through = [0] * len(ticks), sum(blocks) if last is None else len(ticks), 0, None
+    coming, ready = [(0, i) for i in range(len(ticks))], []
+    while left:
+        while coming and coming[0][0] <= at:
+            i = heapq.heappop(coming)[1]
+            due = -(-(used[i] + 1) * period // ticks[i])
+            heapq.heappush(ready, (min(due, last) if last is not None and used[i] == blocks[i] - 1 else due, i))
+        if not ready:
+            at = coming[0][0]
+            continue
+        due, i = heapq.heappop(ready)
+        if last is None and used[i] == blocks[i]:  # it has run out: its slot goes to the others from here on
+            through = at if through is None else through
+            continue
+        if last is not None and due <= at:
+            return source, turn, slot, at, False
+        source.append(i)
+        turn.append(used[i])
+        slot.append(at)
+        used[i] += 1
+        at += 1
+        left -= last is None or used[i] == blocks[i]
+        heapq.heappush(coming, (used[i] * period // ticks[i], i))
+    return source, turn, slot, at if through is None else through, True
+
+
 def mix_sources(
     docs: DataFrame,
     weights: DataFrame | None = None,
     block_rows: int = 16,
-    period: int = PERIOD,
+    period: int = FINE,
     seed: int = 29,
     repeat: bool = False,
 ) -> DataFrame:
@@ -87,11 +142,11 @@ def mix_sources(
     ``weights`` (_source as given by ``source_key``, weight) defaults to ``tempered_weights``; sources without
     a weight are left out. ``in_mix`` is true up to the slot at which the first source has run out: so far the
     mixture meets its target; all rows have a place in either case. With ``repeat`` a source starts again,
-    until the slowest has been used once in full, so the whole result meets the target; ``mix_epoch`` counts. The
-    added columns take the place of columns of these names.
+    until the slowest has been used once in full, so the whole result meets the target; ``mix_epoch`` counts.
+    ``mix_ticks`` is the share of a source in thousandths. The added columns take the place of columns of these names.
     """
     weights = tempered_weights(docs) if weights is None else weights
-    table = written(period_slots(ticks_of(weights, period), period), "period")  # `period` rows
+    ticks = written(ticks_of(weights, period), "ticks")
     docs = docs.drop("mix_slot", "mix_row", "in_mix", "mix_epoch", "mix_ticks")
     keyed = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
@@ -99,54 +154,36 @@ def mix_sources(
         F.xxhash64(F.lit(seed), F.col("doc_id")).alias("_hash"),
         F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("_tie"),
     )
-    return _placed(keyed, table, docs.columns, block_rows, period, repeat)
+    return _placed(keyed, ticks, docs.columns, block_rows, repeat)
 
 
-def _placed(keyed, table, columns, block_rows, period, repeat) -> DataFrame:
+def _placed(keyed, ticks, columns, block_rows, repeat) -> DataFrame:
     ties = [F.col("_row.doc_id"), F.col("_tie")]
     ranked = numbered(keyed, ["_source"], F.col("_hash"), hash_bucket(F.col("_hash")), ties, "_rank")
-    size = source_sizes(keyed, table, block_rows, period)
-    ranked = ranked.withColumn("_block", F.expr(f"_rank div {block_rows}")).join(F.broadcast(size), "_source")
-    if repeat:
-        last = f"((_until + {period - 1}) div {period} * ticks - 1 - _block) div _blocks"
-        ranked = ranked.withColumn("mix_epoch", F.explode(F.expr(f"sequence(0L, {last})")))
-        ranked = ranked.withColumn("_block", F.col("_block") + F.col("mix_epoch") * F.col("_blocks"))
-    else:
-        ranked = ranked.withColumn("mix_epoch", F.lit(0).cast("long"))
-    ranked = ranked.withColumn("_turn", F.expr("CAST(_block % ticks AS int)"))
-    slots = F.broadcast(table.select("_source", "_turn", "_slot"))  # one period: `period` rows
-    slotted = ranked.join(slots, ["_source", "_turn"]).withColumn("mix_slot", F.expr(f"_block div ticks * {period} + _slot"))
-    return slotted.where("mix_slot < _until").select(
+    ranked = ranked.withColumn("_block", F.expr(f"_rank div {block_rows}"))
+    slots = scheduled(keyed, ticks, block_rows, repeat)
+    return ranked.join(slots, ["_source", "_block"]).select(
         *[F.col(f"_row.`{c}`").alias(c) for c in columns],
         "mix_slot",
         F.expr(f"CAST(_rank % {block_rows} AS int)").alias("mix_row"),
-        F.expr("mix_slot < _through").alias("in_mix"),
+        "in_mix",
         "mix_epoch",
-        F.col("ticks").alias("mix_ticks"),
+        "mix_ticks",
     )
 
 
-def source_sizes(keyed: DataFrame, table: DataFrame, block_rows: int, period: int) -> DataFrame:
-    """(_source, ticks, _blocks, _until, _through): one row per source, at most one per slot of a period.
-
-    ``_until`` is the slot after the last block of any source, ``_through`` the first slot whose source has no block
-    left.
-    """
-    everything = Window.partitionBy()
-    counts = keyed.groupBy("_source").agg(F.count(F.lit(1)).alias("_n"))
-    blocks = counts.join(table.where("_turn = 0").select("_source", "ticks"), "_source").withColumn(
-        "_blocks", F.expr(f"(_n + {block_rows - 1}) div {block_rows}")
-    )
-    ends = blocks.withColumn("_end", F.explode(F.expr("array(_blocks - 1, _blocks)")))
-    ends = ends.withColumn("_turn", F.expr("CAST(_end % ticks AS int)")).join(
-        table.select("_source", "_turn", "_slot"), ["_source", "_turn"]
-    )
-    slot = F.expr(f"_end div ticks * {period} + _slot")
-    return ends.select(
-        "_source",
-        "ticks",
-        "_blocks",
-        "_end",
-        F.max(F.when(F.col("_end") < F.col("_blocks"), slot + 1)).over(everything).alias("_until"),
-        F.min(F.when(F.col("_end") == F.col("_blocks"), slot)).over(everything).alias("_through"),
-    ).where("_end = _blocks").drop("_end")
+def scheduled(keyed: DataFrame, ticks: DataFrame, block_rows: int, repeat: bool) -> DataFrame:
+    """(_source, _block, mix_epoch, mix_slot, in_mix, mix_ticks): one row per block and epoch."""
+    spark = keyed.sparkSession
+    counts = keyed.groupBy("_source").agg(F.count(F.lit(1)).alias("_n")).join(ticks, "_source")
+    sources = sorted((r._source, r.ticks, -(-r._n // block_rows)) for r in counts.collect())  # one row per source
+    names, w, blocks = zip(*sources) if sources else ((), (), ())
+    source, turn, slot, through = schedule(w, blocks, sum(w), repeat) if sources else ([], [], [], 0)
+    source, turn, slot = np.array(source, np.int32), np.array(turn, np.int64), np.array(slot, np.int64)
+    size = np.array(blocks, np.int64)[source] if len(source) else turn
+    columns = {"_at": source, "_block": turn % np.maximum(size, 1), "mix_epoch": turn // np.maximum(size, 1), "mix_slot": slot}
+    places = spark.createDataFrame(pa.table(columns | {"in_mix": np.full(len(slot), True) if repeat else slot < through}))
+    places = written(places, "slots")
+    known = [(k, name, t * PERIOD / sum(w)) for k, (name, t, _) in enumerate(sources)]
+    named = spark.createDataFrame(known, "_at int, _source string, mix_ticks double")
+    return places.join(named, "_at").drop("_at")

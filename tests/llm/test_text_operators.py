@@ -433,3 +433,31 @@ def test_verbatim_licences_are_found(spark):
     got = {r.doc_id: r.licences for r in licences.scan_licences(frame).collect()}
     assert [got[k] for k in range(len(want))] == list(want.values())
     assert all(any(h in s for h in licences.HINTS) for s in licences.STANDARD_SENTENCES)
+
+
+def test_schedule_follows_exact_weights_of_uneven_sources():
+    ticks = [500_000, *[23_800] * 20, 23_999, 1]  # of 1,000,000: the last source has a target of 0.006 blocks
+    blocks = [3000, *[143] * 20, 144, 1]
+    for repeat in (False, True):
+        source, turn, slot, through = mixing.schedule(ticks, blocks, sum(ticks), repeat)
+        used = Counter()
+        for i, j, t in zip(source, turn, slot):
+            assert j == used[i]
+            used[i] += 1
+            if repeat or t < through:
+                assert all(abs(used[s] - w * (t + 1) / 1_000_000) < 1 for s, w in enumerate(ticks))
+        assert list(slot)[:through] == list(range(through)) and len(set(slot)) == len(slot)
+        assert used[22] == 1 and (all(used[s] >= b for s, b in enumerate(blocks)) if repeat else dict(used) == dict(enumerate(blocks)))
+    assert len(slot) < 6100
+
+
+def test_a_source_of_one_row_is_not_repeated_each_thousand_slots(spark):
+    frame = spark.range(3001).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 3000, "a").otherwise("b").alias("source"))
+    weights = spark.createDataFrame([("=a", 3000.0), ("=b", 1.0)], "_source string, weight double")
+    rows = mixing.mix_sources(frame, weights, block_rows=1, repeat=True).collect()
+    assert Counter(r.source for r in rows)["b"] == 1 and len({r.doc_id for r in rows}) == 3001
+
+
+def test_more_than_a_thousand_sources_mix(spark):
+    frame = spark.range(2400).select(F.col("id").alias("doc_id"), (F.col("id") % 1200).cast("string").alias("source"))
+    assert mixing.mix_sources(frame).select("doc_id").distinct().count() == 2400
