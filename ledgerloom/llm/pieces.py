@@ -6,8 +6,9 @@ Whenever the best paths of all states of the window go through one boundary, the
 handed on, so a text of any length needs the memory of a window and of the stretch not yet decided. Among equal
 scores the longer last piece wins.
 
-A sign that no piece covers is written as the bytes of its UTF-8 form. Decoding joins the pieces, turns bytes back into
-signs and U+2581 into blanks, and takes the first blank away, which gives back every text without U+2581 exactly.
+A sign that no piece covers is written as the bytes of its UTF-8 form, and so is U+2581 where the text itself holds it.
+Decoding joins the pieces with U+2581 as a blank, turns bytes back into signs, and takes the first blank away, which
+gives back every text exactly. (A vocabulary without the piece U+2581 cannot tell it from a blank; round_trip says so.)
 
 Scores of a unigram model are used as they are. The merge ranks of a BPE model aren't log probabilities; its pieces
 get those of Zipf's law by rank, -ln(rank + 2). Scores count in whole millionths, so sums are exact and ties are
@@ -57,7 +58,9 @@ class Vocabulary:
             below = node[piece[-1]][0] if piece[-1] in node else {}
             node[piece[-1]] = (below, self.scores[k], k)
         self.outside = min((self.scores[k] for k in self.ids.values()), default=0) - 10_000_000
-        self.text = [p.encode() for p in pieces]
+        #: With a piece for the blank, bytes of U+2581 are always a sign of the text.
+        self.blank = SPACE in self.ids
+        self.text = [(p.replace(SPACE, " ") if self.blank else p).encode() for p in pieces]
         for byte, k in enumerate(byte_ids):
             self.text[k] = bytes([byte])
         #: No piece holds a blank after another sign, so every word is decided on its own.
@@ -157,7 +160,18 @@ def word_ids(word: str, v: Vocabulary) -> bytes:
 def encode(text: str, v: Vocabulary) -> np.ndarray:
     if not text:
         return np.empty(0, np.int32)
-    text = SPACE + text.replace(" ", SPACE)
+    if not v.blank or SPACE not in text:
+        return run_ids(SPACE + text.replace(" ", SPACE), v)
+    sign = np.array([v.byte_ids[b] for b in SPACE.encode()], np.int32)
+    parts = text.split(SPACE)
+    out = [run_ids(SPACE + parts[0].replace(" ", SPACE), v)]
+    for part in parts[1:]:
+        out += [sign, run_ids(part.replace(" ", SPACE), v)]
+    return np.concatenate(out)
+
+
+def run_ids(text: str, v: Vocabulary) -> np.ndarray:
+    """Ids of a stretch that has U+2581 for blanks."""
     if not v.by_words:
         return np.array([i for part in viterbi(text, v) for i in part], np.int32)
     memo = v.memo
@@ -166,12 +180,12 @@ def encode(text: str, v: Vocabulary) -> np.ndarray:
 
 
 def decode(ids: np.ndarray, v: Vocabulary) -> str:
-    text = b"".join([v.text[k] for k in ids.tolist()]).decode("utf-8", "replace").replace(SPACE, " ")
-    return text[1:]
+    text = b"".join([v.text[k] for k in ids.tolist()]).decode("utf-8", "replace")
+    return (text if v.blank else text.replace(SPACE, " "))[1:]
 
 
 def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """``docs`` with ids (array<int>), n_ids and round_trip: decoding gives the text again (U+2581 as a blank).
+    """``docs`` with ids (array<int>), n_ids and round_trip: decoding gives the text again.
 
     The added columns take the place of columns of these names.
     """
@@ -188,7 +202,7 @@ def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
                 for text in part.column("text").to_pylist():
                     ids = encode(text or "", v)
                     found.append(ids)
-                    same.append(None if text is None else decode(ids, v) == text.replace(SPACE, " "))
+                    same.append(None if text is None else decode(ids, v) == text)
                 missing = part.column("text").is_null()
                 ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
                 values = pa.array(np.concatenate(found) if found else np.empty(0, np.int32), pa.int32())

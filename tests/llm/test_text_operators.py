@@ -461,3 +461,9 @@ def test_a_source_of_one_row_is_not_repeated_each_thousand_slots(spark):
 def test_more_than_a_thousand_sources_mix(spark):
     frame = spark.range(2400).select(F.col("id").alias("doc_id"), (F.col("id") % 1200).cast("string").alias("source"))
     assert mixing.mix_sources(frame).select("doc_id").distinct().count() == 2400
+
+
+def test_the_sign_of_the_blank_comes_back():
+    v = pieces.load(pieces.default_model())
+    for text in ["▁", "a▁b", " ▁ word▁", "▁▁two words", "x ▁y"]:
+        assert pieces.decode(pieces.encode(text, v), v) == text
