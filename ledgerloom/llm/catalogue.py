@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 
 from ledgerloom.llm.ctw import lm_scores
+from ledgerloom.llm.divergence import divergence_sql, source_divergence
 from ledgerloom.llm.licences import scan_licences, scan_sql
+from ledgerloom.llm.middles import fill_in_middle, middles_sql, restored
 from ledgerloom.llm.mixing import mix_sources
+from ledgerloom.llm.multiindex import near_vectors
 from ledgerloom.llm.parsing import document_fingerprints
 from ledgerloom.llm.permutation import nearest
 from ledgerloom.llm.pieces import encoded
@@ -92,6 +95,23 @@ def op4(spark, root):
     return encoded(table(spark, root, "documents").select("doc_id", "text")).select("doc_id", "n_ids", "ids", "round_trip")
 
 
+@query("op11_fill_in_middle", middles_sql())
+def op11(spark, root):
+    cut = fill_in_middle(table(spark, root, "documents").select("doc_id", "text"))
+    digests = F.sha2("output", 256).alias("output_sha256"), F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256")
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+@query("op12_embedding_copies")
+def op12(spark, root):
+    return near_vectors(table(spark, root, "embeddings"))
+
+
+@query("op13_source_divergence", divergence_sql())
+def op13(spark, root):
+    return source_divergence(table(spark, root, "documents"))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, root):
     return corpus_pipeline.run(spark, root)
