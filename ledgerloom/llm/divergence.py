@@ -1,19 +1,16 @@
 """Audit of how far the sources of a language differ in their words, by chunk factorization.
 
 A text is cut into chunks at blanks, and the chunks of each document are counted. A task adds these counts up per
-(language, source, chunk) before it hands them on. Each globally distinct chunk is cut into terms once, and its terms
-are joined back to the counts, so frequent chunks cost one row per group and not one per occurrence.
+(source group, chunk) before it hands them on. They are dealt by chunk, once: each globally distinct chunk becomes one
+row, is cut into terms there, and its terms meet its counts. So frequent chunks cost one row per group and task, not
+one per occurrence. A group, (language, source), travels as a hash, seeded so that no two groups share one.
 
 A term is kept if ``min_docs`` documents of its language hold it. Documents cannot be added up over the
 chunks of a term, since one document may hold several of them. Yet the largest chunk alone bounds the number from
 below and their sum from above; only for terms in between are documents told apart. All chunks of such a term are
-in fewer than ``min_docs`` documents, whose numbers the tasks hand on with the counts. So no frequent chunk is
-ever listed by document, and the decision is exact.
-
-With ``p = 1 + floor(scale * (count + 2) / (N + 2 V))`` for each kept term, the divergence of two of them is
-``floor((p - q)^2 / (p + q))``. Most terms are absent from most sources, where p is one value per source, ``p0``. So
-the sum for two sources is put together from terms that both have (joined), terms that one has (a histogram of its
-counts against the other's ``p0``) and terms that neither has (a product).
+in fewer than ``min_docs`` documents of the language, so a second pass lists documents for these chunks alone: a bitmap
+of a fixed size lets their hashes through, and an exact join follows. No frequent chunk is listed by document
+unless the bitmap mistakes it for a rare one, and then the join drops it.
 
 Null texts, languages and sources are empty strings. Every row is a document of its own, whatever its id. Groups
 without terms have rows in the part ``pair``; a language without kept terms has the value 0 there. Ties of a value go
@@ -22,66 +19,67 @@ by the item's bytes. An empty table gives an empty frame. Other columns are not
 
 from __future__ import annotations
 
+import functools
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import slices, written
+from ledgerloom.llm.common import shuffle_partitions, slices, written
 
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MIN_DOCS, TOP, SCALE = 10, 10, 1_000_000_000
-#: Different (language, source, chunk) a task adds up before it hands them on.
-HELD = 200_000
+#: Different (group, chunk) a task adds up before it hands them on.
+HELD = 400_000
+#: Bits of the filter for rare chunks: 4 MB, whatever the number of chunks.
+BITS = 1 << 25
 
 
-def chunk_counts(docs: DataFrame, min_docs: int = MIN_DOCS, held: int = HELD) -> DataFrame:
-    """(lang, source, chunk, docs, occ, rows): documents and occurrences of each chunk in a stretch of the table.
+def grouped(rows: DataFrame) -> tuple[DataFrame, Column]:
+    """(lang, source, gid) of each group, and the column that gives a row its gid."""
+    groups = written(rows.select("lang", "source").distinct(), "source-groups")
+    seed, many = 0, groups.count()
+    while True:
+        gid = F.xxhash64(F.lit(seed), "lang", "source")
+        if groups.select(gid).distinct().count() == many:
+            return groups.withColumn("gid", gid), gid
+        seed += 1
 
-    ``rows`` numbers the documents if there are fewer than ``min_docs``. The frame must be written before it is used
-    twice: the numbers hold for one run only.
-    """
-    schema = "lang string, source string, chunk string, docs long, occ long, rows array<long>"
+
+def chunk_counts(docs: DataFrame, held: int = HELD) -> DataFrame:
+    """(gid, chunk, docs, occ): documents and occurrences of each chunk in a stretch of ``docs`` (gid, text)."""
 
     def packed(groups):
-        names, chunks, found = [], [], []
-        for name, counts in groups.items():
-            names += [name] * len(counts)
-            chunks += counts.keys()
-            found += counts.values()
-        langs, sources = zip(*names)
+        found = [x for counts in groups.values() for x in counts.values()]
         return pa.RecordBatch.from_arrays(
             [
-                pa.array(langs, pa.string()),
-                pa.array(sources, pa.string()),
-                pa.array(chunks, pa.binary()).cast(pa.string()),
+                pa.array(np.repeat(np.fromiter(groups, np.int64, len(groups)), [len(x) for x in groups.values()])),
+                pa.array([c for counts in groups.values() for c in counts], pa.binary()).cast(pa.string()),
                 pa.array([x[0] for x in found], pa.int64()),
                 pa.array([x[1] for x in found], pa.int64()),
-                pa.array([x[2:] if x[0] < min_docs else None for x in found], pa.list_(pa.int64())),
             ],
-            ["lang", "source", "chunk", "docs", "occ", "rows"],
+            ["gid", "chunk", "docs", "occ"],
         )
 
     def run(batches):
-        groups: dict[tuple[str, str], dict[bytes, list[int]]] = {}
-        row, size = TaskContext.get().partitionId() << 40, 0
+        groups: dict[int, dict[bytes, list[int]]] = {}
+        size = 0
         for batch in slices(batches):
-            for lang, source, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "text"))):
-                row += 1
-                counts = groups.setdefault((lang, source), {})
+            for gid, text in zip(batch.column("gid").to_pylist(), batch.column("text").to_pylist()):
+                counts = groups.setdefault(gid, {})
                 before = len(counts)
                 for chunk, n in Counter(text.split()).items():  # of bytes: at ASCII blanks only
                     seen = counts.get(chunk)
                     if seen is None:
-                        counts[chunk] = [1, n, row]
+                        counts[chunk] = [1, n]
                     else:
                         seen[0] += 1
                         seen[1] += n
-                        if seen[0] < min_docs:
-                            seen.append(row)
                 size += len(counts) - before
                 if size >= held:
                     yield packed(groups)
@@ -89,23 +87,73 @@ def chunk_counts(docs: DataFrame, min_docs: int = MIN_DOCS, held: int = HELD) ->
         if size:
             yield packed(groups)
 
-    return docs.select("lang", "source", F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)
+    return docs.mapInArrow(run, "gid long, chunk string, docs long, occ long")
+
 
+def factored(counts: DataFrame, groups: DataFrame) -> DataFrame:
+    """(chunk, langs, terms), a row per distinct chunk: its counts by language and group, and its terms.
 
-def chunk_terms(chunks: DataFrame) -> DataFrame:
-    """(chunk, term, times) of each distinct ``chunk``."""
+    The lists are as long as there are groups at most. All of it stands on one exchange by chunk.
+    """
+    dealt = counts.repartition(shuffle_partitions(counts.sparkSession), "chunk")
+    per = dealt.groupBy("chunk", "gid").agg(F.sum("docs").alias("docs"), F.sum("occ").alias("occ"))
+    per = per.join(groups.select("gid", "lang"), "gid")
+    by_lang = per.groupBy("chunk", "lang").agg(F.sum("docs").alias("docs"), F.collect_list(F.struct("gid", "docs", "occ")).alias("counts"))
+    whole = by_lang.groupBy("chunk").agg(F.collect_list(F.struct("lang", "docs", "counts")).alias("langs"))
     terms = F.regexp_extract_all(F.translate("chunk", UPPER, LOWER), F.lit(TERM), 0)
-    return chunks.select("chunk").distinct().select("chunk", F.explode(terms).alias("term")).groupBy("chunk", "term").agg(F.count(F.lit(1)).alias("times"))
+    return whole.select("chunk", "langs", terms.alias("terms")).where(F.size("terms") > 0)
+
+
+def term_sums(chunks: DataFrame) -> DataFrame:
+    """(lang, gid, term, count, least, most): occurrences, and what each group adds to the bounds of documents."""
+    rows = chunks.select("terms", F.explode("langs").alias("l")).select("terms", "l.lang", F.col("l.docs").alias("least"), F.explode("l.counts").alias("c"))
+    # A term that stands twice in a chunk counts twice, but its documents once.
+    once = F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.size(F.filter("terms", lambda x: x == t)).alias("times")))
+    rows = rows.select("lang", "c.gid", "least", "c.docs", "c.occ", F.explode(once).alias("t"))
+    sums = F.sum(F.col("occ") * F.col("t.times")).alias("count"), F.max("least").alias("least"), F.sum("docs").alias("most")
+    return rows.groupBy("lang", "gid", F.col("t.term").alias("term")).agg(*sums)
+
+
+def chunk_rows(docs: DataFrame, chunks: DataFrame, bits: int) -> DataFrame:
+    """(lang, chunk, row) of the documents whose chunks have the hashes of ``chunks``; ``row`` numbers documents."""
+    at = F.pmod(F.xxhash64("chunk"), F.lit(bits)) + 1
+    pages = chunks.groupBy(F.bitmap_bucket_number(at).alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+    allowed = np.zeros(bits, bool)
+    for page, held in pages.collect():  # bits / 32768 of them at most
+        marks = np.unpackbits(np.frombuffer(held, np.uint8), bitorder="little").astype(bool)
+        start = (page - 1) * len(marks)
+        allowed[start : start + len(marks)] = marks[: bits - start]
+    filter_ = np.packbits(allowed)
+
+    def run(batches):
+        ok, digest = np.unpackbits(filter_).view(bool), functools.partial(xxhash.xxh64_intdigest, seed=42)
+        row = TaskContext.get().partitionId() << 40
+        for batch in slices(batches):
+            langs, chunks, rows = [], [], []
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
+                row += 1
+                words = list(set(text.split()))
+                h = np.fromiter(map(digest, words), np.uint64, len(words))
+                hits = [words[k] for k in np.flatnonzero(ok[h & np.uint64(bits - 1)])]
+                langs += [lang] * len(hits)
+                chunks += hits
+                rows += [row] * len(hits)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(langs, pa.string()), pa.array(chunks, pa.binary()).cast(pa.string()), pa.array(rows, pa.int64())], ["lang", "chunk", "row"]
+            )
+
+    return docs.select("lang", F.col("text").cast("binary").alias("text")).mapInArrow(run, "lang string, chunk string, row long")
 
 
-def kept_terms(seen: DataFrame, per_lang: DataFrame, terms: DataFrame, min_docs: int) -> DataFrame:
+def kept_terms(docs: DataFrame, chunks: DataFrame, sums: DataFrame, min_docs: int, bits: int = BITS) -> DataFrame:
     """(lang, term) in ``min_docs`` documents of the language at least."""
-    bounds = per_lang.join(terms, "chunk").groupBy("lang", "term").agg(F.max("docs").alias("least"), F.sum("docs").alias("most"))
+    bounds = sums.groupBy("lang", "term").agg(F.max("least").alias("least"), F.sum("most").alias("most"))
     bounds = written(bounds.where(F.col("most") >= min_docs), "term-bounds")
     open_ = bounds.where(F.col("least") < min_docs).select("lang", "term")
-    rare = per_lang.where(F.col("docs") < min_docs).join(terms, "chunk").join(open_, ["lang", "term"], "left_semi")
-    where = seen.where("rows IS NOT NULL").select("lang", "chunk", F.explode("rows").alias("row"))
-    told = where.join(rare.select("lang", "chunk", "term"), ["lang", "chunk"]).select("lang", "term", "row").distinct()
+    rare = chunks.select("chunk", "terms", F.explode("langs").alias("l")).where(F.col("l.docs") < min_docs)
+    rare = rare.select("l.lang", "chunk", F.explode(F.array_distinct("terms")).alias("term")).join(open_, ["lang", "term"], "left_semi")
+    rare = written(rare, "rare-chunks")
+    told = chunk_rows(docs, rare, bits).join(rare, ["lang", "chunk"]).select("lang", "term", "row").distinct()
     more = told.groupBy("lang", "term").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_docs)
     return bounds.where(F.col("least") >= min_docs).select("lang", "term").union(more.select("lang", "term"))
 
@@ -123,26 +171,25 @@ def _apart(p: str, q: str) -> Column:
     return F.expr(F_.format(p=p, q=q))
 
 
-def source_divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, scale: int = SCALE, held: int = HELD) -> DataFrame:
+def source_divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, scale: int = SCALE, held: int = HELD, bits: int = BITS) -> DataFrame:
     """lang, source, part, item, value and rank: the other sources of a language by divergence (``pair``) and the
     ``top`` terms a source has more of than its language (``term``).
 
-    Written on the way: counts of chunks per stretch of the table, bounds of documents per term, counts of kept terms.
+    Written on the way: distinct chunks with counts and terms, sums per group and term, kept terms. ``bits`` is a
+    power of two.
     """
-    blank = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source", "text")]
-    rows = docs.select(*blank)
-    seen = written(chunk_counts(rows, min_docs, held), "chunks")
-    per_group = seen.groupBy("lang", "source", "chunk").agg(F.sum("docs").alias("docs"), F.sum("occ").alias("occ"))
-    per_group = written(per_group, "chunk-counts")
-    terms = written(chunk_terms(per_group), "chunk-terms")
-    per_lang = per_group.groupBy("lang", "chunk").agg(F.sum("docs").alias("docs"))
-    kept = written(kept_terms(seen, per_lang, terms, min_docs), "kept-terms")
-    counts = per_group.join(terms, "chunk").groupBy("lang", "source", "term").agg(F.sum(F.col("occ") * F.col("times")).alias("count"))
-    counts = written(counts.join(kept, ["lang", "term"], "left_semi"), "term-counts")
+    rows = docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source", "text")])
+    groups, gid = grouped(rows)
+    counted = chunk_counts(rows.select(gid.alias("gid"), F.col("text").cast("binary").alias("text")), held)
+    chunks = written(factored(counted, groups), "chunks")
+    sums = written(term_sums(chunks), "term-sums")
+    kept = written(kept_terms(rows, chunks, sums, min_docs, bits), "kept-terms")
+    counts = sums.select("lang", "gid", "term", "count").join(kept, ["lang", "term"], "left_semi")
+    counts = written(counts.join(groups, ["lang", "gid"]).select("lang", "source", "term", "count"), "term-counts")
 
     sizes = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("V"))
     totals = counts.groupBy("lang", "source").agg(F.sum("count").alias("N"), F.count(F.lit(1)).alias("had"))
-    groups = rows.select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(sizes, "lang", "left")
+    groups = groups.select("lang", "source").join(totals, ["lang", "source"], "left").join(sizes, "lang", "left")
     groups = groups.fillna(0, ["N", "had", "V"])
     groups = written(groups.withColumn("p0", F.when(F.col("V") > 0, _share(F.lit(0), F.col("N"), F.col("V"), scale))), "divergence-groups")
 
