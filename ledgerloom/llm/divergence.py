@@ -35,7 +35,7 @@ TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MIN_DOCS, TOP, SCALE = 10, 10, 1_000_000_000
 #: Different (group, chunk) a task adds up before it hands them on.
-HELD = 400_000
+HELD = 800_000
 #: Bits of the filter for rare chunks: 4 MB, whatever the number of chunks.
 BITS = 1 << 25
 
@@ -54,38 +54,31 @@ def grouped(rows: DataFrame) -> tuple[DataFrame, Column]:
 def chunk_counts(docs: DataFrame, held: int = HELD) -> DataFrame:
     """(gid, chunk, docs, occ): documents and occurrences of each chunk in a stretch of ``docs`` (gid, text)."""
 
-    def packed(groups):
-        found = [x for counts in groups.values() for x in counts.values()]
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.repeat(np.fromiter(groups, np.int64, len(groups)), [len(x) for x in groups.values()])),
-                pa.array([c for counts in groups.values() for c in counts], pa.binary()).cast(pa.string()),
-                pa.array([x[0] for x in found], pa.int64()),
-                pa.array([x[1] for x in found], pa.int64()),
-            ],
-            ["gid", "chunk", "docs", "occ"],
-        )
+    def packed(occ, held_in):
+        chunks = [c for counts in occ.values() for c in counts]
+        numbers = [n for counts in occ.values() for n in counts.values()]
+        in_docs = [n for gid, counts in occ.items() for n in map(held_in[gid].__getitem__, counts)]
+        gids = np.repeat(np.fromiter(occ, np.int64, len(occ)), [len(x) for x in occ.values()])
+        arrays = [pa.array(gids), pa.array(chunks, pa.binary()).cast(pa.string()), pa.array(in_docs, pa.int64()), pa.array(numbers, pa.int64())]
+        return pa.RecordBatch.from_arrays(arrays, ["gid", "chunk", "docs", "occ"])
 
     def run(batches):
-        groups: dict[int, dict[bytes, list[int]]] = {}
-        size = 0
+        occ, held_in, size = {}, {}, 0
         for batch in slices(batches):
             for gid, text in zip(batch.column("gid").to_pylist(), batch.column("text").to_pylist()):
-                counts = groups.setdefault(gid, {})
-                before = len(counts)
-                for chunk, n in Counter(text.split()).items():  # of bytes: at ASCII blanks only
-                    seen = counts.get(chunk)
-                    if seen is None:
-                        counts[chunk] = [1, n]
-                    else:
-                        seen[0] += 1
-                        seen[1] += n
-                size += len(counts) - before
+                if gid not in occ:
+                    occ[gid], held_in[gid] = Counter(), Counter()
+                words = text.split()  # of bytes: at ASCII blanks only
+                counts = occ[gid]
+                size -= len(counts)
+                counts.update(words)
+                held_in[gid].update(set(words))
+                size += len(counts)
                 if size >= held:
-                    yield packed(groups)
-                    groups, size = {}, 0
+                    yield packed(occ, held_in)
+                    occ, held_in, size = {}, {}, 0
         if size:
-            yield packed(groups)
+            yield packed(occ, held_in)
 
     return docs.mapInArrow(run, "gid long, chunk string, docs long, occ long")
 
@@ -127,17 +120,22 @@ def chunk_rows(docs: DataFrame, chunks: DataFrame, bits: int) -> DataFrame:
 
     def run(batches):
         ok, digest = np.unpackbits(filter_).view(bool), functools.partial(xxhash.xxh64_intdigest, seed=42)
-        row = TaskContext.get().partitionId() << 40
+        row, seen, let = TaskContext.get().partitionId() << 40, set(), set()
         for batch in slices(batches):
             langs, chunks, rows = [], [], []
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
                 row += 1
-                words = list(set(text.split()))
-                h = np.fromiter(map(digest, words), np.uint64, len(words))
-                hits = [words[k] for k in np.flatnonzero(ok[h & np.uint64(bits - 1)])]
+                words = set(text.split())
+                new = list(words.difference(seen))  # chunks this task hasn't hashed of late
+                h = np.fromiter(map(digest, new), np.uint64, len(new))
+                let.update(new[k] for k in np.flatnonzero(ok[h & np.uint64(bits - 1)]))
+                seen.update(new)
+                hits = let & words
                 langs += [lang] * len(hits)
                 chunks += hits
                 rows += [row] * len(hits)
+            if len(seen) > HELD:
+                seen, let = set(), set()
             yield pa.RecordBatch.from_arrays(
                 [pa.array(langs, pa.string()), pa.array(chunks, pa.binary()).cast(pa.string()), pa.array(rows, pa.int64())], ["lang", "chunk", "row"]
             )
