@@ -5,7 +5,9 @@ and posted in the inverted file of each of them with its rank there. A query add
 nearest pivots, how far the ranks are apart; a pivot that only one of the two has counts as half the order. The share
 ``rerank`` of a block with the least footrule distances is compared exactly.
 
-Rows are dealt into blocks; every block of queries meets every block of the index (queries are a stated set), each
+Orders say nothing of lengths, so a block holds vectors of about one length: within a factor of 2 ** 0.125. There a
+near order is a large inner product, and the best of all blocks are told apart by their exact products; with
+``rerank=1`` everything is compared. Lengths are dealt into blocks by class and hash; every block of queries meets every block of the index (queries are a stated set), each
 pair in one task, which returns the best ``k`` of the block. Identical vectors are one entry of the index, which
 carries its ``k + 1`` smallest ids: no other can be among the nearest ``k``.
 
@@ -21,8 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.common import written
+
 PIVOTS, ORDER, RERANK = 256, 64, 0.15
-SAMPLE = 20_000  #: rows the pivots are chosen from
+SAMPLE = 2_048  #: rows the pivots are chosen from
+CLASSES = 8  #: length classes for a factor of two
 INDEX_BLOCK, QUERY_BLOCK = 4_096, 32_768
 SEED = 3
 
@@ -43,7 +48,7 @@ def _vectors(column) -> np.ndarray:
 
 def choose_pivots(rows: DataFrame, pivots: int, sample: int) -> np.ndarray:
     """Unit vectors of the rows with the smallest hashes: of ``sample`` at most, so many that are far apart."""
-    picked = rows.orderBy(F.xxhash64(F.lit(SEED), "vec_id"), "vec_id").limit(min(sample, pivots * 8)).select("vec").collect()
+    picked = rows.orderBy(F.xxhash64(F.lit(SEED), "vec_id"), "vec_id").limit(sample).select("vec").collect()
     if not picked:
         return np.empty((0, 0))
     width = np.bincount([len(r.vec) for r in picked]).argmax()
@@ -119,12 +124,21 @@ def nearest(
     width = points.shape[1]
     rows = rows.where(F.size("vec") == width)
     asked = usable(queries, id_, vector).where(F.size("vec") == width)
-    blocks = max(1, -(-rows.count() // INDEX_BLOCK))
+    long = F.aggregate("vec", F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x)))
+    square = F.aggregate("vec", F.lit(0.0), lambda a, x: a + (x / F.col("_long")) * (x / F.col("_long")))
+    length = F.log2("_long") + F.log2(square) / 2
+    rows = rows.withColumn("_long", long).withColumn("class", F.round(length * CLASSES).cast("int")).drop("_long")
+    # A double has 2,100 powers of two, so there are some 17,000 classes at most.
+    sizes = rows.groupBy("class").agg(F.ceil(F.count(F.lit(1)) / INDEX_BLOCK).cast("int").alias("blocks"))
+    before = F.sum("blocks").over(Window.orderBy("class")) - F.col("blocks")
+    sizes = written(sizes.withColumn("before", before.cast("int")), "length-classes")
+    blocks = sizes.agg(F.coalesce(F.sum("blocks"), F.lit(1)).cast("int")).first()[0]
     turns = max(1, -(-asked.count() // QUERY_BLOCK))
     same = Window.partitionBy("vec").orderBy("vec_id")
     kept = rows.withColumn("_at", F.row_number().over(same)).where(F.col("_at") <= k + 1)
-    entries = kept.groupBy("vec").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
-    number = F.pmod(F.xxhash64(F.lit(1), F.col("ids")[0]), F.lit(blocks)).cast("int")
+    entries = kept.groupBy("vec").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"), F.min("class").alias("class"))
+    entries = entries.join(F.broadcast(sizes), "class")
+    number = (F.col("before") + F.pmod(F.xxhash64(F.lit(1), F.col("ids")[0]), F.col("blocks"))).cast("int")
     turn = F.pmod(F.xxhash64(F.lit(2), "vec_id"), F.lit(turns)).cast("int")
     index = entries.select("vec", "ids", number.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(turns - 1))).alias("turn"))
     spread = asked.select("vec", "vec_id", turn.alias("turn"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))

@@ -12,8 +12,9 @@ A prefix with more than ``crowd`` different segments gets the longest prefix ins
 subtrees are single nodes, whose smallest doc_id is found by partial aggregation. So no task holds a hot group.
 
 Words are maximal stretches of signs other than blank and 0x09-0x0D. A null or empty text has no words; a null
-doc_id counts as the greatest. Rows that share a doc_id never remove each other's words; places found in one of
-them are removed in all of them. Empty tables give empty frames; other columns pass through.
+doc_id counts as the greatest. Rows that share a doc_id, or have none, never remove each other's words; each row is
+judged by its own windows, since places belong to a row's doc_id and text (``place``, a hash of both, beside the id).
+Empty tables give empty frames; other columns pass through.
 """
 
 from __future__ import annotations
@@ -110,29 +111,39 @@ def occurrences(words: list[bytes], powers: Powers, window: int = WINDOW, prefix
 
 
 def find_occurrences(docs: DataFrame, window: int, prefix: int) -> DataFrame:
-    """(key, seg, id, lo, n) of every anchor of every document."""
+    """(key, seg, id, place, los, n): each segment of each document once, with all words it starts at."""
+
+    def folded(places, found):
+        key, seg, lo, n = (np.concatenate(x) for x in zip(*found))
+        row = np.repeat(np.arange(len(found)), [len(x[0]) for x in found])
+        by = np.lexsort((lo, seg, key, row))
+        key, seg, lo, n, row = (x[by] for x in (key, seg, lo, n, row))
+        new = np.r_[True, (key[1:] != key[:-1]) | (seg[1:] != seg[:-1]) | (row[1:] != row[:-1])]
+        at = np.flatnonzero(new)
+        los = pa.ListArray.from_arrays(pa.array(np.r_[at, len(lo)].astype(np.int32)), pa.array(lo.astype(np.int32)))
+        ids, hashes = (np.array(x, np.int64)[row[at]] for x in zip(*places))
+        arrays = [pa.array(key[at].view(np.int64)), pa.array(seg[at].view(np.int64)), pa.array(ids), pa.array(hashes), los, pa.array(n[at].astype(np.int32))]
+        return pa.RecordBatch.from_arrays(arrays, ["key", "seg", "id", "place", "los", "n"])
 
     def run(batches):
         powers = Powers()
         for batch in slices(batches):
-            ids, found = [], []
-            for id_, text in zip(batch.column("_id").to_pylist(), batch.column("text").to_pylist()):
+            places, found = [], []
+            for id_, place, text in zip(*(batch.column(c).to_pylist() for c in ("_id", "_place", "text"))):
                 got = occurrences(words_of(text), powers, window, prefix)
                 if got is not None:
-                    ids.append(np.full(len(got[0]), id_, np.int64))
+                    places.append((id_, place))
                     found.append(got)
             if found:
-                key, seg, lo, n = (np.concatenate(x) for x in zip(*found))
-                arrays = [key.view(np.int64), seg.view(np.int64), np.concatenate(ids), lo.astype(np.int32), n.astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["key", "seg", "id", "lo", "n"])
+                yield folded(places, found)
 
-    return docs.select("_id", "text").mapInArrow(run, "key long, seg long, id long, lo int, n int")
+    return docs.select("_id", "_place", "text").mapInArrow(run, "key long, seg long, id long, place long, los array<int>, n int")
 
 
 def _cutter(window: int, whole: bool):
     """Task that cuts the words of segments out of texts; ``whole``: hashes of whole windows instead."""
-    names = ["name", "id", "lo"] if whole else ["key", "id", "lo", "n", "words"]
-    kinds = [pa.binary(), pa.int64(), pa.int32()] if whole else [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+    names = ["name", "id", "place", "lo"] if whole else ["key", "id", "place", "lo", "n", "words"]
+    kinds = [pa.binary(), *[pa.int64()] * 2, pa.int32()] if whole else [*[pa.int64()] * 3, *[pa.int32()] * 2, pa.binary()]
 
     def packed(rows):
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
@@ -140,18 +151,16 @@ def _cutter(window: int, whole: bool):
     def run(batches):
         rows: list[tuple] = []
         for batch in slices(batches):
-            for id_, text, spots in zip(*(batch.column(c).to_pylist() for c in ("_id", "text", "_spots"))):
+            for id_, place, text, spots in zip(*(batch.column(c).to_pylist() for c in ("_id", "_place", "text", "_spots"))):
                 words = words_of(text)
                 for spot in spots:
                     key, lo, n = spot["key"], spot["lo"], spot["n"]
-                    if lo + n + window - 1 > len(words):
-                        continue  # another row of this doc_id
                     if whole:
                         for s in range(lo, lo + n):
                             digest = xxhash.xxh3_128(b" ".join(words[s : s + window])).digest()
-                            rows.append((digest, id_, s))
+                            rows.append((digest, id_, place, s))
                     else:
-                        rows.append((key, id_, lo, n, b" ".join(words[lo : lo + n + window - 1])))
+                        rows.append((key, id_, place, lo, n, b" ".join(words[lo : lo + n + window - 1])))
                     if len(rows) >= 20_000:
                         yield packed(rows)
                         rows = []
@@ -187,25 +196,24 @@ def _subtrees(window: int):
     """Task over rows sorted by key: builds the subtrees of whole groups, some groups at a time."""
 
     def flush(rows):
-        key, ids, lo, n, texts = (list(x) for x in zip(*rows))
+        key, ids, place, lo, n, texts = (list(x) for x in zip(*rows))
         groups = np.unique(np.array(key, np.int64), return_inverse=True)[1].astype(np.int64)
         mask = repeated_windows(
             [t.split(b" ") for t in texts], groups, np.array(ids, np.int64), np.array(n, np.int64), window
         )
         hit = np.flatnonzero(mask)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.array(ids, np.int64)[hit]), pa.array(np.array(lo, np.int32)[hit]), pa.array(mask[hit])], ["id", "lo", "mask"]
-        )
+        found = [np.array(ids, np.int64)[hit], np.array(place, np.int64)[hit], np.array(lo, np.int32)[hit], mask[hit]]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["id", "place", "lo", "mask"])
 
     def run(batches):
         held, size, last = [], 0, None
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "id", "lo", "n", "words"))):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "id", "place", "lo", "n", "words"))):
                 if row[0] != last and size >= CHUNK_WORDS:
                     yield flush(held)
                     held, size = [], 0
                 held.append(row)
-                size += row[3] + window - 1
+                size += row[4] + window - 1
                 last = row[0]
         if held:
             yield flush(held)
@@ -214,26 +222,27 @@ def _subtrees(window: int):
 
 
 def marked_windows(docs: DataFrame, near: DataFrame, window: int, crowd: int) -> DataFrame:
-    """(id, los, mask): bit b is set if the windows that start b words after each of ``los`` are to be removed."""
+    """(id, place, los, mask): bit b is set if the windows that start b words after each of ``los`` are to be removed."""
     segments = near.groupBy("key", "seg").agg(F.min("id").alias("_first"))
     # Written, so that the joins below read plain exchanges, of which Spark splits a hot key's.
     sizes = written(segments.groupBy("key").agg(F.count(F.lit(1)).alias("_m")), "segment-counts")
     judged = near.join(segments.join(sizes, "key"), ["key", "seg"])
     full = F.expr("shiftleft(1L, n) - 1")
-    copies = judged.where("id > _first").select("id", "los", full.alias("mask"))
-    firsts = judged.where("id = _first AND _m > 1").select("key", "id", F.explode("los").alias("lo"), "n", "_m")
+    copies = judged.where("id > _first").select("id", "place", "los", full.alias("mask"))
+    firsts = judged.where("id = _first AND _m > 1").select("key", "id", "place", F.explode("los").alias("lo"), "n", "_m")
 
     def cut(rows: DataFrame, whole: bool, schema: str) -> DataFrame:
-        spots = rows.groupBy("id").agg(F.collect_list(F.struct("key", "lo", "n")).alias("_spots"))
-        return docs.join(spots, docs["_id"] == spots["id"]).drop("id").mapInArrow(_cutter(window, whole), schema)
+        spots = rows.groupBy("id", "place").agg(F.collect_list(F.struct("key", "lo", "n")).alias("_spots"))
+        met = (docs["_id"] == spots["id"]) & (docs["_place"] == spots["place"])
+        return docs.join(spots, met).drop("id", "place").mapInArrow(_cutter(window, whole), schema)
 
-    groups = cut(firsts.where(F.col("_m") <= crowd), False, "key long, id long, lo int, n int, words binary")
+    groups = cut(firsts.where(F.col("_m") <= crowd), False, "key long, id long, place long, lo int, n int, words binary")
     trees = groups.repartition(shuffle_partitions(docs.sparkSession), "key").sortWithinPartitions("key")
-    split = trees.mapInArrow(_subtrees(window), "id long, lo int, mask long").select("id", F.array("lo").alias("los"), "mask")
-    windows = written(cut(firsts.where(F.col("_m") > crowd), True, "name binary, id long, lo int"), "windows")
+    split = trees.mapInArrow(_subtrees(window), "id long, place long, lo int, mask long").select("id", "place", F.array("lo").alias("los"), "mask")
+    windows = written(cut(firsts.where(F.col("_m") > crowd), True, "name binary, id long, place long, lo int"), "windows")
     least = written(windows.groupBy("name").agg(F.min("id").alias("_first")), "first-windows")
-    crowded = windows.join(least, "name").where("id > _first").select("id", F.array("lo").alias("los"), F.lit(1).cast("long").alias("mask"))
-    return copies.union(split).union(crowded)
+    crowded = windows.join(least, "name").where("id > _first")
+    return copies.union(split).union(crowded.select("id", "place", F.array("lo").alias("los"), F.lit(1).cast("long").alias("mask")))
 
 
 ADDED = ["n_words", "n_removed", "kept_sha256", "kept_text"]
@@ -287,18 +296,18 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
     if not prefix < window <= prefix + 61:
         raise ValueError("a window must be longer than its prefix, by 61 words at most")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ADDED]).alias("_row")
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("_id"), "text", row)
+    id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
+    rows = docs.select(id_.alias("_id"), F.xxhash64(id_, "text").alias("_place"), "text", row)
     seen = written(find_occurrences(rows, window, prefix), "anchors")
     shared = seen.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("key")
     shared = written(shared, "shared-prefixes")
-    # A segment that stands several times in a document is one row with all its places.
-    near = seen.join(shared, "key", "left_semi").groupBy("key", "seg", "id")
-    near = written(near.agg(F.collect_list("lo").alias("los"), F.min("n").alias("n")), "shared-anchors")
-    # Dealt once by doc_id: both joins below read the same exchange.
-    placed = rows.repartition(shuffle_partitions(docs.sparkSession), "_id")
-    marks = marked_windows(placed, near, window, crowd)
-    lists = marks.groupBy(F.col("id").alias("_of")).agg(F.collect_list(F.struct("los", "mask")).alias("_marks"))
-    joined = placed.join(lists, placed["_id"] == lists["_of"], "left").drop("_of")
+    near = written(seen.join(shared, "key", "left_semi"), "shared-anchors")
+    # Dealt once, by id and text: both joins below read the same exchange.
+    keys = ["_place", "_id"]
+    placed = rows.repartition(shuffle_partitions(docs.sparkSession), *keys)
+    marks = marked_windows(placed, near, window, crowd).withColumnsRenamed({"id": "_id", "place": "_place"})
+    lists = marks.groupBy(*keys).agg(F.collect_list(F.struct("los", "mask")).alias("_marks"))
+    joined = placed.join(lists, keys, "left")
     schema = T.StructType([rows.schema["_row"]]).add("n_words", "long").add("n_removed", "long")
     schema = schema.add("kept_sha256", "string").add("kept_text", "string")
     return joined.mapInArrow(_remover(window), schema).select("_row.*", *ADDED)

@@ -101,6 +101,31 @@ def test_substring_in_small_windows(spark):
             assert got == want
 
 
+def test_substring_judges_each_row_by_its_own_windows(spark):
+    """Rows that share an id, or have none, but not the text: words of one are not taken from another."""
+    draw = random.Random(9)
+    words = lambda n: " ".join(f"u{draw.random()}" for _ in range(n))
+    a, b, u = words(60), words(70), words(120)
+    rows = [(1, a), (2, f"{a} {u}"), (2, u), (2, u), (None, f"{b} {a}"), (None, u), (None, b), (3, f"{a} x {a} {b}"), (3, b)]
+    rows += [(draw.choice([1, 2, 3, None]), " ".join(draw.choice("ab") for _ in range(draw.randint(0, 40)))) for _ in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for window, prefix in ((50, 10), (8, 3)):
+        cut = [(t.split(), math.inf if i is None else i) for i, t in rows]
+        first = {}
+        for w, i in cut:
+            for s in range(len(w) - window + 1):
+                name = tuple(w[s : s + window])
+                first[name] = min(first.get(name, math.inf), i)
+        want = []
+        for (i, t), (w, rank) in zip(rows, cut):
+            gone = {k for s in range(len(w) - window + 1) if first[tuple(w[s : s + window])] < rank for k in range(s, s + window)}
+            want.append((i, t, len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone)))
+        for crowd in (1000, 1):
+            got = substring.remove_repeats(frame, window, prefix, crowd).collect()
+            assert sorted(((r.doc_id, r.text, r.n_words, r.n_removed, r.kept_text) for r in got), key=repr) == sorted(want, key=repr)
+    assert [x[3] for x in want if x[:2] == (2, u)] == [0, 0]
+
+
 def test_substring_of_odd_rows(odd):
     got = {(r.doc_id, r.n_words): r for r in substring.remove_repeats(odd).where("doc_id IS NOT NULL").collect()}
     assert got[7, 3000].n_removed == 3000 and got[6, 3002].n_removed == 3000 and got[5, 3000].n_removed == 0
@@ -237,8 +262,8 @@ def test_pieces_round_trip(odd):
     assert all(r.text == r.decoded_text for r in back)
 
 
-def test_quality_separates_labels(spark):
-    frame, known = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+def test_quality_separates_labels(spark, root):
+    frame, known = (spark.read.parquet(f"{Path(root).parent}/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     rows = quality.quality_scores(frame, known).join(known, "doc_id").where("held_out").collect()
     good, bad = ([r.score for r in rows if r.quality == q] for q in (1, 0))
     assert np.mean([a > b for a in good for b in bad]) > 0.97
@@ -305,15 +330,21 @@ def test_permutation_index_on_odd_vectors(spark):
     assert permutation.nearest(few.limit(0), few.limit(0)).count() == 0
 
 
-def test_permutation_index_recall(spark):
-    frame = spark.read.parquet("/root/testdata/check_s/embeddings.parquet").where("vec_id < 4000")
-    rows = [(r.vec_id, r.embedding, 0) for r in frame.collect()]
-    asked = set(range(0, 4000, 200))
-    want = nearest_brute(rows, asked, 20)
-    got = {}
-    for r in permutation.nearest(frame, frame.where("vec_id % 200 = 0")).collect():
-        got.setdefault(r.query_id, set()).add(r.vec_id)
-    assert np.mean([len(got[q] & set(want[q])) / 20 for q in asked]) >= 0.9
+@pytest.mark.parametrize("spread", [0.0, 1.0])
+def test_permutation_index_recall(spark, spread):
+    """Against all pairs, over vectors of even and of log-normal lengths."""
+    draw = np.random.default_rng(4)
+    x = draw.standard_normal((60, 32))[draw.integers(0, 60, 6000)] + 0.6 * draw.standard_normal((6000, 32))
+    x = x / np.linalg.norm(x, axis=1, keepdims=True) * draw.lognormal(0, spread, (6000, 1))
+    frame = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    rows = permutation.nearest(frame, frame.where("vec_id % 60 = 0")).collect()
+    hits = 0
+    for q in range(0, 6000, 60):
+        score = x @ x[q]
+        score[q] = -np.inf
+        found = {r.vec_id for r in rows if r.query_id == q}
+        hits += len(found & set(np.argsort(-score)[:20].tolist()))
+    assert len(rows) == 2000 and hits >= 0.95 * 2000
 
 
 def test_fingerprints_of_documents_and_edits(docs):
