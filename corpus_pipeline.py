@@ -13,7 +13,7 @@ from ledgerloom.llm.common import written
 from ledgerloom.llm.mixing import mix_sources, tempered_weights
 from ledgerloom.llm.pieces import encoded
 from ledgerloom.llm.quality import quality_scores
-from ledgerloom.llm.simhash import SIMILAR, near_groups
+from ledgerloom.llm.simhash import near_groups
 from ledgerloom.llm.substring import remove_repeats
 
 #: Power by which the sources' shares are flattened; small sources are repeated until the target is met.
@@ -33,11 +33,11 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of five-word shingle similarity 0.8: that with the smallest doc_id.
+    """One document of each group of SimHash near copies (4-word shingles, up to 4 of 64 bits): that with the smallest doc_id.
 
     Of rows that share this doc_id one stays; rows without doc_id stay, since nothing tells them apart.
     """
-    groups = near_groups(docs, SIMILAR).where("doc_id <=> component_id").select(F.col("doc_id").alias("_key")).distinct()
+    groups = near_groups(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("_key")).distinct()
     kept = _only(docs, groups)
     return kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).union(kept.where("doc_id IS NULL"))
 
@@ -61,8 +61,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     No document is left out: small sources are repeated until the largest has been used in full.
     """
     weights = written(tempered_weights(docs, FLATTEN), "weights")
-    mixed = mix_sources(docs, weights, repeat=True)
-    return mixed.sort("mix_slot", "mix_row").select(*[F.col(f"`{c}`") for c in docs.columns])
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_whole")
+    mixed = mix_sources(docs.select("doc_id", "source", whole), weights, repeat=True)
+    return mixed.sort("mix_slot", "mix_row").select("_whole.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -78,7 +79,7 @@ STAGES = [
     ("token ids", encode),
 ]
 
-#: Kernel scores, Hamming components and Viterbi paths are not SQL; tests compare the stages with plain versions.
+#: Kernel scores, Hamming components and Viterbi paths are not SQL; tests/llm compares the stages with plain versions.
 ORACLE_SQL = None
 
 
