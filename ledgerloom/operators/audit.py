@@ -180,10 +180,17 @@ def verify_hash_chain(events: DataFrame, sliced: bool = False) -> DataFrame:
     """Events whose link or content does not fit, with what was expected.
 
     ``events`` carry segment, hash_previous and hash_current. With ``sliced`` they are a range of dates: the first
-    event of a segment in the range has its predecessor outside and is checked for its content only.
+    event of a segment that begins before the range has its predecessor outside and is checked for its content
+    only. With chain_no, the place of an event in its segment, first events of segments are told apart and tested against
+    the seed; without it none is.
     """
     linked = with_previous(events, ORDER, "hash_current", "_before", keys=[*CHAIN, "segment"])
-    expected_link = F.col("_before") if sliced else F.coalesce("_before", segment_seed(F.col("segment")))
+    seed = segment_seed(F.col("segment"))
+    if sliced and "chain_no" in events.columns:
+        seed = F.when(F.col("chain_no") == 1, seed)
+    elif sliced:
+        seed = F.lit(None).cast("string")
+    expected_link = F.coalesce("_before", seed)
     recomputed = F.sha2(F.concat(payload_digest(events.columns), F.col("hash_previous")), 256)
     broken = F.struct(
         F.lit("HASH_CHAIN_BROKEN").alias("error"), expected_link.alias("expected"), F.col("hash_previous").alias("actual")

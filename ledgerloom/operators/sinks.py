@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -61,6 +61,16 @@ def exists(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
 
 
+def drop_partitions(spark: SparkSession, path: str, column: str, gone: Callable[[str], bool]) -> None:
+    """Remove the partitions of ``path`` whose value, as written in the folder's name, is ``gone``."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for entry in files.listStatus(hadoop):
+        name, _, value = entry.getPath().getName().partition("=")
+        if name == column and gone(value):
+            files.delete(entry.getPath(), True)
+
+
 def post_lines(lines: DataFrame, path: str, run_id: str) -> None:
     """Ledger lines of one run below their month, in date order."""
     replace_run(with_month(lines), path, run_id, ["je_month"], ["je_date", "je_id", "line_no"])

@@ -315,7 +315,9 @@ def fund_balances(current: DataFrame, lines: DataFrame, sign: int = 1) -> DataFr
 
 
 def mark_processed(df: DataFrame, day_col: str, start: date, end: date, batch_id: str) -> DataFrame:
-    hit = ~F.col("batch_processed") & F.col(day_col).between(F.lit(start), F.lit(end))
+    """Rows of the days that aren't processed yet get the mark; a row without a day keeps its flag."""
+    inside = F.col(day_col).between(F.lit(start), F.lit(end))
+    hit = F.coalesce(~F.col("batch_processed") & inside, F.lit(False))
     old = F.col("batch_id") if "batch_id" in df.columns else F.lit(None).cast("string")
     return df.withColumn("batch_id", F.when(hit, F.lit(batch_id)).otherwise(old)).withColumn(
         "batch_processed", F.col("batch_processed") | hit

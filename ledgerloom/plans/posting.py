@@ -36,7 +36,8 @@ def post_month(
     The ledger is append-only: each run has its own folder, so runs of the same months add up and a rerun
     replaces itself alone. Entries another run has posted already (same je_number) are not posted again.
     Balances come from the whole ledger of the months since the first one touched, on top of the balances
-    before it (``prior``: those before the ledger begins), so later months follow a change.
+    before it (``prior``: those before the ledger begins), so later months follow a change. A month the run's former
+    entries touched counts as touched, and balances of months that no longer have any go.
     """
     spark = txn.sparkSession
     run_id = run_id or uuid.uuid4().hex
@@ -54,16 +55,25 @@ def post_month(
         posted = sinks.read_runs(spark, f"{target}/ledger_headers", sinks.with_month(out.headers).schema)
         others = posted.where(F.col("run_id") != run_id).select("je_number").distinct()
         headers, lines = (df.join(others, "je_number", "left_anti") for df in (headers, lines))
+    former = _first_month(spark, f"{target}/ledger_headers", sinks.with_month(out.headers).schema, run_id)
     sinks.replace_run(sinks.with_month(headers), f"{target}/ledger_headers", run_id, ["je_month"], ["je_date", "je_number"])
     sinks.post_lines(lines, f"{target}/ledger_lines", run_id)
-    _roll(spark, target, headers, sinks.with_month(out.lines).schema, prior)
-    return Posted(run_id, spark.read.parquet(f"{target}/balances"), out.unmatched)
+    months = [m for m in (former, headers.agg(F.trunc(F.min("je_date"), "MM").cast("date")).first()[0]) if m]
+    schema = sinks.with_month(out.lines).schema
+    if months:
+        _roll(spark, target, min(months), schema, prior)
+    shape = roll_forward(monthly_movement(sinks.read_runs(spark, f"{target}/ledger_lines", schema)), prior).schema
+    return Posted(run_id, spark.read.schema(shape).parquet(f"{target}/balances"), out.unmatched)
 
 
-def _roll(spark: SparkSession, target: str, headers: DataFrame, schema, prior: DataFrame | None) -> None:
-    first = headers.agg(F.trunc(F.min("je_date"), "MM").cast("date")).first()[0]
-    if first is None:
-        return
+def _first_month(spark: SparkSession, path: str, schema, run_id: str):
+    """First month the run has posted so far, or None."""
+    if not sinks.exists(spark, path):
+        return None
+    return sinks.read_runs(spark, path, schema).where(F.col("run_id") == run_id).agg(F.min("je_month")).first()[0]
+
+
+def _roll(spark: SparkSession, target: str, first, schema, prior: DataFrame | None) -> None:
     ledger_lines = sinks.read_runs(spark, f"{target}/ledger_lines", schema).where(F.col("je_month") >= F.lit(first))
     if sinks.exists(spark, f"{target}/balances"):
         # Months below the first one touched stay as they are: the balances before it open the new ones.
@@ -71,8 +81,12 @@ def _roll(spark: SparkSession, target: str, headers: DataFrame, schema, prior: D
         before = spark.read.parquet(f"{target}/balances").where(F.col("period_start") < F.lit(first))
         last = before.groupBy(*keys).agg(F.max_by("closing_balance", "period_start").alias("closing_balance"))
         prior = last if prior is None else last.unionByName(prior.select(*last.columns).join(last, keys, "left_anti"))
-    rolled = roll_forward(monthly_movement(ledger_lines), prior)
+    movement = monthly_movement(ledger_lines)
+    rolled = roll_forward(movement, prior)
     sinks.replace_partitions(rolled, f"{target}/balances", ["period_start"], ["account_code", "fund"])
+    low, high = movement.agg(F.min("period_start"), F.max("period_start")).first()
+    stale = lambda month: month >= first.isoformat() and (low is None or not low.isoformat() <= month <= high.isoformat())
+    sinks.drop_partitions(spark, f"{target}/balances", "period_start", stale)
 
 
 def trial_balance_of(spark: SparkSession, target: str) -> DataFrame:

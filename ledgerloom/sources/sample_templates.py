@@ -6,10 +6,11 @@ from datetime import date
 from decimal import Decimal
 from functools import lru_cache
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ledgerloom import schemas as K
-from ledgerloom.plans.templates import Catalogue, load_catalogue
+from ledgerloom.plans.templates import Catalogue, TableCatalogue, load_catalogue
 
 _PREMIUM_HEAD = [
     (1, "DR", "1010", "OP", ":gross_amount", 2, True),
@@ -45,9 +46,7 @@ _LINES = {
 }
 
 
-@lru_cache(maxsize=1)
-def sample_catalogue(spark: SparkSession) -> Catalogue:
-    """The catalogue holds plain values, so one load serves the whole session."""
+def _tables(spark: SparkSession) -> tuple[DataFrame, ...]:
     far, start, turn = date(9999, 12, 31), date(1990, 1, 1), date(1997, 1, 1)
     templates = [
         ("PREM", "1", "Premium", "PREMIUM_RECEIPT", "Premium", "JE", start, turn, "ACTIVE"),
@@ -74,7 +73,7 @@ def sample_catalogue(spark: SparkSession) -> Catalogue:
         ("CLAIM", "1", True, Decimal("0.01"), "AUTO_ADJUST", "4099", "OP"),
         ("PREM", "2", True, Decimal("0.01"), "ERROR", None, None),
     ]
-    return load_catalogue(
+    return (
         spark.createDataFrame(templates, K.TEMPLATE),
         spark.createDataFrame(matches, K.TEMPLATE_MATCH),
         spark.createDataFrame(lines, K.TEMPLATE_LINE),
@@ -83,6 +82,30 @@ def sample_catalogue(spark: SparkSession) -> Catalogue:
     )
 
 
+@lru_cache(maxsize=1)
+def sample_catalogue(spark: SparkSession) -> Catalogue:
+    """The catalogue holds plain values, so one load serves the whole session."""
+    return load_catalogue(*_tables(spark))
+
+
+def wide_catalogue(spark: SparkSession, more: int = 100_000) -> TableCatalogue:
+    """The sample templates with ``more`` matches of products, channels, amounts and days of their own."""
+    templates, matches, *rest = _tables(spark)
+    n = F.col("id")
+    others = spark.range(more).select(
+        (n + 1_000).alias("match_id"),
+        F.lit("PREM").alias("template_code"),
+        F.lit("1").alias("template_version"),
+        F.when(n % 3 > 0, F.concat(F.lit("P"), n.cast("string"))).alias("product_code"),
+        F.when(n % 3 != 1, F.concat(F.lit("C"), n.cast("string"))).alias("channel"),
+        F.when(n % 2 == 0, (n % 1_000).cast("decimal(20,6)")).alias("min_amount"),
+        F.when(n % 4 == 0, (n % 1_000 + 50).cast("decimal(20,6)")).alias("max_amount"),
+        F.lit(None).cast("string").alias("condition_expr"),
+        F.lit(5).alias("priority"),
+    )
+    return load_catalogue(templates, matches.unionByName(others), *rest)
+
+
 @lru_cache(maxsize=1)
 def balanced_catalogue(spark: SparkSession) -> Catalogue:
     """Two templates that book every transaction of ``txn_source`` without a remainder."""

@@ -87,6 +87,49 @@ def worker_sessions(points: DataFrame, time: str, gap: str = "5 minutes", waterm
     )
 
 
+def stall_stream(points: DataFrame, time: str, gap_seconds: int = 300, watermark: str = "10 minutes") -> DataFrame:
+    """worker_id, active_from, stalled_from and points of each session whose worker has fallen silent.
+
+    The state of a worker is its open sessions: first and last time and number of points. A point joins the sessions
+    less than the gap away, so points out of order merge sessions; points behind the watermark are dropped by
+    Spark. A timer stands at the end of the earliest open session, last point plus gap; when the watermark
+    passes it, the stall row goes out. A worker's state holds the sessions inside the watermark's delay only.
+    """
+    gap = gap_seconds * 1_000_000
+    out = "worker_id bigint, active_from timestamp, stalled_from timestamp, points bigint"
+    held = "sessions array<struct<first: bigint, last: bigint, n: bigint>>"
+
+    def track(key, batches, state):
+        import pandas as pd
+
+        sessions = [tuple(x) for x in state.get[0]] if state.exists else []
+        new = [(t, t, 1) for pdf in batches for t in pdf["at"].tolist()]
+        merged: list[list[int]] = []
+        for first, last, n in sorted([*sessions, *new]):
+            if merged and first - merged[-1][1] < gap:
+                merged[-1][1] = max(merged[-1][1], last)
+                merged[-1][2] += n
+            else:
+                merged.append([first, last, n])
+        mark = state.getCurrentWatermarkMs()
+        ends = [-(-(s[1] + gap) // 1000) for s in merged]  # timers count milliseconds
+        closed = [s for s, end in zip(merged, ends) if end <= mark]
+        still = [(tuple(s), end) for s, end in zip(merged, ends) if end > mark]
+        if still:
+            state.update(([s for s, _ in still],))
+            state.setTimeoutTimestamp(min(end for _, end in still))
+        elif state.exists:
+            state.remove()
+        if closed:
+            first, last, n = zip(*closed)
+            when = lambda xs: pd.to_datetime(xs, unit="us", utc=True)
+            ends = [x + gap for x in last]
+            yield pd.DataFrame({"worker_id": [key[0]] * len(n), "active_from": when(first), "stalled_from": when(ends), "points": n})
+
+    rows = points.withWatermark(time, watermark).select(F.col("worker_id").cast("bigint").alias("worker_id"), time, F.unix_micros(time).alias("at"))
+    return rows.groupBy("worker_id").applyInPandasWithState(track, out, held, "append", "EventTimeTimeout")
+
+
 def idempotent_ingest(rows: DataFrame, time: str, keys: list[str], watermark: str = "10 days") -> DataFrame:
     """First arrival of each key; repeats inside the watermark are dropped."""
     return rows.withWatermark(time, watermark).dropDuplicatesWithinWatermark(keys)

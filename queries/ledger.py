@@ -5,8 +5,8 @@ from ledgerloom.plans import templates as T
 from ledgerloom.plans.posting import post_month
 from ledgerloom.scratch import scratch_path
 from ledgerloom.sources import tables as S
-from ledgerloom.sources.sample_templates import balanced_catalogue, sample_catalogue
-from queries.registry import query
+from ledgerloom.sources.sample_templates import balanced_catalogue, sample_catalogue, wide_catalogue
+from queries.registry import ORACLES, query
 from queries.views import GL, JOURNALS, LINES, TXN
 
 ROUTED = f"""WITH {TXN}, routed AS (SELECT *, CASE
@@ -68,6 +68,17 @@ def l04(spark, root):
     return expanded(spark, root).lines.drop("je_id", "run_id")
 
 
+@query("d07_indexed_templates", ROUTED + " SELECT source_rowid, match_id, template_code, template_version FROM coded")
+def d07_indexed(spark, root):
+    """The same templates from an index of 100,000 more matches."""
+    return T.resolve_templates(S.txn_source(spark, root), wide_catalogue(spark)).select("source_rowid", "match_id", "template_code", "template_version")
+
+
+@query("l04_indexed_lines", ORACLES["l04_expanded_lines"])
+def l04_indexed(spark, root):
+    return T.expand_transactions(S.txn_source(spark, root), wide_catalogue(spark)).lines.drop("je_id", "run_id")
+
+
 @query(
     "h09_unbalanced_entries",
     LINE_SQL + """ SELECT je_number, template_code, template_version,

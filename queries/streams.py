@@ -2,7 +2,9 @@ from pyspark.sql import functions as F
 
 from ledgerloom.sources import tables as S
 from ledgerloom.streaming import ledger_streams as J
-from queries.registry import query
+from ledgerloom.streaming import maintained as M
+from queries.registry import ORACLES, query
+from queries import reports  # noqa: F401  the summaries that are maintained
 from queries.views import AUDIT
 
 
@@ -141,3 +143,47 @@ def j06(spark, root):
     out, mark = J.stream_paths(spark, "j06")
     J.run_append(J.audit_alert_stream(S.audit_view(raw)), out, mark)
     return spark.read.parquet(out).select("event_id")
+
+
+def maintained(spark, rows, summary, name):
+    """The summary after a stream over all rows in three batches, the last of which ran again, folded and read."""
+    base, mark = J.stream_paths(spark, name)
+    rows.repartition(3).write.parquet(f"{base}/rows")
+    write, batches = M.maintain(summary, f"{base}/state"), []
+
+    def twice(batch, batch_id):
+        write(batch, batch_id)
+        if batch_id == 2:
+            write(batch, batch_id)
+        batches.append(batch_id)
+
+    J.run_batches(J.read_stream(spark, f"{base}/rows", files_per_trigger=1), twice, mark)
+    M.compacted(spark, summary, f"{base}/state", f"{base}/folded")
+    return M.maintained(spark, summary, f"{base}/folded")
+
+
+@query("j03_maintained_journal_days", ORACLES["e03_journal_daily_summary"])
+def j03_journal_days(spark, root):
+    return maintained(spark, S.journals(spark, root), M.JOURNAL_DAYS, "j03-journals")
+
+
+@query("j03_maintained_account_days", ORACLES["e04_account_balance_summary"])
+def j03_account_days(spark, root):
+    return maintained(spark, S.gl_entries(spark, root), M.ACCOUNT_DAYS, "j03-accounts")
+
+
+@query(
+    "j04_stalled_workers",
+    """WITH s AS (SELECT user_id % 10 AS worker_id, ts, CASE WHEN ts - LAG(ts) OVER (PARTITION BY user_id % 10 ORDER BY ts) < INTERVAL 5 MINUTE THEN 0 ELSE 1 END AS new FROM events),
+ g AS (SELECT *, SUM(new) OVER (PARTITION BY worker_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM s)
+ SELECT worker_id, MIN(ts) AS active_from, MAX(ts) + INTERVAL 5 MINUTE AS stalled_from, COUNT(*) AS points FROM g GROUP BY worker_id, g
+ HAVING MAX(ts) + INTERVAL 5 MINUTE <= (SELECT date_trunc('millisecond', MAX(ts)) - INTERVAL 10 MINUTE FROM events)""",
+)
+def j04_stalls(spark, root):
+    """Stalls seen by the stream: sessions that the watermark has passed."""
+    out, mark = J.stream_paths(spark, "j04-stalls")
+    J.run_append(J.stall_stream(checkpoint_points(spark, root), "checkpoint_at"), out, mark)
+    stalls = spark.read.parquet(out)
+    return stalls.select(
+        "worker_id", F.col("active_from").cast("timestamp_ntz").alias("active_from"), F.col("stalled_from").cast("timestamp_ntz").alias("stalled_from"), "points"
+    )

@@ -1,4 +1,5 @@
-from datetime import date
+import random
+from datetime import date, timedelta
 from decimal import Decimal
 
 import pytest
@@ -23,17 +24,24 @@ def txn(spark, rows):
     return K.conform(df, K.TXN_SOURCE)
 
 
-def catalogue(spark, lines=(), conds=(), controls=(), matches=None, templates=None):
+@pytest.fixture(params=[2_000, 0], ids=["case", "tables"])
+def case_rows(request):
+    """Both ways of a catalogue: compiled, and kept as tables."""
+    return request.param
+
+
+def catalogue(spark, lines=(), conds=(), controls=(), matches=None, templates=None, case_rows=2_000):
     templates = templates or [("T", "1", "t", "P", "d", "JE", date(2020, 1, 1), FAR, "ACTIVE")]
     matches = matches or [(1, "T", "1", None, None, None, None, None, 100)]
     return load_catalogue(
         spark.createDataFrame(templates, K.TEMPLATE), spark.createDataFrame(matches, K.TEMPLATE_MATCH),
         spark.createDataFrame(list(lines), K.TEMPLATE_LINE), spark.createDataFrame(list(conds), K.TEMPLATE_COND),
         spark.createDataFrame(list(controls), K.TEMPLATE_CONTROL),
+        case_rows=case_rows,
     )
 
 
-def test_routing_prefers_priority_then_specific_then_id(spark):
+def test_routing_prefers_priority_then_specific_then_id(spark, case_rows):
     day = date(2024, 1, 15)
     t = [(c, "1", "t", "P", "d", "JE", a, b, s) for c, a, b, s in [
         ("WILD", date(2020, 1, 1), FAR, "ACTIVE"), ("SPEC", date(2020, 1, 1), FAR, "ACTIVE"), ("CHAN", date(2020, 1, 1), FAR, "ACTIVE"),
@@ -41,7 +49,7 @@ def test_routing_prefers_priority_then_specific_then_id(spark):
     m = [(1, "WILD", "1", None, None, None, None, None, 100), (2, "SPEC", "1", "A", None, None, None, None, 100),
          (3, "CHAN", "1", "A", "X", None, None, None, 100), (4, "OLD", "1", None, None, None, None, None, 1),
          (5, "DRAFT", "1", None, None, None, None, None, 0), (6, "BIG", "1", None, None, Decimal(1000), Decimal(5000), ":tabarru_amount > 1", 50)]
-    cat = catalogue(spark, templates=t, matches=m)
+    cat = catalogue(spark, templates=t, matches=m, case_rows=case_rows)
     rows = [("1", "P", "B", "Y", day, "10", "0", "0"), ("2", "P", "A", "Y", day, "10", "0", "0"), ("3", "P", "A", "X", day, "10", "0", "0"),
             ("4", "P", "A", "X", day, "1000", "2", "0"), ("5", "P", "B", "X", day, "1000", "1", "0"), ("6", "Q", "B", "X", day, "1", "1", "0"),
             ("7", "P", "B", "Y", date(2024, 1, 14), "10", "0", "0")]
@@ -49,6 +57,23 @@ def test_routing_prefers_priority_then_specific_then_id(spark):
     assert got == {"1": "WILD", "2": "SPEC", "3": "CHAN", "4": "BIG", "5": "WILD", "6": None, "7": "OLD"}
 
 
+def test_indexed_routing_equals_the_compiled_one(spark):
+    """Random intervals of days and amounts, open ones, wildcards, ties and rows with NULLs."""
+    draw = random.Random(3)
+    t = [(f"T{k}", "1", "t", draw.choice("PQ"), "d", "JE", date(2023, draw.randint(1, 12), 1), draw.choice([FAR, date(2024, draw.randint(1, 12), 15)]), "ACTIVE") for k in range(12)]
+    m = []
+    for k in range(150):
+        low, high = draw.choice([None, 0, 10, 99, 1000]), draw.choice([None, 10, 100, 1500, 10**6])
+        money = [None if x is None else Decimal(x) for x in (low, high)]
+        m.append((k, f"T{draw.randrange(12)}", "1", draw.choice([None, "A", "B"]), draw.choice([None, "X"]), *money, draw.choice([None, "", ":admin_amount > 5"]), draw.randint(1, 9)))
+    rows = [(f"r{k}", draw.choice(["P", "Q", "Z", None]), draw.choice(["A", "B", None]), draw.choice(["X", "Y", None]),
+             date(2023, 1, 1) + timedelta(days=draw.randrange(800)), str(draw.choice([-5, 0, 10, 99, 100, 1000, 1500, 10**7])), "0", str(draw.randint(0, 9))) for k in range(400)]
+    frame = txn(spark, rows + rows[:20])
+    got = [sorted((r.source_rowid, r.match_id, r.template_code) if r.match_id is not None else (r.source_rowid, -1, "") for r in
+                  resolve_templates(frame, catalogue(spark, templates=t, matches=m, case_rows=n)).collect()) for n in (2_000, 0)]
+    assert got[0] == got[1] and len({r[2] for r in got[0]}) > 5
+
+
 LINES = [
     ("T", "1", 1, "DR", "1010", "OP", ":gross_amount", 2, True), ("T", "1", 2, "CR", "3010", "TBR", ":tabarru_amount", 2, True),
     ("T", "1", 3, "CR", "4010", "OP", ":admin_amount", 2, True), ("T", "1", 4, "CR", "9", "OP", ":gross_amount", 2, False),
@@ -57,26 +82,26 @@ ROWS = [("a", "P", "A", "X", date(2024, 1, 3), "100", "60", "40"), ("b", "P", "A
         ("c", "P", "A", "X", date(2024, 2, 4), "50", "50", "0")]
 
 
-def test_expansion_drops_zero_and_inactive_lines(spark):
-    out = expand_transactions(txn(spark, ROWS), catalogue(spark, LINES))
+def test_expansion_drops_zero_and_inactive_lines(spark, case_rows):
+    out = expand_transactions(txn(spark, ROWS), catalogue(spark, LINES, case_rows=case_rows))
     got = sorted((r.je_number, r.line_no, r.side, r.amount) for r in out.lines.collect())
     assert [g[:2] for g in got] == [("JE-202401-a", 1), ("JE-202401-a", 2), ("JE-202401-a", 3), ("JE-202402-b", 1),
                                     ("JE-202402-b", 2), ("JE-202402-b", 3), ("JE-202402-c", 1), ("JE-202402-c", 2)]
     assert [(r.je_number, r.difference) for r in out.unbalanced.collect()] == [("JE-202402-b", Decimal("10"))]
 
 
-def test_auto_adjust_balances_with_one_line(spark):
+def test_auto_adjust_balances_with_one_line(spark, case_rows):
     ctrl = [("T", "1", True, Decimal("0.01"), "AUTO_ADJUST", "8888", "OP")]
-    out = expand_transactions(txn(spark, ROWS), catalogue(spark, LINES, controls=ctrl))
+    out = expand_transactions(txn(spark, ROWS), catalogue(spark, LINES, controls=ctrl, case_rows=case_rows))
     extra = [(r.je_number, r.line_no, r.side, r.amount) for r in out.lines.where("account_code = '8888'").collect()]
     assert extra == [("JE-202402-b", 4 + 1, "CR", Decimal("10"))]
     assert out.unbalanced.isEmpty()
     assert ledger.entry_balance(out.lines).where("not balanced").isEmpty()
 
 
-def test_conditional_lines_need_all_conditions(spark):
+def test_conditional_lines_need_all_conditions(spark, case_rows):
     conds = [("T", "1", 3, "a", ":admin_amount > 5"), ("T", "1", 3, "b", ":gross_amount >= 100 and :tabarru_amount < 70")]
-    out = expand_transactions(txn(spark, ROWS), catalogue(spark, LINES, conds))
+    out = expand_transactions(txn(spark, ROWS), catalogue(spark, LINES, conds, case_rows=case_rows))
     assert sorted(r.je_number for r in out.lines.where("line_no = 3").collect()) == ["JE-202401-a", "JE-202402-b"]
 
 
@@ -117,6 +142,21 @@ def test_post_month_is_idempotent_and_balanced(spark, tmp_path):
     assert months == ["je_month=2024-01-01", "je_month=2024-02-01"]
 
 
+def test_a_rerun_with_fewer_months_takes_its_balances_back(spark, tmp_path):
+    cat = catalogue(spark, LINES)
+    target = str(tmp_path / "ledger")
+    march = ("d", "P", "A", "X", date(2024, 3, 4), "50", "50", "0")
+    post_month(txn(spark, [ROWS[2]]), cat, target, run_id="other")
+    post_month(txn(spark, [ROWS[0], march]), cat, target, run_id="r")
+    for rows in ([march], []):
+        got = post_month(txn(spark, rows), cat, target, run_id="r").balances
+        want = post_month(txn(spark, [ROWS[2], *rows]), cat, str(tmp_path / f"only-{len(rows)}"), run_id="x").balances
+        assert sorted(got.collect()) == sorted(want.select(*got.columns).collect())
+    alone = str(tmp_path / "alone")
+    post_month(txn(spark, [ROWS[0]]), cat, alone, run_id="r")
+    assert post_month(txn(spark, []), cat, alone, run_id="r").balances.isEmpty()
+
+
 def test_runs_of_one_month_add_up(spark, tmp_path):
     cat = catalogue(spark, LINES)
     target = str(tmp_path / "ledger")
