@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 from ledgerloom.operators import ledger as G
 from ledgerloom.plans import templates as T
 from ledgerloom.plans.posting import post_month
+from ledgerloom.plans.publication import publish_month
 from ledgerloom.scratch import scratch_path
 from ledgerloom.sources import tables as S
 from ledgerloom.sources.sample_templates import balanced_catalogue, sample_catalogue, wide_catalogue
@@ -301,3 +302,14 @@ def l05(spark, root):
     post_month(txn.where(~late), balanced_catalogue(spark), target, run_id="run-1")
     post_month(txn.where(late), balanced_catalogue(spark), target, run_id="run-2")
     return post_month(txn.where(late), balanced_catalogue(spark), target, run_id="run-2").balances
+
+
+@query("l05_published_balances", ORACLES["l05_posted_balances"])
+def l05_published(spark, root):
+    """Two runs in versions; the second one first with all transactions of a month more, then as it should be."""
+    txn, target = S.txn_source(spark, root), scratch_path(spark, "versions")
+    late = F.crc32("source_rowid") % 2 == 1
+    publish_month(txn.where(~late), balanced_catalogue(spark), target, "run-1")
+    more = txn.where(late).withColumn("bank_value_date", F.add_months("bank_value_date", -1)).withColumn("source_rowid", F.concat(F.lit("X"), "source_rowid"))
+    publish_month(more, balanced_catalogue(spark), target, "run-2")
+    return publish_month(txn.where(late), balanced_catalogue(spark), target, "run-2").balances

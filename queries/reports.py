@@ -1,6 +1,8 @@
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import reports as R
+from ledgerloom.operators import sketches as K
+from ledgerloom.scratch import cut
 from ledgerloom.sources import tables as S
 from queries.registry import avg6, query
 from queries.views import CHECKPOINTS, GL, JOURNALS
@@ -289,3 +291,40 @@ def e35(spark, root):
 )
 def e37(spark, root):
     return R.latency_percentiles(S.checkpoints(spark, root), ["worker_id"], "records_per_second")
+
+
+@query(
+    "e06_sketched_medians",
+    f"""WITH {GL} SELECT date_trunc('month', trx_date)::DATE AS month, t_1, COUNT(*) AS n, TRUE AS within FROM gl GROUP BY 1, 2""",
+)
+def e06_sketched(spark, root):
+    """Medians of a month from its days' sketches: their ranks, counted over all rows, are within the stated error."""
+    gl = S.gl_entries(spark, root)
+    daily = cut(K.daily_sketches(gl, "trx_date", ["t_1"], amounts=["amount"]), "daily-quantiles")
+    month = F.trunc("day", "MM").cast("date")
+    medians = K.merged_sketches(daily, month, ["t_1"]).select(F.col("period").alias("month"), "t_1", K.quantile("amount").alias("median"))
+    rows = gl.withColumn("month", F.trunc("trx_date", "MM").cast("date"))
+    bounds = K.rank_bounds(rows, medians, ["month", "t_1"], "amount", "median")
+    # A rank is a place among the rows: one place of leeway for small groups.
+    slack = K.rank_error() + 1 / F.col("rows")
+    within = (F.col("below") <= 0.5 + slack) & (F.col("upto") >= 0.5 - slack)
+    return bounds.select("month", "t_1", F.col("rows").alias("n"), within.alias("within"))
+
+
+@query(
+    "e10_sketched_distinct_accounts",
+    f"""WITH {GL} SELECT date_trunc('month', trx_date)::DATE AS month, COUNT(DISTINCT t_5) AS suppliers, COUNT(DISTINCT trx_id) AS transactions,
+ TRUE AS suppliers_within, TRUE AS transactions_within FROM gl GROUP BY 1""",
+)
+def e10_sketched(spark, root):
+    """Distinct counts of a month from its days' sketches, against the exact counts."""
+    gl = S.gl_entries(spark, root)
+    daily = cut(K.daily_sketches(gl, "trx_date", [], distinct=["t_5", "trx_id"]), "daily-distinct")
+    month = F.trunc("day", "MM").cast("date")
+    near = K.merged_sketches(daily, month, []).select("period", K.distinct_count("t_5").alias("a"), K.distinct_count("trx_id").alias("b"))
+    exact = gl.groupBy(F.trunc("trx_date", "MM").cast("date").alias("month")).agg(
+        F.count_distinct("t_5").alias("suppliers"), F.count_distinct("trx_id").alias("transactions")
+    )
+    met = exact.join(near, F.col("month") == F.col("period"))
+    inside = lambda est, true: F.abs(F.col(est) - F.col(true)) <= F.greatest(F.lit(1), F.col(true) * K.count_error())
+    return met.select("month", "suppliers", "transactions", inside("a", "suppliers").alias("suppliers_within"), inside("b", "transactions").alias("transactions_within"))
