@@ -20,10 +20,10 @@ by the item's bytes. An empty table gives an empty frame. Other columns are not
 from __future__ import annotations
 
 import functools
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
@@ -34,8 +34,8 @@ from ledgerloom.llm.common import shuffle_partitions, slices, written
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MIN_DOCS, TOP, SCALE = 10, 10, 1_000_000_000
-#: Different (group, chunk) a task adds up before it hands them on.
-HELD = 800_000
+#: Bytes of text a task counts at once before it hands the counts on.
+HELD = 32 << 20
 #: Bits of the filter for rare chunks: 4 MB, whatever the number of chunks.
 BITS = 1 << 25
 
@@ -51,34 +51,54 @@ def grouped(rows: DataFrame) -> tuple[DataFrame, Column]:
         seed += 1
 
 
+def stretches(batches, size: int):
+    """Arrow batches put together to stretches of about ``size`` bytes; a longer text makes its stretch longer."""
+    pieces, used = [], 0
+    for batch in slices(batches, 16):
+        pieces.append(batch)
+        used += batch.nbytes
+        if used >= size:
+            yield pa.concat_batches(pieces)
+            pieces, used = [], 0
+    if pieces:
+        yield pa.concat_batches(pieces)
+
+
+def coded(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct chunks of ``texts``, and the text and the chunk of each occurrence as numbers."""
+    lists = pc.ascii_split_whitespace(texts)
+    chunks = lists.flatten().dictionary_encode()
+    row = np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy()))
+    return chunks.dictionary, row, chunks.indices.to_numpy().astype(np.int64)
+
+
+def _runs(ordered: np.ndarray) -> np.ndarray:
+    """Where a new value begins in a sorted array that is not empty."""
+    return np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+
+
 def chunk_counts(docs: DataFrame, held: int = HELD) -> DataFrame:
     """(gid, chunk, docs, occ): documents and occurrences of each chunk in a stretch of ``docs`` (gid, text)."""
 
-    def packed(occ, held_in):
-        chunks = [c for counts in occ.values() for c in counts]
-        numbers = [n for counts in occ.values() for n in counts.values()]
-        in_docs = [n for gid, counts in occ.items() for n in map(held_in[gid].__getitem__, counts)]
-        gids = np.repeat(np.fromiter(occ, np.int64, len(occ)), [len(x) for x in occ.values()])
-        arrays = [pa.array(gids), pa.array(chunks, pa.binary()).cast(pa.string()), pa.array(in_docs, pa.int64()), pa.array(numbers, pa.int64())]
-        return pa.RecordBatch.from_arrays(arrays, ["gid", "chunk", "docs", "occ"])
-
     def run(batches):
-        occ, held_in, size = {}, {}, 0
-        for batch in slices(batches):
-            for gid, text in zip(batch.column("gid").to_pylist(), batch.column("text").to_pylist()):
-                if gid not in occ:
-                    occ[gid], held_in[gid] = Counter(), Counter()
-                words = text.split()  # of bytes: at ASCII blanks only
-                counts = occ[gid]
-                size -= len(counts)
-                counts.update(words)
-                held_in[gid].update(set(words))
-                size += len(counts)
-                if size >= held:
-                    yield packed(occ, held_in)
-                    occ, held_in, size = {}, {}, 0
-        if size:
-            yield packed(occ, held_in)
+        for batch in stretches(batches, held):
+            chunks, row, code = coded(batch.column("text"))
+            if not len(code):
+                continue
+            many = len(chunks)
+            keys = np.sort(row * many + code)  # by document and chunk
+            first = _runs(keys)
+            occ = np.diff(np.append(first, len(keys)))
+            row, code = np.divmod(keys[first], many)
+            names, group = np.unique(batch.column("gid").to_numpy(), return_inverse=True)
+            keys = group[row] * many + code  # by group and chunk
+            order = np.argsort(keys, kind="stable")
+            keys = keys[order]
+            first = _runs(keys)
+            group, code = np.divmod(keys[first], many)
+            counts = np.diff(np.append(first, len(keys))), np.add.reduceat(occ[order], first)
+            arrays = [pa.array(names[group]), chunks.take(pa.array(code)), *map(pa.array, counts)]
+            yield pa.RecordBatch.from_arrays(arrays, ["gid", "chunk", "docs", "occ"])
 
     return docs.mapInArrow(run, "gid long, chunk string, docs long, occ long")
 
@@ -107,43 +127,33 @@ def term_sums(chunks: DataFrame) -> DataFrame:
     return rows.groupBy("lang", "gid", F.col("t.term").alias("term")).agg(*sums)
 
 
-def chunk_rows(docs: DataFrame, chunks: DataFrame, bits: int) -> DataFrame:
+def chunk_rows(docs: DataFrame, chunks: DataFrame, bits: int, held: int = HELD) -> DataFrame:
     """(lang, chunk, row) of the documents whose chunks have the hashes of ``chunks``; ``row`` numbers documents."""
     at = F.pmod(F.xxhash64("chunk"), F.lit(bits)) + 1
     pages = chunks.groupBy(F.bitmap_bucket_number(at).alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
     allowed = np.zeros(bits, bool)
-    for page, held in pages.collect():  # bits / 32768 of them at most
-        marks = np.unpackbits(np.frombuffer(held, np.uint8), bitorder="little").astype(bool)
+    for page, marked in pages.collect():  # bits / 32768 of them at most
+        marks = np.unpackbits(np.frombuffer(marked, np.uint8), bitorder="little").astype(bool)
         start = (page - 1) * len(marks)
         allowed[start : start + len(marks)] = marks[: bits - start]
     filter_ = np.packbits(allowed)
 
     def run(batches):
         ok, digest = np.unpackbits(filter_).view(bool), functools.partial(xxhash.xxh64_intdigest, seed=42)
-        row, seen, let = TaskContext.get().partitionId() << 40, set(), set()
-        for batch in slices(batches):
-            langs, chunks, rows = [], [], []
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-                row += 1
-                words = set(text.split())
-                new = list(words.difference(seen))  # chunks this task hasn't hashed of late
-                h = np.fromiter(map(digest, new), np.uint64, len(new))
-                let.update(new[k] for k in np.flatnonzero(ok[h & np.uint64(bits - 1)]))
-                seen.update(new)
-                hits = let & words
-                langs += [lang] * len(hits)
-                chunks += hits
-                rows += [row] * len(hits)
-            if len(seen) > HELD:
-                seen, let = set(), set()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(langs, pa.string()), pa.array(chunks, pa.binary()).cast(pa.string()), pa.array(rows, pa.int64())], ["lang", "chunk", "row"]
-            )
-
-    return docs.select("lang", F.col("text").cast("binary").alias("text")).mapInArrow(run, "lang string, chunk string, row long")
-
-
-def kept_terms(docs: DataFrame, chunks: DataFrame, sums: DataFrame, min_docs: int, bits: int = BITS) -> DataFrame:
+        start = TaskContext.get().partitionId() << 40
+        for batch in stretches(batches, held):
+            chunks, row, code = coded(batch.column("text"))
+            h = np.fromiter(map(digest, chunks.cast(pa.binary()).to_pylist()), np.uint64, len(chunks))
+            let = np.flatnonzero(ok[h & np.uint64(bits - 1)][code])  # each distinct chunk of a stretch is hashed once
+            row, code = np.divmod(np.unique(row[let] * max(len(chunks), 1) + code[let]), max(len(chunks), 1))
+            arrays = [batch.column("lang").take(pa.array(row)), chunks.take(pa.array(code)), pa.array(start + row)]
+            yield pa.RecordBatch.from_arrays(arrays, ["lang", "chunk", "row"])
+            start += batch.num_rows
+
+    return docs.select("lang", "text").mapInArrow(run, "lang string, chunk string, row long")
+
+
+def kept_terms(docs: DataFrame, chunks: DataFrame, sums: DataFrame, min_docs: int, bits: int = BITS, held: int = HELD) -> DataFrame:
     """(lang, term) in ``min_docs`` documents of the language at least."""
     bounds = sums.groupBy("lang", "term").agg(F.max("least").alias("least"), F.sum("most").alias("most"))
     bounds = written(bounds.where(F.col("most") >= min_docs), "term-bounds")
@@ -151,7 +161,7 @@ def kept_terms(docs: DataFrame, chunks: DataFrame, sums: DataFrame, min_docs: in
     rare = chunks.select("chunk", "terms", F.explode("langs").alias("l")).where(F.col("l.docs") < min_docs)
     rare = rare.select("l.lang", "chunk", F.explode(F.array_distinct("terms")).alias("term")).join(open_, ["lang", "term"], "left_semi")
     rare = written(rare, "rare-chunks")
-    told = chunk_rows(docs, rare, bits).join(rare, ["lang", "chunk"]).select("lang", "term", "row").distinct()
+    told = chunk_rows(docs, rare, bits, held).join(rare, ["lang", "chunk"]).select("lang", "term", "row").distinct()
     more = told.groupBy("lang", "term").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_docs)
     return bounds.where(F.col("least") >= min_docs).select("lang", "term").union(more.select("lang", "term"))
 
@@ -178,10 +188,10 @@ def source_divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP,
     """
     rows = docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source", "text")])
     groups, gid = grouped(rows)
-    counted = chunk_counts(rows.select(gid.alias("gid"), F.col("text").cast("binary").alias("text")), held)
+    counted = chunk_counts(rows.select(gid.alias("gid"), "text"), held)
     chunks = written(factored(counted, groups), "chunks")
     sums = written(term_sums(chunks), "term-sums")
-    kept = written(kept_terms(rows, chunks, sums, min_docs, bits), "kept-terms")
+    kept = written(kept_terms(rows, chunks, sums, min_docs, bits, held), "kept-terms")
     counts = sums.select("lang", "gid", "term", "count").join(kept, ["lang", "term"], "left_semi")
     counts = written(counts.join(groups, ["lang", "gid"]).select("lang", "source", "term", "count"), "term-counts")
 
