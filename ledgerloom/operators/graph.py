@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from ledgerloom.scratch import cut
 
 
+#: Neighbours of a node one join task takes.
+HUB = 100_000
+
+
 def edges(lines: DataFrame, left: str, right: str) -> DataFrame:
     """Distinct weighted edges in both directions."""
     one = lines.groupBy(
@@ -35,6 +39,36 @@ def reach(edge: DataFrame, seeds: DataFrame, hops: int = 3) -> DataFrame:
     return seen
 
 
+def adjacency(edge: DataFrame, most: int = HUB) -> tuple[DataFrame, DataFrame]:
+    """(src, part, dst), the neighbours of a node in parts of about ``most``, and (src, parts) of the nodes with more than one."""
+    pairs = cut(edge.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct(), "pairs")
+    hubs = pairs.groupBy("src").agg(F.ceil(F.count(F.lit(1)) / F.lit(most)).cast("int").alias("parts")).where("parts > 1")
+    hubs = cut(hubs, "hubs")
+    part = F.pmod(F.xxhash64("dst"), F.coalesce("parts", F.lit(1))).cast("int")
+    return cut(pairs.join(hubs, "src", "left").select("src", part.alias("part"), "dst"), "adjacency"), hubs
+
+
+def reach_from_each(edge: DataFrame, seeds: DataFrame, hops: int = 3, most: int = HUB) -> DataFrame:
+    """(seed, node, hop): what each seed reaches within ``hops``, at its least hop, the seed itself at hop 0.
+
+    Edges are written once. A node with more than ``most`` neighbours is joined in parts, each of which meets a copy
+    of its frontier rows, so neither the neighbours of a hub nor what comes of them stand in one task. A missing
+    seed reaches nothing; a seed without edges reaches itself.
+    """
+    near, hubs = adjacency(edge, most)
+    start = seeds.select(F.col("node").alias("seed")).where("seed IS NOT NULL").distinct()
+    seen = fresh = cut(start.select("seed", F.col("seed").alias("node"), F.lit(0).alias("hop")), "hop0")
+    for hop in range(1, hops + 1):
+        dealt = fresh.join(hubs, F.col("node") == F.col("src"), "left").select(
+            "seed", "node", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part")
+        )
+        met = dealt.join(near, (dealt["node"] == near["src"]) & (dealt["part"] == near["part"]))
+        found = met.select("seed", F.col("dst").alias("node")).distinct()
+        fresh = cut(found.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("hop", F.lit(hop)), f"hop{hop}")
+        seen = seen.unionByName(fresh)
+    return seen
+
+
 def node_features(edge: DataFrame) -> DataFrame:
     """Degree, edge count and mean/std of the edge amounts per node."""
     return edge.groupBy(F.col("src").alias("node")).agg(

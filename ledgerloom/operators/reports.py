@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.operators.numbering import quantile_cont
+from ledgerloom.operators.numbering import TASK_ROWS, number_in_groups, quantile_cont
 
 PAIR = ["trx_date", "account_debit", "account_credit"]
 
@@ -111,6 +111,23 @@ def account_pair_details(gl: DataFrame) -> DataFrame:
     )
 
 
+def account_pair_pages(details: DataFrame, page_rows: int = 1000, limit: int = TASK_ROWS) -> DataFrame:
+    """The lists of the day journals in pages: ``lines`` holds up to ``page_rows`` (value, amount, tx_count) in the order of the value.
+
+    Every list is whole over its pages, numbered from 1, and no cell holds more than a page, whatever the journal.
+    Journals above ``limit`` values are numbered over range partitions; the rows are the same.
+    """
+    keys = [*PAIR, "kind"]
+    placed = number_in_groups(details, keys, ["value"], "_place", limit)
+    page = F.floor((F.col("_place") - 1) / F.lit(page_rows)).cast("int") + 1
+    line = F.struct("value", "amount", "tx_count")
+    return placed.groupBy(*keys, page.alias("page")).agg(
+        F.array_sort(F.collect_list(line)).alias("lines"),
+        F.sum("amount").cast("decimal(30,2)").alias("page_amount"),
+        F.count(F.lit(1)).alias("n_lines"),
+    )
+
+
 def account_pair_modes(gl: DataFrame) -> DataFrame:
     """Day aggregate with the most frequent t-codes (smallest code on ties)."""
     values = pair_values(gl, {"ref": "reference_1", "desc": "description"}, "ref")

@@ -80,7 +80,7 @@ def h20(spark, root):
  SELECT journal_id, journal_date, duplicate_count, duplicate_count > 0 AS has_duplicates, latest_duplicate FROM j JOIN pairs USING (journal_id)""",
 )
 def d15(spark, root):
-    signed = X.signatures(coarse_lines(spark, root), ["journal_id"])
+    signed = X.match_signatures(coarse_lines(spark, root), ["journal_id"])
     j = S.journals(spark, root).select(F.col("id").alias("journal_id"), "journal_date").join(signed, "journal_id")
     return X.duplicate_counts(j).drop("signature")
 

@@ -574,6 +574,20 @@ def h25(spark, root):
     return GR.reach(edge_table(spark, root), seeds, hops=3)
 
 
+@query(
+    "h25_related_from_each",
+    f"""WITH {LINES}, e AS (SELECT DISTINCT 'journal_id:' || journal_id AS j, 'account_code:' || account_code AS a FROM lines),
+ h1 AS (SELECT a AS seed, j AS node, 1 AS hop FROM e),
+ h2 AS (SELECT DISTINCT x.a AS seed, y.a AS node, 2 AS hop FROM e x JOIN e y USING (j) WHERE x.a <> y.a)
+ SELECT DISTINCT a AS seed, a AS node, 0 AS hop FROM e UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2""",
+)
+def h25_each(spark, root):
+    """All accounts as seeds: their journals, and the accounts they share a journal with."""
+    edge = GR.edges(S.journal_lines(spark, root), "journal_id", "account_code")
+    seeds = edge.where(F.col("src").startswith("account_code:")).select(F.col("src").alias("node"))
+    return GR.reach_from_each(edge, seeds, hops=2)
+
+
 L11 = {
     "journal_daily_summary": ("entry_count", "SELECT COUNT(*) AS n FROM journals GROUP BY journal_date, journal_type"),
     "account_balance": ("transaction_count", "SELECT COUNT(*) AS n FROM gl GROUP BY trx_date, acc_debit, acc_credit"),

@@ -51,6 +51,22 @@ def l06_details(spark, root):
     return R.account_pair_details(S.gl_entries(spark, root))
 
 
+@query(
+    "l06_day_journal_pages",
+    f"""WITH {GL}, d AS (SELECT trx_date, COALESCE(acc_debit, '') AS account_debit, COALESCE(acc_credit, '') AS account_credit, k.kind, k.value,
+   CAST(SUM(amount) AS DECIMAL(30,2)) AS amount, COUNT(*) AS tx_count
+   FROM gl, LATERAL (VALUES ('ref', reference_1), ('desc', description)) k(kind, value) WHERE amount > 0 AND k.value IS NOT NULL GROUP BY ALL),
+ n AS (SELECT *, row_number() OVER (PARTITION BY trx_date, account_debit, account_credit, kind ORDER BY value) AS place FROM d)
+ SELECT trx_date, account_debit, account_credit, kind, CAST((place - 1) // 2 + 1 AS INTEGER) AS page, COUNT(*) AS n_lines,
+   CAST(SUM(amount) AS DECIMAL(30,2)) AS page_amount, string_agg(value || '=' || amount || '=' || tx_count, '|' ORDER BY value) AS lines
+ FROM n GROUP BY 1, 2, 3, 4, 5""",
+)
+def l06_pages(spark, root):
+    pages = R.account_pair_pages(R.account_pair_details(S.gl_entries(spark, root)), page_rows=2)
+    text = F.transform("lines", lambda x: F.concat_ws("=", x["value"], x["amount"].cast("string"), x["tx_count"].cast("string")))
+    return pages.withColumn("lines", F.array_join(text, "|"))
+
+
 @query(
     "e02_account_pair_modes",
     f"""WITH {GL},

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import matching, numbering, parts, reports, sequences
+from ledgerloom.operators import graph, matching, numbering, parts, reports, sequences
 from ledgerloom.scratch import scratch_root, small_side
 
 RELAXED = dict(deadline=None, max_examples=5, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -176,3 +176,41 @@ def test_numbers_in_groups_agree_over_both_routes(spark):
     one = sorted(map(tuple, numbering.number_in_groups(df, ["k"], ["id"]).select("id", "seq").collect()))
     two = sorted(map(tuple, numbering.number_in_groups(df, ["k"], ["id"], limit=50).select("id", "seq").collect()))
     assert one == two
+
+
+def test_reach_from_each_seed_with_split_hubs(spark):
+    rng = random.Random(5)
+    pairs = [("hub", f"n{i}") for i in range(60)] + [(f"n{rng.randrange(60)}", f"m{rng.randrange(30)}") for _ in range(50)]
+    both = pairs + [(b, a) for a, b in pairs]
+    edge = spark.createDataFrame([*both, both[0], (None, "n1"), ("n1", None)], "src string, dst string")
+    seeds = ["hub", "n3", "m5", "alone", "alone", None]
+    near = defaultdict(set)
+    for a, b in both:
+        near[a].add(b)
+    want = set()
+    for seed in set(seeds) - {None}:
+        seen, last = {seed}, {seed}
+        want.add((seed, seed, 0))
+        for hop in (1, 2, 3):
+            last = {b for a in last for b in near[a]} - seen
+            seen |= last
+            want |= {(seed, b, hop) for b in last}
+    for most in (7, 100):
+        rows = graph.reach_from_each(edge, spark.createDataFrame([(s,) for s in seeds], "node string"), 3, most).collect()
+        assert {tuple(r) for r in rows} == want and len(rows) == len(want)
+    assert graph.reach_from_each(edge.limit(0), spark.createDataFrame([], "node string")).collect() == []
+
+
+def test_pages_of_day_journals_hold_the_whole_lists(spark):
+    rows = [(1, "a", "b", kind, f"v{i:03}", Decimal(i), i) for kind, n in (("ref", 45), ("desc", 20), ("one", 1)) for i in range(n)]
+    schema = "trx_date int, account_debit string, account_credit string, kind string, value string, amount decimal(30,2), tx_count bigint"
+    frame = spark.createDataFrame(rows, schema).repartition(5)
+    for limit in (1000, 10):
+        pages = reports.account_pair_pages(frame, 20, limit).collect()
+        assert sorted((p.kind, p.page, p.n_lines) for p in pages) == [("desc", 1, 20), ("one", 1, 1), ("ref", 1, 20), ("ref", 2, 20), ("ref", 3, 5)]
+        flat = [(p.trx_date, p.account_debit, p.account_credit, p.kind, *x) for p in pages for x in p.lines]
+        assert sorted(flat) == sorted(rows)
+        assert all(p.page_amount == sum(x.amount for x in p.lines) for p in pages)
+        ref = [x.value for p in sorted(pages, key=lambda p: p.page) if p.kind == "ref" for x in p.lines]
+        assert ref == sorted(ref)
+    assert reports.account_pair_pages(frame.limit(0), 20).collect() == []
