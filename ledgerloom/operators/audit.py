@@ -7,6 +7,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.operators.merkle import FANOUT, hash_levels, leaf_hash, proven_root
 from ledgerloom.operators.numbering import number_rows
 from ledgerloom.operators.sequences import with_previous
 
@@ -176,6 +177,34 @@ def segment_heads(chain: DataFrame) -> DataFrame:
     return heads.join(roots, CHAIN)
 
 
+def chain_tree(chain: DataFrame, fanout: int = FANOUT) -> DataFrame:
+    """Nodes of a hash tree per entity over the last hashes of its segments (``merkle.hash_levels``).
+
+    Its root stands for the whole chain like that of ``segment_heads``, without a cell that holds all heads.
+    """
+    heads = chain.groupBy(*CHAIN, "segment").agg(F.max_by("hash_current", "chain_no").alias("head"))
+    return hash_levels(heads, CHAIN, "segment", "head", fanout)
+
+
+def verify_segments(events: DataFrame, proofs: DataFrame, published: DataFrame, segment: Column | None = None) -> DataFrame:
+    """Segments of whole-segment slice ``events`` that don't lead to the published root of their entity.
+
+    ``proofs`` are those of the segments the slice should hold, ``published`` the roots. No event, head or hash from
+    outside the slice is read, and stored hashes are not trusted: a segment whose events were altered and linked
+    again is found. SEGMENT_MISSING names one without events, SEGMENT_UNKNOWN one without proof.
+    """
+    chain = build_hash_chain(events, segment)
+    heads = chain.groupBy(*CHAIN, F.col("segment").alias("name")).agg(F.max_by("hash_current", "chain_no").alias("head"))
+    met = heads.join(proofs, [*CHAIN, "name"], "full").join(published.select(*CHAIN, "root"), CHAIN, "left")
+    reached = proven_root(leaf_hash(F.col("name"), F.col("head")), F.col("proof"))
+    error = (
+        F.when(F.col("head").isNull(), "SEGMENT_MISSING")
+        .when(F.col("proof").isNull() | F.col("root").isNull(), "SEGMENT_UNKNOWN")
+        .when(reached != F.col("root"), "ROOT_MISMATCH")
+    )
+    return met.select(*CHAIN, F.col("name").alias("segment"), error.alias("error")).where("error IS NOT NULL")
+
+
 def verify_hash_chain(events: DataFrame, sliced: bool = False) -> DataFrame:
     """Events whose link or content does not fit, with what was expected.
 

@@ -7,6 +7,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.operators.clustering import clusters
 from ledgerloom.scratch import cut
 
 
@@ -70,8 +71,13 @@ def reach_from_each(edge: DataFrame, seeds: DataFrame, hops: int = 3, most: int
 
 
 def node_features(edge: DataFrame) -> DataFrame:
-    """Degree, edge count and mean/std of the edge amounts per node."""
+    """Degree, edge count and mean/std of the edge amounts per node; ``std_cents`` comes from exact sums, in cents."""
+    cents = (F.col("amount") * 100).cast("decimal(18,0)")
+    n, s, q = F.count("amount").cast("decimal(12,0)"), F.sum(cents).cast("decimal(19,0)"), F.sum((cents * cents).cast("decimal(38,0)"))
+    spread = (n * q).cast("decimal(38,0)") - (s * s).cast("decimal(38,0)")
+    std = F.round(F.sqrt(spread.cast("double") / (n * (n - 1)).cast("double"))).cast("bigint")
     return edge.groupBy(F.col("src").alias("node")).agg(
+        F.when(n > 1, std).otherwise(F.lit(0)).cast("bigint").alias("std_cents"),
         F.count(F.lit(1)).alias("degree"),
         F.sum("n").alias("edge_count"),
         F.avg("amount").alias("mean_amount"),
@@ -85,24 +91,14 @@ def risk_bucket(score: Column) -> Column:
     )
 
 
-def cluster_risk(features: DataFrame, columns: list[str], k: int = 4, seed: int = 42) -> DataFrame:
-    """Distance to the own cluster centre, scaled to 0..1, and its bucket."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import StandardScaler, VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
-    numbers = features.withColumns({c: F.col(c).cast("double") for c in columns})
-    vectors = VectorAssembler(inputCols=columns, outputCol="_raw").transform(numbers)
-    scaled = StandardScaler(inputCol="_raw", outputCol="_v").fit(vectors).transform(vectors)
-    model = KMeans(k=k, seed=seed, featuresCol="_v", predictionCol="cluster").fit(scaled)
-    centres = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in model.clusterCenters()])
-    point = vector_to_array("_v")
-    gap = F.zip_with(point, F.get(centres, F.col("cluster")), lambda a, b: (a - b) * (a - b))
-    measured = (
-        model.transform(scaled)
-        .withColumn("distance", F.sqrt(F.aggregate(gap, F.lit(0.0), lambda s, x: s + x)))
-        .drop("_raw", "_v")
-    )
-    top = measured.agg(F.max("distance")).first()[0] or 1.0
-    score = F.col("distance") / F.lit(float(top) or 1.0)
-    return measured.withColumn("risk_score", score).withColumn("risk_bucket", risk_bucket(F.col("risk_score")))
+def cluster_risk(
+    features: DataFrame, columns: list[str], k: int = 4, steps: int = 10, centres: list[list[int]] | None = None
+) -> DataFrame:
+    """Cluster, distance to its centre, that distance as a share of the largest one, and its bucket."""
+    placed, _ = clusters(features, columns, k, steps, centres)
+    placed = cut(placed, "clusters")
+    top = placed.agg(F.max("gap")).first()[0] or 1
+    far = F.sqrt(F.col("gap").cast("double"))
+    score = far / F.sqrt(F.lit(top).cast("double"))
+    measured = placed.withColumn("distance", far).withColumn("risk_score", score).drop("gap")
+    return measured.withColumn("risk_bucket", risk_bucket(F.col("risk_score")))

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 from ledgerloom.operators import audit as A
 from ledgerloom.operators import controls as C
 from ledgerloom.operators import fraud as X
+from ledgerloom.operators import merkle as M
 from ledgerloom.plans.closing import close_periods
 from ledgerloom.sources import tables as S
 from queries.registry import query
@@ -370,6 +371,55 @@ def f08_heads(spark, root):
     return A.segment_heads(A.build_hash_chain(S.audit_events(spark, root), day))
 
 
+DAY_SEGMENT = "CAST(datediff('day', DATE '1970-01-01', CAST(event_timestamp AS DATE)) AS BIGINT)"
+
+
+def tree_sql(fanout: int, levels: int) -> str:
+    """Levels of the tree over day heads, one table each; a tree of one node is done."""
+    parts = [
+        f"""h AS (SELECT entity_id, segment, arg_max(hash_current, n) AS head FROM chain GROUP BY 1, 2)""",
+        """l0 AS MATERIALIZED (SELECT entity_id, ROW_NUMBER() OVER (PARTITION BY entity_id ORDER BY segment) - 1 AS place,
+  COUNT(*) OVER (PARTITION BY entity_id) AS size, sha256('L#' || segment || '#' || head) AS hash FROM h)""",
+    ]
+    for i in range(levels):
+        parts.append(
+            f"""l{i + 1} AS MATERIALIZED (SELECT entity_id, place // {fanout} AS place, (any_value(size) + {fanout - 1}) // {fanout} AS size,
+  sha256('N' || string_agg(hash, '' ORDER BY l{i}.place)) AS hash FROM l{i} WHERE size > 1 GROUP BY entity_id, l{i}.place // {fanout})"""
+        )
+    return ",\n ".join(parts)
+
+
+@query(
+    "f08_chain_trees",
+    f"""WITH RECURSIVE {chain_sql(DAY_SEGMENT)}, {tree_sql(4, 8)}
+ SELECT 'JOURNAL' AS entity_type, entity_id, height, hash AS root FROM ({' UNION ALL '.join(f"SELECT entity_id, {i} AS height, hash, size FROM l{i}" for i in range(9))}) WHERE size = 1""",
+)
+def f08_trees(spark, root):
+    """Roots over the heads of day segments, four children a node."""
+    day = F.unix_date(F.to_date("event_timestamp"))
+    chain = A.build_hash_chain(S.audit_events(spark, root), day)
+    return M.roots(A.chain_tree(chain, fanout=4), A.CHAIN)
+
+
+@query(
+    "f07_unproven_segments",
+    f"""WITH {AUDIT} SELECT entity_type, entity_id, {DAY_SEGMENT} AS segment,
+ CASE WHEN bool_and(user_id % 3 = 1) THEN 'SEGMENT_MISSING' ELSE 'ROOT_MISMATCH' END AS error FROM audit WHERE event_timestamp >= TIMESTAMP '2024-01-15'
+ GROUP BY ALL HAVING bool_or(user_id % 50 = 7) OR bool_or(user_id % 3 = 1)""",
+)
+def f07_unproven(spark, root):
+    """From the fifteenth on events were altered or taken out and the chains linked again, so no link is broken."""
+    day = F.unix_date(F.to_date("event_timestamp"))
+    events = S.audit_events(spark, root)
+    tree = A.chain_tree(A.build_hash_chain(events, day), fanout=4)
+    part = events.where("event_timestamp >= timestamp'2024-01-15'")
+    wanted = part.select(*A.CHAIN, day.cast("bigint").alias("name"))
+    proofs = M.inclusion_proofs(tree, wanted, A.CHAIN, fanout=4)
+    kind = F.when(F.col("user_id") % 50 == 7, F.lit("ALTERED")).otherwise(F.col("event_type"))
+    altered = part.withColumn("event_type", kind).where("user_id % 3 <> 1")
+    return A.verify_segments(altered, proofs, M.roots(tree, A.CHAIN), day)
+
+
 @query(
     "i21_changed_fields",
     f"""WITH {JOURNALS} SELECT id, concat_ws(',', CASE WHEN status <> 'F' THEN 'amount' END, CASE WHEN id % 2 = 0 THEN 'note' END, CASE WHEN id % 3 = 0 THEN 'status' END) AS changed FROM journals""",
