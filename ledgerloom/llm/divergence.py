@@ -1,9 +1,10 @@
 """Audit of how far the sources of a language differ in their words, by chunk factorization.
 
 A text is cut into chunks at blanks, and the chunks of each document are counted. A task adds these counts up per
-(source group, chunk) before it hands them on. They are dealt by chunk, once: each globally distinct chunk becomes one
-row, is cut into terms there, and its terms meet its counts. So frequent chunks cost one row per group and task, not
-one per occurrence. A group, (language, source), travels as a hash, seeded so that no two groups share one.
+chunk and source group before it hands them on, one row a chunk with its groups packed. They are dealt by chunk, once:
+each globally distinct chunk becomes one row, is cut into terms there, and its terms meet its counts. So frequent chunks
+cost one row per stretch of text, not one per occurrence. A group, (language, source), travels as a hash, seeded so
+that no two groups share one; so does a language.
 
 A term is kept if ``min_docs`` documents of its language hold it. Documents cannot be added up over the
 chunks of a term, since one document may hold several of them. Yet the largest chunk alone bounds the number from
@@ -36,21 +37,31 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MIN_DOCS, TOP, SCALE = 10, 10, 1_000_000_000
 #: Bytes of text a task counts at once before it hands the counts on.
 HELD = 32 << 20
+#: An entry of a chunk's counts within a stretch or a task: group, language, documents and occurrences.
+ENTRY = np.dtype([("gid", "<i8"), ("lid", "<i8"), ("docs", "<i8"), ("occ", "<i8")])
+#: Chunks handed on at once.
+ROWS = 1 << 16
 #: Bits of the filter for rare chunks: 4 MB, whatever the number of chunks.
 BITS = 1 << 25
 
 
-def grouped(rows: DataFrame) -> tuple[DataFrame, Column]:
-    """(lang, source, gid) of each group, and the column that gives a row its gid."""
-    groups = written(rows.select("lang", "source").distinct(), "source-groups")
-    seed, many = 0, groups.count()
+def _telling(frame: DataFrame, *columns: str) -> Column:
+    """A hash of ``columns`` under the first seed by which no two rows of ``frame``, all distinct, share one."""
+    many, seed = frame.count(), 0
     while True:
-        gid = F.xxhash64(F.lit(seed), "lang", "source")
-        if groups.select(gid).distinct().count() == many:
-            return groups.withColumn("gid", gid), gid
+        code = F.xxhash64(F.lit(seed), *columns)
+        if frame.select(code).distinct().count() == many:
+            return code
         seed += 1
 
 
+def grouped(rows: DataFrame) -> tuple[DataFrame, Column, Column]:
+    """(lang, source, gid, lid) of each group, and the columns that give a row its gid and its language's lid."""
+    groups = written(rows.select("lang", "source").distinct(), "source-groups")
+    gid, lid = _telling(groups, "lang", "source"), _telling(groups.select("lang").distinct(), "lang")
+    return groups.withColumns({"gid": gid, "lid": lid}), gid, lid
+
+
 def stretches(batches, size: int):
     """Arrow batches put together to stretches of about ``size`` bytes; a longer text makes its stretch longer."""
     pieces, used = [], 0
@@ -77,8 +88,21 @@ def _runs(ordered: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
 
 
+def _packed(entries: np.ndarray, first: np.ndarray) -> pa.Array:
+    """The entries from each place of ``first`` to the next as one binary value."""
+    ends = np.append(first, len(entries)) * ENTRY.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(entries.tobytes())])
+
+
+def _unpacked(packed: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The entries of all values, and how many each value has."""
+    ends = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset : packed.offset + len(packed) + 1]
+    data = np.frombuffer(packed.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+    return data.view(ENTRY), np.diff(ends) // ENTRY.itemsize
+
+
 def chunk_counts(docs: DataFrame, held: int = HELD) -> DataFrame:
-    """(gid, chunk, docs, occ): documents and occurrences of each chunk in a stretch of ``docs`` (gid, text)."""
+    """(chunk, counts): for each chunk of a stretch of ``docs`` (gid, lid, text), its entries by group, packed."""
 
     def run(batches):
         for batch in stretches(batches, held):
@@ -90,45 +114,91 @@ def chunk_counts(docs: DataFrame, held: int = HELD) -> DataFrame:
             first = _runs(keys)
             occ = np.diff(np.append(first, len(keys)))
             row, code = np.divmod(keys[first], many)
-            names, group = np.unique(batch.column("gid").to_numpy(), return_inverse=True)
-            keys = group[row] * many + code  # by group and chunk
+            names, at, group = np.unique(batch.column("gid").to_numpy(), return_index=True, return_inverse=True)
+            langs = batch.column("lid").to_numpy()[at]
+            keys = code * len(names) + group[row]  # by chunk and group
             order = np.argsort(keys, kind="stable")
             keys = keys[order]
             first = _runs(keys)
-            group, code = np.divmod(keys[first], many)
-            counts = np.diff(np.append(first, len(keys))), np.add.reduceat(occ[order], first)
-            arrays = [pa.array(names[group]), chunks.take(pa.array(code)), *map(pa.array, counts)]
-            yield pa.RecordBatch.from_arrays(arrays, ["gid", "chunk", "docs", "occ"])
-
-    return docs.mapInArrow(run, "gid long, chunk string, docs long, occ long")
+            code, group = np.divmod(keys[first], len(names))
+            entries = np.empty(len(first), ENTRY)
+            entries["gid"], entries["lid"] = names[group], langs[group]
+            entries["docs"], entries["occ"] = np.diff(np.append(first, len(keys))), np.add.reduceat(occ[order], first)
+            begin = _runs(code)
+            for start in range(0, len(begin), ROWS):
+                part = begin[start : start + ROWS]
+                stop = begin[start + ROWS] if start + ROWS < len(begin) else len(entries)
+                packed = _packed(entries[part[0] : stop], part - part[0])
+                yield pa.RecordBatch.from_arrays([chunks.take(pa.array(code[part])), packed], ["chunk", "counts"])
+
+    return docs.mapInArrow(run, "chunk string, counts binary")
+
+
+def _added(code: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums of ``entries`` by (code, group): codes, entries in the order of languages, documents of the language."""
+    names, at, group = np.unique(entries["gid"], return_index=True, return_inverse=True)
+    rank = np.empty(len(names), np.int64)
+    rank[np.lexsort((names, entries["lid"][at]))] = np.arange(len(names))
+    keys = code * len(names) + rank[group]
+    order = np.argsort(keys, kind="stable")
+    entries, first = entries[order], _runs(keys[order])
+    sums = entries[first]
+    for name in ("docs", "occ"):
+        sums[name] = np.add.reduceat(entries[name], first)
+    code = code[order][first]
+    lang = np.flatnonzero(np.concatenate(([True], (code[1:] != code[:-1]) | (sums["lid"][1:] != sums["lid"][:-1]))))
+    return code, sums, np.repeat(np.add.reduceat(sums["docs"], lang), np.diff(np.append(lang, len(sums))))
+
+
+def factored(counts: DataFrame, held: int = HELD) -> DataFrame:
+    """(chunk, counts, terms), a row per distinct chunk: its counts by group, and its terms.
+
+    The rows of a chunk, one a stretch, are dealt by chunk, sorted and added up while they stream by, so a task holds
+    one chunk's groups besides the rows it reads at once. ``least`` of an entry is the chunk's documents in its language.
+    """
+    dealt = counts.repartition(shuffle_partitions(counts.sparkSession), "chunk").sortWithinPartitions("chunk")
 
+    def run(batches):
+        name, kept = None, np.empty(0, ENTRY)
+        for batch in stretches(batches, held):
+            chunks, (entries, each) = batch.column("chunk"), _unpacked(batch.column("counts"))
+            if name is not None:  # the last chunk so far may go on here
+                chunks = pa.concat_arrays([pa.array([name], chunks.type), chunks])
+                entries, each = np.concatenate((kept, entries)), np.concatenate(([len(kept)], each))
+            new = pc.not_equal(chunks.slice(1), chunks.slice(0, len(chunks) - 1)).to_numpy(zero_copy_only=False)
+            place = np.concatenate(([0], np.cumsum(new)))
+            code, sums, least = _added(np.repeat(place, each), entries)
+            name, done = chunks[len(chunks) - 1].as_py(), np.searchsorted(code, place[-1])
+            kept = sums[done:].copy()
+            if done:
+                yield _listed(chunks.take(pa.array(_runs(place)[:-1])), code[:done], sums[:done], least[:done])
+        if name is not None:
+            code, sums, least = _added(np.zeros(len(kept), np.int64), kept)
+            yield _listed(pa.array([name]), code, sums, least)
+
+    summed = dealt.mapInArrow(run, "chunk string, counts array<struct<gid: bigint, lid: bigint, docs: bigint, occ: bigint, least: bigint>>")
+    terms = F.regexp_extract_all(F.translate("chunk", UPPER, LOWER), F.lit(TERM), 0)
+    return summed.where(F.col("chunk").rlike(TERM)).select("chunk", "counts", terms.alias("terms"))
 
-def factored(counts: DataFrame, groups: DataFrame) -> DataFrame:
-    """(chunk, langs, terms), a row per distinct chunk: its counts by language and group, and its terms.
 
-    The lists are as long as there are groups at most. All of it stands on one exchange by chunk.
-    """
-    dealt = counts.repartition(shuffle_partitions(counts.sparkSession), "chunk")
-    per = dealt.groupBy("chunk", "gid").agg(F.sum("docs").alias("docs"), F.sum("occ").alias("occ"))
-    per = per.join(groups.select("gid", "lang"), "gid")
-    by_lang = per.groupBy("chunk", "lang").agg(F.sum("docs").alias("docs"), F.collect_list(F.struct("gid", "docs", "occ")).alias("counts"))
-    whole = by_lang.groupBy("chunk").agg(F.collect_list(F.struct("lang", "docs", "counts")).alias("langs"))
-    terms = F.regexp_extract_all(F.translate("chunk", UPPER, LOWER), F.lit(TERM), 0)
-    return whole.select("chunk", "langs", terms.alias("terms")).where(F.size("terms") > 0)
+def _listed(chunks: pa.Array, code: np.ndarray, sums: np.ndarray, least: np.ndarray) -> pa.RecordBatch:
+    names = ("gid", "lid", "docs", "occ")
+    entries = pa.StructArray.from_arrays([*[pa.array(np.ascontiguousarray(sums[n])) for n in names], pa.array(least)], [*names, "least"])
+    ends = np.append(_runs(code), len(code)).astype(np.int32)
+    return pa.RecordBatch.from_arrays([chunks, pa.ListArray.from_arrays(pa.array(ends), entries)], ["chunk", "counts"])
 
 
 def term_sums(chunks: DataFrame) -> DataFrame:
-    """(lang, gid, term, count, least, most): occurrences, and what each group adds to the bounds of documents."""
-    rows = chunks.select("terms", F.explode("langs").alias("l")).select("terms", "l.lang", F.col("l.docs").alias("least"), F.explode("l.counts").alias("c"))
+    """(lid, gid, term, count, least, most): occurrences, and what each group adds to the bounds of documents."""
     # A term that stands twice in a chunk counts twice, but its documents once.
     once = F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.size(F.filter("terms", lambda x: x == t)).alias("times")))
-    rows = rows.select("lang", "c.gid", "least", "c.docs", "c.occ", F.explode(once).alias("t"))
-    sums = F.sum(F.col("occ") * F.col("t.times")).alias("count"), F.max("least").alias("least"), F.sum("docs").alias("most")
-    return rows.groupBy("lang", "gid", F.col("t.term").alias("term")).agg(*sums)
+    rows = chunks.select("counts", F.explode(once).alias("t")).select("t.*", F.inline("counts"))
+    sums = F.sum(F.col("occ") * F.col("times")).alias("count"), F.max("least").alias("least"), F.sum("docs").alias("most")
+    return rows.groupBy("lid", "gid", "term").agg(*sums)
 
 
 def chunk_rows(docs: DataFrame, chunks: DataFrame, bits: int, held: int = HELD) -> DataFrame:
-    """(lang, chunk, row) of the documents whose chunks have the hashes of ``chunks``; ``row`` numbers documents."""
+    """(lid, chunk, row) of the documents whose chunks have the hashes of ``chunks``; ``row`` numbers documents."""
     at = F.pmod(F.xxhash64("chunk"), F.lit(bits)) + 1
     pages = chunks.groupBy(F.bitmap_bucket_number(at).alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
     allowed = np.zeros(bits, bool)
@@ -146,24 +216,25 @@ def chunk_rows(docs: DataFrame, chunks: DataFrame, bits: int, held: int = HELD)
             h = np.fromiter(map(digest, chunks.cast(pa.binary()).to_pylist()), np.uint64, len(chunks))
             let = np.flatnonzero(ok[h & np.uint64(bits - 1)][code])  # each distinct chunk of a stretch is hashed once
             row, code = np.divmod(np.unique(row[let] * max(len(chunks), 1) + code[let]), max(len(chunks), 1))
-            arrays = [batch.column("lang").take(pa.array(row)), chunks.take(pa.array(code)), pa.array(start + row)]
-            yield pa.RecordBatch.from_arrays(arrays, ["lang", "chunk", "row"])
+            arrays = [batch.column("lid").take(pa.array(row)), chunks.take(pa.array(code)), pa.array(start + row)]
+            yield pa.RecordBatch.from_arrays(arrays, ["lid", "chunk", "row"])
             start += batch.num_rows
 
-    return docs.select("lang", "text").mapInArrow(run, "lang string, chunk string, row long")
+    return docs.select("lid", "text").mapInArrow(run, "lid long, chunk string, row long")
 
 
 def kept_terms(docs: DataFrame, chunks: DataFrame, sums: DataFrame, min_docs: int, bits: int = BITS, held: int = HELD) -> DataFrame:
-    """(lang, term) in ``min_docs`` documents of the language at least."""
-    bounds = sums.groupBy("lang", "term").agg(F.max("least").alias("least"), F.sum("most").alias("most"))
+    """(lid, term) in ``min_docs`` documents of the language at least."""
+    bounds = sums.groupBy("lid", "term").agg(F.max("least").alias("least"), F.sum("most").alias("most"))
     bounds = written(bounds.where(F.col("most") >= min_docs), "term-bounds")
-    open_ = bounds.where(F.col("least") < min_docs).select("lang", "term")
-    rare = chunks.select("chunk", "terms", F.explode("langs").alias("l")).where(F.col("l.docs") < min_docs)
-    rare = rare.select("l.lang", "chunk", F.explode(F.array_distinct("terms")).alias("term")).join(open_, ["lang", "term"], "left_semi")
+    open_ = bounds.where(F.col("least") < min_docs).select("lid", "term")
+    langs = F.array_distinct(F.transform(F.filter("counts", lambda c: c["least"] < min_docs), lambda c: c["lid"]))
+    rare = chunks.select("chunk", "terms", F.explode(langs).alias("lid"))
+    rare = rare.select("lid", "chunk", F.explode(F.array_distinct("terms")).alias("term")).join(open_, ["lid", "term"], "left_semi")
     rare = written(rare, "rare-chunks")
-    told = chunk_rows(docs, rare, bits, held).join(rare, ["lang", "chunk"]).select("lang", "term", "row").distinct()
-    more = told.groupBy("lang", "term").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_docs)
-    return bounds.where(F.col("least") >= min_docs).select("lang", "term").union(more.select("lang", "term"))
+    told = chunk_rows(docs, rare, bits, held).join(rare, ["lid", "chunk"]).select("lid", "term", "row").distinct()
+    more = told.groupBy("lid", "term").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_docs)
+    return bounds.where(F.col("least") >= min_docs).select("lid", "term").union(more.select("lid", "term"))
 
 
 def _share(count: Column, total: Column, size: Column, scale: int) -> Column:
@@ -187,13 +258,14 @@ def source_divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP,
     power of two.
     """
     rows = docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source", "text")])
-    groups, gid = grouped(rows)
-    counted = chunk_counts(rows.select(gid.alias("gid"), "text"), held)
-    chunks = written(factored(counted, groups), "chunks")
+    groups, gid, lid = grouped(rows)
+    placed = rows.select(gid.alias("gid"), lid.alias("lid"), "text")
+    chunks = written(factored(chunk_counts(placed, held), held), "chunks")
     sums = written(term_sums(chunks), "term-sums")
-    kept = written(kept_terms(rows, chunks, sums, min_docs, bits, held), "kept-terms")
-    counts = sums.select("lang", "gid", "term", "count").join(kept, ["lang", "term"], "left_semi")
-    counts = written(counts.join(groups, ["lang", "gid"]).select("lang", "source", "term", "count"), "term-counts")
+    kept = written(kept_terms(placed, chunks, sums, min_docs, bits, held), "kept-terms")
+    counts = sums.select("lid", "gid", "term", "count").join(kept, ["lid", "term"], "left_semi")
+    counts = written(counts.join(groups, ["lid", "gid"]).select("lang", "source", "term", "count"), "term-counts")
+    kept = kept.join(groups.select("lid", "lang").distinct(), "lid")
 
     sizes = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("V"))
     totals = counts.groupBy("lang", "source").agg(F.sum("count").alias("N"), F.count(F.lit(1)).alias("had"))
