@@ -40,7 +40,7 @@ HELD = 32 << 20
 #: An entry of a chunk's counts within a stretch or a task: group, language, documents and occurrences.
 ENTRY = np.dtype([("gid", "<i8"), ("lid", "<i8"), ("docs", "<i8"), ("occ", "<i8")])
 #: Chunks handed on at once.
-ROWS = 1 << 16
+ROWS = 1 << 14
 #: Bits of the filter for rare chunks: 4 MB, whatever the number of chunks.
 BITS = 1 << 25
 
@@ -110,26 +110,32 @@ def chunk_counts(docs: DataFrame, held: int = HELD) -> DataFrame:
             if not len(code):
                 continue
             many = len(chunks)
-            keys = np.sort(row * many + code)  # by document and chunk
-            first = _runs(keys)
-            occ = np.diff(np.append(first, len(keys)))
-            row, code = np.divmod(keys[first], many)
+            row *= many  # arrays are used again, since they are what a task holds
+            row += code
+            row.sort()  # by document and chunk
+            first = _runs(row)
+            occ = np.diff(np.append(first, len(row)))
+            row, code = np.divmod(row[first], many)
             names, at, group = np.unique(batch.column("gid").to_numpy(), return_index=True, return_inverse=True)
             langs = batch.column("lid").to_numpy()[at]
-            keys = code * len(names) + group[row]  # by chunk and group
-            order = np.argsort(keys, kind="stable")
-            keys = keys[order]
+            code *= len(names)
+            code += group[row]  # by chunk and group
+            order = np.argsort(code, kind="stable")
+            keys = code[order]
             first = _runs(keys)
+            total = np.add.reduceat(occ[order], first)
+            del row, occ, order
+            docs_ = np.diff(np.append(first, len(keys)))
             code, group = np.divmod(keys[first], len(names))
-            entries = np.empty(len(first), ENTRY)
-            entries["gid"], entries["lid"] = names[group], langs[group]
-            entries["docs"], entries["occ"] = np.diff(np.append(first, len(keys))), np.add.reduceat(occ[order], first)
-            begin = _runs(code)
-            for start in range(0, len(begin), ROWS):
-                part = begin[start : start + ROWS]
-                stop = begin[start + ROWS] if start + ROWS < len(begin) else len(entries)
-                packed = _packed(entries[part[0] : stop], part - part[0])
-                yield pa.RecordBatch.from_arrays([chunks.take(pa.array(code[part])), packed], ["chunk", "counts"])
+            begin = np.append(_runs(code), len(code))
+            for start in range(0, len(begin) - 1, ROWS):
+                part = begin[start : start + ROWS + 1]
+                span = slice(part[0], part[-1])
+                entries = np.empty(part[-1] - part[0], ENTRY)
+                entries["gid"], entries["lid"] = names[group[span]], langs[group[span]]
+                entries["docs"], entries["occ"] = docs_[span], total[span]
+                packed = _packed(entries, part[:-1] - part[0])
+                yield pa.RecordBatch.from_arrays([chunks.take(pa.array(code[part[:-1]])), packed], ["chunk", "counts"])
 
     return docs.mapInArrow(run, "chunk string, counts binary")
 
@@ -160,7 +166,7 @@ def factored(counts: DataFrame, held: int = HELD) -> DataFrame:
 
     def run(batches):
         name, kept = None, np.empty(0, ENTRY)
-        for batch in stretches(batches, held):
+        for batch in stretches(batches, held // 8):
             chunks, (entries, each) = batch.column("chunk"), _unpacked(batch.column("counts"))
             if name is not None:  # the last chunk so far may go on here
                 chunks = pa.concat_arrays([pa.array([name], chunks.type), chunks])
