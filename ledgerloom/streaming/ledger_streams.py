@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import audit, controls
+from ledgerloom.operators.numbering import TASK_ROWS
 from ledgerloom.scratch import scratch_path
 
 
@@ -27,6 +28,21 @@ def read_stream(spark: SparkSession, path: str, files_per_trigger: int | None =
     return reader.parquet(path)
 
 
+def write_for_batches(rows: DataFrame, path: str, batches: int = 3, file_rows: int = TASK_ROWS) -> tuple[str, int]:
+    """Write ``rows`` below ``path``; the folder, and the files per trigger at which a stream of it has ``batches`` batches.
+
+    Every task writes its own rows, in files of up to ``file_rows``. Only where that gives too few files to be dealt
+    evenly, so for few rows, they are written again as one file per batch.
+    """
+    rows.write.option("maxRecordsPerFile", file_rows).parquet(f"{path}/all")
+    written = rows.sparkSession.read.schema(rows.schema).parquet(f"{path}/all")
+    files = len(written.inputFiles())
+    if files >= batches * (batches - 1):
+        return f"{path}/all", -(-files // batches)
+    written.repartition(batches).write.parquet(f"{path}/even")
+    return f"{path}/even", 1
+
+
 def journal_stream(entries: DataFrame, accounts: DataFrame) -> DataFrame:
     """Enrich by the static account table, keep valid rows, map to journals.
 

@@ -148,7 +148,7 @@ def j06(spark, root):
 def maintained(spark, rows, summary, name):
     """The summary after a stream over all rows in three batches, the last of which ran again, folded and read."""
     base, mark = J.stream_paths(spark, name)
-    rows.repartition(3).write.parquet(f"{base}/rows")
+    folder, files = J.write_for_batches(rows, f"{base}/rows")
     write, batches = M.maintain(summary, f"{base}/state"), []
 
     def twice(batch, batch_id):
@@ -157,7 +157,7 @@ def maintained(spark, rows, summary, name):
             write(batch, batch_id)
         batches.append(batch_id)
 
-    J.run_batches(J.read_stream(spark, f"{base}/rows", files_per_trigger=1), twice, mark)
+    J.run_batches(J.read_stream(spark, folder, files_per_trigger=files), twice, mark)
     M.compacted(spark, summary, f"{base}/state", f"{base}/folded")
     return M.maintained(spark, summary, f"{base}/folded")
 
