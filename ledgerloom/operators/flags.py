@@ -16,25 +16,33 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.numbering import TASK_ROWS, by_group_size, join_keys, spread
+from ledgerloom.scratch import cut
 
 MONEY = "decimal(20,2)"
 
+# Columns of a line that the machine reads.
+LINE = ["line_no", "dc", "account_code", "amount", "account_flag"]
 
-def _scan(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
+
+def _scan(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], ends: Sequence[str] = ()) -> DataFrame:
     """Running state per key from columns reset, sign and shift.
 
     Adds seen (a reset so far), run_sign and run_value: x after the row is
-    run_value, plus run_sign * x_in while nothing was reset.
+    run_value, plus run_sign * x_in while nothing was reset. Sums run over the
+    whole key and what stood before the last reset is taken off, so all
+    windows share one sort. ``ends`` adds the last debit (D) and credit (C).
     """
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    seg = df.withColumn("_seg", F.sum(F.col("reset").cast("int")).over(w))
-    ws = Window.partitionBy(*keys, "_seg").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    odd = F.sum((F.col("sign") < 0).cast("int")).over(ws) % 2
-    seg = seg.withColumn("run_sign", F.when(odd == 1, -1).otherwise(1))
-    total = F.sum(F.col("run_sign") * F.col("shift")).over(ws)
-    return seg.withColumn("run_value", (F.col("run_sign") * total).cast(MONEY)).withColumn(
-        "seen", F.col("_seg") > 0
-    ).drop("_seg")
+    odd = F.sum((F.col("sign") < 0).cast("int")).over(w) % 2
+    run = df.withColumns(
+        {f"_{side.lower()}": F.last(F.when(F.col("dc") == side, F.col("account_code")), ignorenulls=True).over(w) for side in ends}
+        | {"run_sign": F.when(odd == 1, -1).otherwise(1), "seen": F.coalesce(F.max("reset").over(w), F.lit(False))}
+    )
+    step = F.col("run_sign") * F.col("shift")
+    run = run.withColumn("_sum", F.sum(step).over(w))
+    before = F.last(F.when(F.col("reset"), F.col("_sum") - step), ignorenulls=True).over(w)
+    total = F.col("_sum") - F.coalesce(before, F.lit(0).cast("decimal(38,2)"))
+    return run.withColumn("run_value", (F.col("run_sign") * total).cast(MONEY)).drop("_sum")
 
 
 def _steps(lines: DataFrame) -> DataFrame:
@@ -57,30 +65,27 @@ def _emit(df: DataFrame, x_after: Column, debit: Column, credit: Column, keys: S
 
 
 def _in_one_task(lines: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-
-    def last(side: str) -> Column:
-        return F.last(F.when(F.col("dc") == side, F.col("account_code")), ignorenulls=True).over(w)
-
-    run = (
-        _scan(_steps(lines), keys, order)
-        .withColumn("_d", last("D"))
-        .withColumn("_c", last("C"))
-    )
+    run = _scan(_steps(lines), keys, order, ends="DC")
     return _emit(run, F.col("run_value"), F.col("_d"), F.col("_c"), keys)
 
 
 def _over_many_tasks(lines: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Same result with each journal cut into ranges that are combined after."""
-    laid = spread(_steps(lines), keys, order)
-    local_keys = [*keys, "_part"]
-    w = Window.partitionBy(*local_keys).orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
-
-    def last(side: str) -> Column:
-        return F.last(F.when(F.col("dc") == side, F.col("account_code")), ignorenulls=True).over(w)
+    """Same result with each journal cut into ranges that are combined after.
 
-    run = _scan(laid, local_keys, ["_pos"]).withColumn("_d", last("D")).withColumn("_c", last("C"))
-    ends = run.groupBy(*local_keys).agg(
+    Ranges follow the order of the keys, so only the first journal of a range can have begun in an earlier one: what
+    is carried into a range is one row, whatever the number of journals.
+    """
+    laid = _steps(spread(lines.where("amount > 0"), keys, order, keep=[*keys, *LINE]))
+    local_keys = [*keys, "_part"]
+    run = _scan(laid, local_keys, ["_pos"], ends="DC")
+
+    # At most one journal per range goes on in the next one.
+    outer = F.struct(*keys)
+    rims = laid.groupBy("_part").agg(F.min_by(outer, "_pos").alias("a"), F.max_by(outer, "_pos").alias("z"))
+    rims = rims.select("_part", F.explode(F.array_distinct(F.array("a", "z"))).alias("k")).select("_part", "k.*")
+    cut_up = F.broadcast(cut(rims.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*keys), "cut-up"))
+    parts = _scan(join_keys(laid, cut_up, keys, "left_semi"), local_keys, ["_pos"], ends="DC")
+    ends = parts.groupBy(*local_keys).agg(
         F.max_by(F.struct("seen", "run_sign", "run_value", "_d", "_c"), "_pos").alias("e")
     ).select(
         *local_keys, F.col("e.seen").alias("reset"), F.col("e.run_sign").alias("sign"),
@@ -94,10 +99,10 @@ def _over_many_tasks(lines: DataFrame, keys: Sequence[str], order: Sequence[str]
         F.last("d_end", ignorenulls=True).over(before).alias("d_in"),
         F.last("c_end", ignorenulls=True).over(before).alias("c_in"),
     )
-    joined = join_keys(run, heads, local_keys)
-    x_after = F.when(F.col("seen"), F.col("run_value")).otherwise(
-        F.col("run_value") + F.col("run_sign") * F.col("x_in")
-    )
+    # A journal cut up has a row per range, and a range at most two such journals.
+    joined = join_keys(run, F.broadcast(cut(heads, "heads")), local_keys, "left")
+    x_in = F.coalesce("x_in", F.lit(0).cast(MONEY))
+    x_after = F.when(F.col("seen"), F.col("run_value")).otherwise(F.col("run_value") + F.col("run_sign") * x_in)
     return _emit(
         joined, x_after, F.coalesce("_d", "d_in"), F.coalesce("_c", "c_in"), keys
     )
@@ -108,7 +113,7 @@ def flagged_gl_rows(
 ) -> DataFrame:
     """Two-sided ledger rows; journals above ``limit`` lines use many tasks."""
     return by_group_size(
-        lines,
+        lines.select(*dict.fromkeys([*keys, *order, *LINE])),
         keys,
         lambda df: _in_one_task(df, keys, order),
         lambda df: _over_many_tasks(df, keys, order),

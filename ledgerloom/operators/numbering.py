@@ -33,15 +33,15 @@ def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
     return left.join(renamed, cond, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def spread(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
-    """Sorted, written layout with ``_part`` (range index) and ``_pos`` in it."""
+def spread(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], keep: Sequence[str] | None = None) -> DataFrame:
+    """Sorted, written layout with ``_part`` (range index) and ``_pos`` in it; ``keep`` names the columns that are written."""
     cols = [F.col(k) for k in keys] + [F.col(o) if isinstance(o, str) else o for o in order]
     laid = (
         df.repartitionByRange(*cols)
         .sortWithinPartitions(*cols)
         .withColumn("_mid", F.monotonically_increasing_id())
     )
-    laid = cut(laid, "layout")
+    laid = cut(laid if keep is None else laid.select(*dict.fromkeys(keep), "_mid"), "layout")
     return (
         laid.withColumn("_part", F.shiftright("_mid", POSITION_BITS))
         .withColumn("_pos", F.col("_mid").bitwiseAND(F.lit((1 << POSITION_BITS) - 1)))
@@ -97,8 +97,10 @@ def by_group_size(
     large: Callable[[DataFrame], DataFrame],
     limit: int = TASK_ROWS,
 ) -> DataFrame:
-    """``small`` for groups that fit one task, ``large`` for the hot ones."""
+    """``small`` for groups that fit one task, ``large`` for the hot ones; with a limit below 1 all are hot."""
     keys = list(keys)
+    if limit < 1:
+        return large(df)
     hot = cut(
         df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).select(*keys),
         "hot",
