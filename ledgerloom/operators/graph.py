@@ -6,6 +6,7 @@ from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from ledgerloom.operators.clustering import clusters
 from ledgerloom.scratch import cut
@@ -16,11 +17,19 @@ HUB = 100_000
 
 
 def edges(lines: DataFrame, left: str, right: str) -> DataFrame:
-    """Distinct weighted edges in both directions."""
-    one = lines.groupBy(
-        F.concat(F.lit(f"{left}:"), F.col(left).cast("string")).alias("src"),
-        F.concat(F.lit(f"{right}:"), F.col(right).cast("string")).alias("dst"),
-    ).agg(F.count(F.lit(1)).alias("n"), F.sum("amount").alias("amount"))
+    """Distinct weighted edges in both directions, from one written table.
+
+    Whole numbers travel and are written as they are; names are made as the edges are read.
+    """
+    as_text = {c: not isinstance(lines.schema[c].dataType, IntegralType) for c in (left, right)}
+    ends = {name: F.col(c).cast("string") if as_text[c] else F.col(c) for name, c in (("_l", left), ("_r", right))}
+    pairs = lines.groupBy(*[c.alias(name) for name, c in ends.items()]).agg(F.count(F.lit(1)).alias("n"), F.sum("amount").alias("amount"))
+    one = cut(pairs, "edges").select(
+        F.concat(F.lit(f"{left}:"), F.col("_l").cast("string")).alias("src"),
+        F.concat(F.lit(f"{right}:"), F.col("_r").cast("string")).alias("dst"),
+        "n",
+        "amount",
+    )
     return one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n", "amount"))
 
 
