@@ -8,7 +8,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.layout import FIELD_COUNT, FIELD_POSITIONS, fifty_seven_fields, padded_fields
+from ledgerloom.functions.layout import FIELD_COUNT, FIELD_POSITIONS, padded_fields
 from ledgerloom.operators.numbering import join_keys
 
 
@@ -97,7 +97,7 @@ def with_mark(df: DataFrame, ids: DataFrame, key: str, flag: str, at: str, when:
     )
 
 
-def export_rows(
+def export_lines(
     vouchers: DataFrame,
     lines: DataFrame,
     start: date,
@@ -105,7 +105,7 @@ def export_rows(
     journal_types: Sequence[str] | None = None,
     include_exported: bool = False,
 ) -> DataFrame:
-    """57 text columns per voucher line of the selected vouchers.
+    """Lines of the selected vouchers with ``_day``, ``voucher_no`` and only the columns the 57 fields are made of.
 
     ``lines`` have either a ``fields`` array or the named line columns.
     """
@@ -115,21 +115,46 @@ def export_rows(
     if not include_exported:
         picked = picked.where(~F.col("exported"))
     lines = lines.drop("journal_date")
+    used = ["fields"] if "fields" in lines.columns else [c for c in FIELD_POSITIONS if c in lines.columns]
     rows = lines.join(picked.select("voucher_id", F.col("journal_date").alias("_day")), "voucher_id")
-    if "fields" not in lines.columns:
-        present = [c for c in FIELD_POSITIONS if c in lines.columns]
-        rows = rows.withColumn("fields", fifty_seven_fields(F.struct(*present), present))
-    rows = rows.withColumn("fields", padded_fields(F.col("fields")))
-    return rows.select(
-        "_day", "voucher_no", *[F.get("fields", F.lit(i)).alias(f"field_{i:02d}") for i in range(FIELD_COUNT)]
-    )
+    return rows.select("_day", "voucher_no", *used)
+
+
+def _slots(rows: DataFrame) -> list[Column]:
+    """The 57 text columns of ``export_lines`` rows; they are wide, so they are made after the last shuffle."""
+    if "fields" in rows.columns:
+        return [F.get("fields", F.lit(i)) for i in range(FIELD_COUNT)]
+    slots = [F.lit("")] * FIELD_COUNT
+    for name, at in FIELD_POSITIONS.items():
+        if name in rows.columns:
+            slots[at] = F.coalesce(F.col(name).cast("string"), F.lit(""))
+    return slots
+
+
+def export_fields(rows: DataFrame) -> DataFrame:
+    if "fields" in rows.columns:
+        rows = rows.withColumn("fields", padded_fields(F.col("fields")))
+    return rows.select("_day", "voucher_no", *[c.alias(f"field_{i:02d}") for i, c in enumerate(_slots(rows))])
+
+
+def export_rows(
+    vouchers: DataFrame,
+    lines: DataFrame,
+    start: date,
+    end: date,
+    journal_types: Sequence[str] | None = None,
+    include_exported: bool = False,
+) -> DataFrame:
+    """57 text columns per voucher line of the selected vouchers."""
+    return export_fields(export_lines(vouchers, lines, start, end, journal_types, include_exported))
 
 
 def write_export(rows: DataFrame, path: str) -> None:
-    """Headerless CSV part files; ordered by day and voucher over the parts."""
-    rows.repartitionByRange("_day", "voucher_no").sortWithinPartitions("_day", "voucher_no", "field_03").drop(
-        "_day", "voucher_no"
-    ).write.mode("overwrite").option("header", False).option("emptyValue", "").csv(path)
+    """Headerless CSV part files from ``export_lines``; ordered by day and voucher over the parts."""
+    laid = rows.repartitionByRange("_day", "voucher_no").sortWithinPartitions("_day", "voucher_no", _slots(rows)[3])
+    export_fields(laid).drop("_day", "voucher_no").write.mode("overwrite").option("header", False).option(
+        "emptyValue", ""
+    ).csv(path)
 
 
 def log_run(spark: SparkSession, path: str, run: dict) -> None:

@@ -9,7 +9,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.operators.sinks import export_rows, with_mark, write_export
+from ledgerloom.operators.sinks import export_lines, with_mark, write_export
 
 
 class Export(NamedTuple):
@@ -31,7 +31,7 @@ def export_vouchers(
 
     A voucher exported before keeps its date, unless ``include_exported`` writes it again.
     """
-    rows = export_rows(vouchers, lines, start, end, journal_types, include_exported)
+    rows = export_lines(vouchers, lines, start, end, journal_types, include_exported)
     write_export(rows, path)
     count = rows.sparkSession.read.text(path).count()
     if count == 0:

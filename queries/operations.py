@@ -16,7 +16,7 @@ from ledgerloom.operators.sequences import duplicates
 from ledgerloom.plans.exports import export_vouchers
 from ledgerloom.plans.posting import refresh_reports, standard_reports
 from ledgerloom.schemas import TXN_SOURCE, conform
-from ledgerloom.scratch import scratch_path
+from ledgerloom.scratch import cut, scratch_path
 from ledgerloom.sources import readers
 from ledgerloom.sources import tables as S
 from queries.registry import avg6, query
@@ -64,24 +64,20 @@ def b03(spark, root):
 
 
 def export_frames(spark, root):
-    """Finished orders as vouchers; each line as its 57 fields."""
+    """Finished orders as vouchers, and their lines by the names of the 57 fields; both are stored tables, written once."""
     lines = S.journal_lines(spark, root).where("t3 = 'F'")
     number = F.concat(F.col("journal_type"), F.date_format("journal_date", "yyMMdd"), F.col("journal_id").cast("string"))
     named = lines.select(
-        F.col("journal_id").alias("voucher_id"), number.alias("voucher_no"), "journal_date", "journal_type",
-        F.struct(
-            "journal_type", F.lit("SYS").alias("journal_source"), F.col("line_no").alias("journal_line_number"),
-            number.alias("transaction_reference"), "account_code", F.lit("IDR").alias("currency_code"),
-            F.col("amount").alias("transaction_amount"), F.col("dc").alias("d_c_marker"), "t1", "t2",
-        ).alias("l"),
+        F.col("journal_id").alias("voucher_id"), number.alias("voucher_no"), "journal_date",
+        "journal_type", F.lit("SYS").alias("journal_source"), F.col("line_no").alias("journal_line_number"),
+        number.alias("transaction_reference"), "account_code", F.lit("IDR").alias("currency_code"),
+        F.col("amount").alias("transaction_amount"), F.col("dc").alias("d_c_marker"), "t1", "t2",
     )
-    present = ["journal_type", "journal_source", "journal_line_number", "transaction_reference", "account_code",
-               "currency_code", "transaction_amount", "d_c_marker", "t1", "t2"]
-    body = named.select("voucher_id", "voucher_no", fifty_seven_fields(F.col("l"), present).alias("fields"))
-    heads = named.select("voucher_id", "journal_date", "journal_type", "voucher_no").distinct().withColumn(
+    named = cut(named, "export-lines")
+    heads = cut(named.select("voucher_id", "journal_date", "journal_type", "voucher_no").distinct(), "export-heads").withColumn(
         "exported", F.col("voucher_id") % 4 == 0
     ).withColumn("export_date", F.lit(None).cast("timestamp_ntz"))
-    return heads, body
+    return heads, named.drop("journal_date")
 
 
 @query(
