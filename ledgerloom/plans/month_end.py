@@ -290,7 +290,9 @@ def publish(staged: Staged, results: DataFrame, target: str, batch_id: str) -> b
         return False
     posted = staged.headers.withColumn("status", F.lit("POSTED"))
     for name, df in (("headers", posted), ("lines", staged.lines)):
-        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(
+        # All rows are of this batch: as a literal the partition column asks for no sort of the rows.
+        one = df.withColumn("batch_id", F.lit(batch_id))
+        one.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(
             f"{target}/{name}"
         )
     spark = staged.headers.sparkSession
