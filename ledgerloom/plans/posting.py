@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators import ledger, reports, sinks
 from ledgerloom.operators.ledger import monthly_movement, roll_forward
-from ledgerloom.plans.templates import Catalogue, expand_transactions
+from ledgerloom.plans.templates import Catalogue, Expanded, expand_transactions
 
 
 class Posted(NamedTuple):
@@ -24,6 +24,19 @@ class UnbalancedError(ValueError):
     """A template with mode ERROR produced entries out of balance."""
 
 
+def refuse_faults(out: Expanded, run_id: str) -> None:
+    """Fails for entries out of balance, then for transactions without a template; one job for both.
+
+    All rows have to be seen where there is no fault, so they are counted by all tasks at once.
+    """
+    faults = out.unbalanced.select(F.lit("unbalanced").alias("f")).unionAll(out.unmatched.select(F.lit("unmatched").alias("f")))
+    found = {r.f for r in faults.groupBy("f").count().collect()}
+    if "unbalanced" in found:
+        raise UnbalancedError(f"run {run_id} has entries out of balance")
+    if found:
+        raise ValueError(f"run {run_id} has transactions without a template")
+
+
 def post_month(
     txn: DataFrame,
     catalogue: Catalogue,
@@ -42,10 +55,7 @@ def post_month(
     spark = txn.sparkSession
     run_id = run_id or uuid.uuid4().hex
     out = expand_transactions(txn, catalogue, run_id)
-    if not out.unbalanced.isEmpty():
-        raise UnbalancedError(f"run {run_id} has entries out of balance")
-    if not out.unmatched.isEmpty():
-        raise ValueError(f"run {run_id} has transactions without a template")
+    refuse_faults(out, run_id)
     stage = f"{target}/staging"
     for name, df in (("headers", out.headers), ("lines", out.lines)):
         sinks.replace_run(df, f"{stage}/{name}", run_id)
@@ -58,7 +68,7 @@ def post_month(
     former = _first_month(spark, f"{target}/ledger_headers", sinks.with_month(out.headers).schema, run_id)
     sinks.replace_run(sinks.with_month(headers), f"{target}/ledger_headers", run_id, ["je_month"], ["je_date", "je_number"])
     sinks.post_lines(lines, f"{target}/ledger_lines", run_id)
-    months = [m for m in (former, headers.agg(F.trunc(F.min("je_date"), "MM").cast("date")).first()[0]) if m]
+    months = [m for m in (former, _first_month(spark, f"{target}/ledger_headers", sinks.with_month(out.headers).schema, run_id)) if m]
     schema = sinks.with_month(out.lines).schema
     if months:
         _roll(spark, target, min(months), schema, prior)

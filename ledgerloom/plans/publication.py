@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators import sinks, versions
 from ledgerloom.operators.ledger import monthly_movement, roll_forward
-from ledgerloom.plans.posting import Posted, UnbalancedError
+from ledgerloom.plans.posting import Posted, refuse_faults
 from ledgerloom.plans.templates import Catalogue, TableCatalogue, expand_transactions
 from ledgerloom.scratch import cut
 
@@ -25,10 +25,7 @@ def publish_month(txn: DataFrame, catalogue: Catalogue | TableCatalogue, target:
     spark = txn.sparkSession
     number, parts = versions.current(spark, target)
     out = expand_transactions(txn, catalogue, run_id)
-    if not out.unbalanced.isEmpty():
-        raise UnbalancedError(f"run {run_id} has entries out of balance")
-    if not out.unmatched.isEmpty():
-        raise ValueError(f"run {run_id} has transactions without a template")
+    refuse_faults(out, run_id)
     headers, lines = sinks.with_month(out.headers), sinks.with_month(out.lines)
     held = versions.read(spark, target, "headers", headers.schema, number, leave=(run_id,)).select("je_number").distinct()
     headers, lines = (cut(df.join(held, "je_number", "left_anti").select(*df.columns), "posting") for df in (headers, lines))

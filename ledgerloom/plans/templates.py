@@ -358,17 +358,17 @@ def _by_tables(txn: DataFrame, catalogue: TableCatalogue) -> tuple[DataFrame, Da
 def _expanded(matched: DataFrame, entries: Column, diff: Column, unmatched: DataFrame, run_id: str, created_by: str) -> Expanded:
     base = matched.withColumn("je_number", C.je_number(F.col("bank_value_date"), F.col("source_rowid"))).withColumn(
         "je_date", F.col("bank_value_date")
-    )
+    ).withColumn("je_id", C.stable_key(F.col("je_number")))  # below the explode of the lines: one digest a transaction
     stamp = [F.lit(run_id).alias("run_id"), F.lit(created_by).alias("created_by")]
     headers = base.select(
-        C.stable_key(F.col("je_number")).alias("je_id"), "je_number", "je_date", "je_type", "source_rowid",
+        "je_id", "je_number", "je_date", "je_type", "source_rowid",
         "template_code", "template_version", *stamp,
     )
     lines = (
         base.withColumn("e", F.explode_outer(entries))
         .where(F.col("e.amount") != 0)
         .select(
-            C.stable_key(F.col("je_number")).alias("je_id"), "je_number", "e.*", "product_code", "channel",
+            "je_id", "je_number", "e.*", "product_code", "channel",
             "je_date", "template_code", "template_version", stamp[0],
         )
     )
