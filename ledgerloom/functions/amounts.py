@@ -29,6 +29,16 @@ def same_currency_difference(a: Column, cur_a: Column, b: Column, cur_b: Column)
     return F.when((cur_a == cur_b) & (a >= b), (a - b).cast(MONEY))
 
 
+def mean_of(total: Column, count: Column, scale: int = 2) -> Column:
+    """Mean of ``count`` amounts with ``scale`` decimals and this total, as ``avg`` rounds it to four more; NULL for none."""
+    n = F.nullif(count, F.lit(0)).cast("decimal(20,0)")
+    units = (F.abs(total) * F.lit(10 ** (scale + 4)).cast(f"decimal({scale + 5},0)")).cast("decimal(38,0)")
+    rest = units % n
+    whole = ((units - rest) / n).cast("decimal(38,0)") + F.when(rest * 2 >= n, 1).otherwise(0)
+    unit = F.lit(f"{10.0 ** -(scale + 4):.{scale + 4}f}").cast(f"decimal({scale + 4},{scale + 4})")
+    return F.when(total < 0, -whole).otherwise(whole) * unit
+
+
 def first_digit(amount: Column) -> Column:
     """Leading character as a digit 1-9, NULL for 0.x and negative amounts."""
     lead = F.substring(amount.cast("string"), 1, 1)

@@ -13,7 +13,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.scratch import cut
+from ledgerloom.scratch import cut, small_side
 
 # monotonically_increasing_id(): partition index above, position in the low 33 bits.
 POSITION_BITS = 33
@@ -136,30 +136,47 @@ def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -
     return best.select(*keys, *[F.col("_b")[c].alias(c) for c in rest])
 
 
+def _steps(value: str) -> Column:
+    """Whole number that never falls as the value grows: sixteen to a doubling, some 75,000 over all numbers there are."""
+    v = F.col(value).cast("double")
+    step = F.floor(F.least(F.log2(F.abs(v)) * 16, F.lit(20_000.0))) + 20_001
+    return F.when(v > 0, step).when(v < 0, -step).otherwise(F.lit(0).cast("bigint"))
+
+
 def quantile_cont(
-    df: DataFrame, keys: Sequence[str], value: str, q: float = 0.5, column: str = "median"
+    df: DataFrame, keys: Sequence[str], value: str, q: float = 0.5, column: str = "median", stored: bool = False
 ) -> DataFrame:
     """Exact interpolated quantile per key, safe for hot keys.
 
-    Equal values are counted first; ranks come from prefix counts over the
-    range layout, so only two rows per key are picked in the end.
+    Rows are counted by coarse steps of the value first, so only those of the one or two steps that hold the
+    quantile are counted by value; ranks come from prefix counts over the range layout, so only two rows per key are
+    picked in the end. The values are read twice: ``stored`` says that ``df`` is a written table, otherwise they are written.
     """
     keys = list(keys)
-    counted = (
-        df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-    )
+    known = df.where(F.col(value).isNotNull()).select(*keys, value)
+    if not stored:
+        known = cut(known, "values")
+    known = known.withColumn("_step", _steps(value))
+    target = (F.col("_total") - 1).cast("decimal(20,0)") * F.lit(str(q)).cast("decimal(9,8)")
+    low, high = F.floor(target), F.ceil(target)
+    holds = ((F.col("_lo") <= low) & (low < F.col("_hi"))) | ((F.col("_lo") <= high) & (high < F.col("_hi")))
+    whole = Window.partitionBy(*keys)  # a key has a bounded number of steps
+    coarse = known.groupBy(*keys, "_step").agg(F.count(F.lit(1)).alias("_n"))
+    coarse = coarse.withColumn("_hi", F.sum("_n").over(whole.orderBy("_step"))).withColumn("_total", F.sum("_n").over(whole))
+    coarse = coarse.withColumn("_lo", F.col("_hi") - F.col("_n"))
+    picked = cut(coarse.where(holds).select(*keys, "_step", "_lo", "_total"), "steps")
+    near = join_keys(known, small_side(picked.select(*keys, "_step")), [*keys, "_step"], "left_semi")
+    counted = near.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
     laid = spread(counted, keys, [value])
     within = Window.partitionBy(*keys, "_part").orderBy("_pos")
     local = laid.withColumn("_upto", F.sum("_c").over(within))
     sizes = laid.groupBy(*keys, "_part").agg(F.sum("_c").alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*keys)
-    offsets = sizes.select(
-        *keys,
-        "_part",
-        F.coalesce(F.sum("_n").over(before), F.lit(0).cast("bigint")).alias("_before"),
-        F.sum("_n").over(whole).alias("_total"),
-    )
+    # No row lies between two picked steps, so a key's picked rows follow those below its first one.
+    below = picked.groupBy(*keys).agg(F.min("_lo").alias("_below"), F.max("_total").alias("_total"))
+    offsets = join_keys(
+        sizes.select(*keys, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0).cast("bigint")).alias("_before")), below, keys
+    ).select(*keys, "_part", (F.col("_before") + F.col("_below")).alias("_before"), "_total")
     ranked = join_keys(local, offsets, [*keys, "_part"]).select(
         *keys,
         value,
@@ -167,11 +184,6 @@ def quantile_cont(
         (F.col("_before") + F.col("_upto")).alias("_hi"),
         "_total",
     )
-    target = (F.col("_total") - 1).cast("decimal(20,0)") * F.lit(str(q)).cast("decimal(9,8)")
-    low, high = F.floor(target), F.ceil(target)
-    hits = ranked.where(
-        ((F.col("_lo") <= low) & (low < F.col("_hi")))
-        | ((F.col("_lo") <= high) & (high < F.col("_hi")))
-    ).withColumn("_frac", target - low)
+    hits = ranked.where(holds).withColumn("_frac", target - low)
     a, b = F.min(value), F.max(value)
     return hits.groupBy(*keys).agg((a + (b - a) * F.max("_frac")).alias(column))

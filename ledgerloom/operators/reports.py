@@ -6,8 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType
 
-from ledgerloom.operators.numbering import TASK_ROWS, number_in_groups, quantile_cont
+from ledgerloom.functions import amounts as A
+from ledgerloom.operators.numbering import TASK_ROWS, join_keys, number_in_groups, quantile_cont
+from ledgerloom.scratch import cut
 
 PAIR = ["trx_date", "account_debit", "account_credit"]
 
@@ -179,27 +182,69 @@ def bucketed_lines(totals: DataFrame, buckets: int = 100) -> DataFrame:
     )
 
 
+def _amount_sums(n: str) -> list[Column]:
+    """Row count ``n`` and what total and mean of the amounts are made of, before codes are folded."""
+    return [F.count(F.lit(1)).alias(n), F.sum("amount").alias("_sum"), F.count("amount").alias("_known")]
+
+
+def _total(df: DataFrame) -> Column:
+    """Sum of the partial sums in the type of a sum over the rows of ``df``."""
+    return F.sum("_sum").cast(df.agg(F.sum("amount").alias("s")).schema["s"].dataType)
+
+
+def _mean(df: DataFrame, value: str = "amount") -> Column:
+    """Mean over the rows of ``df`` from partial sums and counts, with type and rounding of ``avg``."""
+    kind, mean = df.schema[value].dataType, df.agg(F.avg(value).alias("m")).schema["m"].dataType
+    if isinstance(kind, DecimalType):
+        return A.mean_of(F.sum("_sum"), F.sum("_known"), kind.scale).cast(mean)
+    return F.sum("_sum") / F.nullif(F.sum("_known"), F.lit(0))
+
+
 def journal_daily_summary(journals: DataFrame) -> DataFrame:
-    return journals.groupBy("journal_date", "journal_type").agg(
-        F.count(F.lit(1)).alias("entry_count"),
-        F.count_distinct("source_rowid").alias("unique_sources"),
-        F.count_if(F.col("voucher_id").isNull()).alias("unvouchered_count"),
-        F.count_if(F.col("voucher_id").isNotNull()).alias("vouchered_count"),
-        F.sum("amount").alias("total_amount"),
-        F.avg("amount").alias("avg_amount"),
+    """Counted per status first, so that codes are listed from a few rows; sources are told apart on their own."""
+    keys = ["journal_date", "journal_type"]
+    cells = journals.groupBy(*keys, "status").agg(
+        *_amount_sums("entry_count"),
+        F.count("voucher_id").alias("vouchered_count"),
         F.min("created_date").alias("first_created"),
         F.max("created_date").alias("last_created"),
+    )
+    days = cells.groupBy(*keys).agg(
+        F.sum("entry_count").alias("entry_count"),
+        F.sum("vouchered_count").alias("vouchered_count"),
+        _total(journals).alias("total_amount"),
+        _mean(journals).alias("avg_amount"),
+        F.min("first_created").alias("first_created"),
+        F.max("last_created").alias("last_created"),
         code_list("status").alias("statuses"),
     )
+    sources = journals.where(F.col("source_rowid").isNotNull()).select(*keys, "source_rowid").distinct()
+    sources = sources.groupBy(*keys).agg(F.count(F.lit(1)).alias("unique_sources"))
+    return join_keys(days, sources, keys, "left").select(
+        *keys,
+        "entry_count",
+        F.coalesce("unique_sources", F.lit(0).cast("bigint")).alias("unique_sources"),
+        (F.col("entry_count") - F.col("vouchered_count")).alias("unvouchered_count"),
+        "vouchered_count",
+        "total_amount",
+        "avg_amount",
+        "first_created",
+        "last_created",
+        "statuses",
+    )
 
 
 def account_balance_summary(gl: DataFrame) -> DataFrame:
-    return gl.groupBy("trx_date", "acc_debit", "acc_credit").agg(
-        F.count(F.lit(1)).alias("transaction_count"),
-        F.sum("amount").alias("total_amount"),
-        F.avg("amount").alias("avg_amount"),
-        F.min("amount").alias("min_amount"),
-        F.max("amount").alias("max_amount"),
+    """Counted per combination of codes first, so that codes are listed from a few rows."""
+    cells = gl.groupBy("trx_date", "acc_debit", "acc_credit", "t_1", "t_2", "t_3").agg(
+        *_amount_sums("transaction_count"), F.min("amount").alias("min_amount"), F.max("amount").alias("max_amount")
+    )
+    return cells.groupBy("trx_date", "acc_debit", "acc_credit").agg(
+        F.sum("transaction_count").alias("transaction_count"),
+        _total(gl).alias("total_amount"),
+        _mean(gl).alias("avg_amount"),
+        F.min("min_amount").alias("min_amount"),
+        F.max("max_amount").alias("max_amount"),
         code_list("t_1").alias("t1_codes"),
         code_list("t_2").alias("t2_codes"),
         code_list("t_3").alias("t3_codes"),
@@ -208,41 +253,51 @@ def account_balance_summary(gl: DataFrame) -> DataFrame:
 
 def voucher_summary(vouchers: DataFrame) -> DataFrame:
     """``vouchers``: journal_date, journal_type, voucher_no, line_count."""
-    return vouchers.groupBy("journal_date", "journal_type").agg(
-        F.count(F.lit(1)).alias("voucher_count"),
-        F.count_distinct("voucher_no").alias("unique_vouchers"),
+    numbers = vouchers.groupBy("journal_date", "journal_type", "voucher_no").agg(
+        F.count(F.lit(1)).alias("voucher_count"), F.sum("line_count").alias("_sum"), F.count("line_count").alias("_known")
+    )
+    return numbers.groupBy("journal_date", "journal_type").agg(
+        F.sum("voucher_count").alias("voucher_count"),
+        F.count("voucher_no").alias("unique_vouchers"),
         F.min("voucher_no").alias("first_voucher"),
         F.max("voucher_no").alias("last_voucher"),
-        F.sum("line_count").alias("total_lines"),
-        F.avg("line_count").alias("avg_lines_per_voucher"),
+        F.sum("_sum").alias("total_lines"),
+        _mean(vouchers, "line_count").alias("avg_lines_per_voucher"),
     )
 
 
-def tcode_analysis(gl: DataFrame, exact: bool = True) -> DataFrame:
+def tcode_analysis(gl: DataFrame, exact: bool = True, stored: bool = False) -> DataFrame:
     """Month and t-code statistics with the median amount.
 
-    ``exact=False`` takes the sketch median in the same pass.
+    ``exact=False`` takes the sketch median in the same pass. The exact one reads the rows again: they are written
+    once, unless ``stored`` says that ``gl`` is a written table.
     """
-    keyed = gl.withColumn("month", F.trunc("trx_date", "MM").cast("date"))
     keys = ["month", "t_1", "t_2", "t_3"]
-    aggs = [
-        F.count(F.lit(1)).alias("transaction_count"),
-        F.sum("amount").alias("total_amount"),
-        F.count_distinct("acc_debit").alias("unique_debit_accounts"),
-        F.count_distinct("acc_credit").alias("unique_credit_accounts"),
-        F.avg("amount").alias("avg_transaction_amount"),
-    ]
+    keyed = gl.select(
+        F.trunc("trx_date", "MM").cast("date").alias("month"), "t_1", "t_2", "t_3", "acc_debit", "acc_credit", "amount"
+    )
     if not exact:
         return keyed.groupBy(*keys).agg(
-            *aggs, F.percentile_approx("amount", 0.5, 10000).alias("median_amount")
+            F.count(F.lit(1)).alias("transaction_count"),
+            F.sum("amount").alias("total_amount"),
+            F.count_distinct("acc_debit").alias("unique_debit_accounts"),
+            F.count_distinct("acc_credit").alias("unique_credit_accounts"),
+            F.avg("amount").alias("avg_transaction_amount"),
+            F.percentile_approx("amount", 0.5, 10000).alias("median_amount"),
         )
-    stats = keyed.groupBy(*keys).agg(*aggs)
-    median = quantile_cont(keyed.select(*keys, "amount"), keys, "amount", column="median_amount")
-    other = median.select(*[F.col(k).alias(f"m_{k}") for k in keys], "median_amount")
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & F.col(k).eqNullSafe(F.col(f"m_{k}"))
-    return stats.join(other, cond, "left").drop(*[f"m_{k}" for k in keys])
+    if not stored:
+        keyed = cut(keyed, "tcodes")
+    # Account pairs are counted first, so that accounts are told apart among a few rows.
+    pairs = keyed.groupBy(*keys, "acc_debit", "acc_credit").agg(*_amount_sums("transaction_count"))
+    stats = pairs.groupBy(*keys).agg(
+        F.sum("transaction_count").alias("transaction_count"),
+        _total(keyed).alias("total_amount"),
+        F.count_distinct("acc_debit").alias("unique_debit_accounts"),
+        F.count_distinct("acc_credit").alias("unique_credit_accounts"),
+        _mean(keyed).alias("avg_transaction_amount"),
+    )
+    median = quantile_cont(keyed.select(*keys, "amount"), keys, "amount", column="median_amount", stored=True)
+    return join_keys(stats, median, keys, "left")
 
 
 def processing_metrics(journals: DataFrame) -> DataFrame:

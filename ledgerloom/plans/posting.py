@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ledgerloom.operators import ledger, reports, sinks
 from ledgerloom.operators.ledger import monthly_movement, roll_forward
 from ledgerloom.plans.templates import Catalogue, Expanded, expand_transactions
+from ledgerloom.scratch import cut
 
 
 class Posted(NamedTuple):
@@ -128,11 +129,15 @@ def standard_reports(
     payloads: DataFrame | None = None,
     as_of: Column | None = None,
 ) -> dict[str, DataFrame]:
-    """The summary tables by name; ``vouchers`` and ``payloads`` (see the two reports) add theirs."""
+    """The summary tables by name; ``vouchers`` and ``payloads`` (see the two reports) add theirs.
+
+    The ledger rows are written once, with the columns the reports use.
+    """
+    gl = cut(gl.select("trx_date", "acc_debit", "acc_credit", "t_1", "t_2", "t_3", "amount"), "report-ledger")
     jobs = {
         "journal_daily_summary": reports.journal_daily_summary(journals),
         "account_balance": reports.account_balance_summary(gl),
-        "tcode_analysis": reports.tcode_analysis(gl),
+        "tcode_analysis": reports.tcode_analysis(gl, stored=True),
         "processing_metrics": reports.processing_metrics(journals),
     }
     if vouchers is not None:
