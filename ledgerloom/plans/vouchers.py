@@ -8,13 +8,16 @@ first line, lines consolidated by account, side, t1 and t2).
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import codes as C
 from ledgerloom.operators.numbering import join_keys
+from ledgerloom.scratch import cut, small_side
 
 # The fields that make one voucher, and those of one of its lines.
 GROUP_FIELDS = [
@@ -31,6 +34,10 @@ FIRST_LINE_RATE = "1"
 DAY_TYPE = ["setting_type", "journal_date"]
 
 
+# Groups up to this number are broadcast as three numbers each, some 40 MB.
+HASHED_GROUPS = 500_000
+
+
 class Vouchers(NamedTuple):
     vouchers: DataFrame
     lines: DataFrame
@@ -97,27 +104,60 @@ def build_vouchers(
     raise ValueError(f"unknown grouping {grouping}")
 
 
+def _group_hash(keys: list[str]) -> Column:
+    """64 bits of the key fields and of which of them are NULL."""
+    missing = [F.when(F.col(k).isNull(), 1 << i).otherwise(0) for i, k in enumerate(keys)]
+    return F.xxhash64(*keys, reduce(add, missing))
+
+
+def _grouped(lines: DataFrame, keys: list[str], order: list[Column], existing: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Numbered groups with an ``_id``, written once, and the lines with ``seq`` and ``_id`` of their group.
+
+    Lines find their group by its hash, in place where the groups are few. Every line's group is in the table, so this
+    is exact if no two groups there share a hash; if some do, lines are joined by the fields.
+    """
+    # Counting first aggregates by hash; a least text alone would sort all lines.
+    named = lines.groupBy(*keys, "setting_description").agg(F.count(F.lit(1)).alias("_lines"))
+    named = named.groupBy(*keys).agg(F.min("setting_description").alias("setting_description"), F.sum("_lines").alias("_lines"))
+    groups = _numbered(named, order, existing)
+    groups = groups.withColumns({"_id": F.monotonically_increasing_id(), "_hash": _group_hash(keys)})
+    groups = cut(groups, "groups")
+    if groups.groupBy("_hash").count().where("count > 1").isEmpty():
+        found = small_side(groups.select("_hash", "seq", "_id"), HASHED_GROUPS)
+        placed = lines.withColumn("_hash", _group_hash(keys)).join(found, "_hash")
+    else:
+        placed = join_keys(lines, groups.select(*keys, "seq", "_id"), keys)
+    return groups.drop("_hash", "_lines"), placed.select(*lines.columns, "seq", "_id")
+
+
 def _by_fields(lines: DataFrame, existing: DataFrame | None, split: bool) -> Vouchers:
     keys = [*DAY_TYPE, *GROUP_FIELDS]
     order = [F.col(c).cast("string") for c in GROUP_FIELDS]
-    groups = lines.groupBy(*keys).agg(F.min("setting_description").alias("setting_description"))
-    groups = _numbered(groups, order, existing)
-    placed = _with_group(lines, groups, keys)
-    first = placed.groupBy("journal_id").agg(F.min("seq").alias("first_seq"))
-    owned = join_keys(placed, first, ["journal_id"])
-    kept = owned if split else owned.where(F.col("seq") == F.col("first_seq"))
-    orphans = lines.limit(0) if split else owned.where(F.col("seq") != F.col("first_seq"))
-    summed = kept.groupBy(*keys, "seq", *LINE_FIELDS).agg(
+    groups, placed = _grouped(lines, keys, order, existing)
+    if split:
+        kept, orphans = placed, lines.limit(0)
+    else:
+        first = placed.groupBy("journal_id").agg(F.min("seq").alias("first_seq"))
+        owned = join_keys(placed, first, ["journal_id"])
+        kept = owned.where(F.col("seq") == F.col("first_seq"))
+        orphans = owned.where(F.col("seq") != F.col("first_seq")).drop("_id")
+    # The fields of a group come back after the sums; until then a line has its group's number alone.
+    summed = kept.groupBy("_id", *LINE_FIELDS).agg(
         F.sum("transaction_amount").alias("transaction_amount"), F.sum("base_amount").alias("base_amount")
     )
     headers = _headers(groups)
-    out = summed.join(
+    heads = groups.join(
         headers.select(
             F.col("journal_type").alias("setting_type"), "journal_date", "seq", "voucher_id", "voucher_no",
             F.col("voucher_no").alias("transaction_reference"), "description",
         ),
         [*DAY_TYPE, "seq"],
-    ).withColumns({c: F.round(c, 2).cast("decimal(30,2)") for c in ("transaction_amount", "base_amount")})
+    )
+    out = summed.join(heads, "_id").select(
+        *DAY_TYPE, "seq", *GROUP_FIELDS, *LINE_FIELDS,
+        *[F.round(c, 2).cast("decimal(30,2)").alias(c) for c in ("transaction_amount", "base_amount")],
+        "voucher_id", "voucher_no", "transaction_reference", "description",
+    )
     links = join_keys(
         placed.groupBy("journal_id", *DAY_TYPE).agg(F.min("seq").alias("seq")),
         headers.select(F.col("journal_type").alias("setting_type"), "journal_date", "seq", "voucher_id"),
