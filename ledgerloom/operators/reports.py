@@ -234,11 +234,16 @@ def journal_daily_summary(journals: DataFrame) -> DataFrame:
     )
 
 
-def account_balance_summary(gl: DataFrame) -> DataFrame:
-    """Counted per combination of codes first, so that codes are listed from a few rows."""
-    cells = gl.groupBy("trx_date", "acc_debit", "acc_credit", "t_1", "t_2", "t_3").agg(
+def ledger_cells(gl: DataFrame) -> DataFrame:
+    """Counts and sums per day, account pair and codes, from which both ledger reports are folded."""
+    return gl.groupBy("trx_date", "acc_debit", "acc_credit", "t_1", "t_2", "t_3").agg(
         *_amount_sums("transaction_count"), F.min("amount").alias("min_amount"), F.max("amount").alias("max_amount")
     )
+
+
+def account_balance_summary(gl: DataFrame, cells: DataFrame | None = None) -> DataFrame:
+    """Folded from ``ledger_cells`` (``cells``, if they are at hand), so that codes are listed from a few rows."""
+    cells = ledger_cells(gl) if cells is None else cells
     return cells.groupBy("trx_date", "acc_debit", "acc_credit").agg(
         F.sum("transaction_count").alias("transaction_count"),
         _total(gl).alias("total_amount"),
@@ -266,16 +271,15 @@ def voucher_summary(vouchers: DataFrame) -> DataFrame:
     )
 
 
-def tcode_analysis(gl: DataFrame, exact: bool = True, stored: bool = False) -> DataFrame:
+def tcode_analysis(gl: DataFrame, exact: bool = True, stored: bool = False, cells: DataFrame | None = None) -> DataFrame:
     """Month and t-code statistics with the median amount.
 
     ``exact=False`` takes the sketch median in the same pass. The exact one reads the rows again: they are written
-    once, unless ``stored`` says that ``gl`` is a written table.
+    once, unless ``stored`` says that ``gl`` is a written table. ``cells``: the ``ledger_cells`` of ``gl``, if they are at hand.
     """
     keys = ["month", "t_1", "t_2", "t_3"]
-    keyed = gl.select(
-        F.trunc("trx_date", "MM").cast("date").alias("month"), "t_1", "t_2", "t_3", "acc_debit", "acc_credit", "amount"
-    )
+    month = F.trunc("trx_date", "MM").cast("date").alias("month")
+    keyed = gl.select(month, "t_1", "t_2", "t_3", "acc_debit", "acc_credit", "amount")
     if not exact:
         return keyed.groupBy(*keys).agg(
             F.count(F.lit(1)).alias("transaction_count"),
@@ -288,7 +292,10 @@ def tcode_analysis(gl: DataFrame, exact: bool = True, stored: bool = False) -> D
     if not stored:
         keyed = cut(keyed, "tcodes")
     # Account pairs are counted first, so that accounts are told apart among a few rows.
-    pairs = keyed.groupBy(*keys, "acc_debit", "acc_credit").agg(*_amount_sums("transaction_count"))
+    if cells is None:
+        pairs = keyed.groupBy(*keys, "acc_debit", "acc_credit").agg(*_amount_sums("transaction_count"))
+    else:
+        pairs = cells.withColumn("month", month)
     stats = pairs.groupBy(*keys).agg(
         F.sum("transaction_count").alias("transaction_count"),
         _total(keyed).alias("total_amount"),

@@ -131,13 +131,14 @@ def standard_reports(
 ) -> dict[str, DataFrame]:
     """The summary tables by name; ``vouchers`` and ``payloads`` (see the two reports) add theirs.
 
-    The ledger rows are written once, with the columns the reports use.
+    The ledger rows are written once, with the columns the reports use, and so are their counts and sums.
     """
     gl = cut(gl.select("trx_date", "acc_debit", "acc_credit", "t_1", "t_2", "t_3", "amount"), "report-ledger")
+    cells = cut(reports.ledger_cells(gl), "report-cells")
     jobs = {
         "journal_daily_summary": reports.journal_daily_summary(journals),
-        "account_balance": reports.account_balance_summary(gl),
-        "tcode_analysis": reports.tcode_analysis(gl, stored=True),
+        "account_balance": reports.account_balance_summary(gl, cells),
+        "tcode_analysis": reports.tcode_analysis(gl, stored=True, cells=cells),
         "processing_metrics": reports.processing_metrics(journals),
     }
     if vouchers is not None:

@@ -113,11 +113,12 @@ def e04(spark, root):
 
 
 def finished_vouchers(spark, root):
-    """One voucher per finished order with its line count."""
-    lines = S.journal_lines(spark, root).where("t3 = 'F'")
-    return lines.groupBy("journal_date", "journal_type", "journal_id").agg(
-        F.count(F.lit(1)).alias("line_count")
-    ).withColumn(
+    """One voucher per finished order with its line count; lines are counted before they meet their order."""
+    counts = S.table(spark, root, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
+    done = S.journals(spark, root).where("status = 'F'")
+    return done.join(counts, F.col("id") == F.col("l_orderkey")).groupBy(
+        "journal_date", "journal_type", F.col("l_orderkey").alias("journal_id")
+    ).agg(F.sum("n").alias("line_count")).withColumn(
         "voucher_no",
         F.concat(F.col("journal_type"), F.date_format("journal_date", "yyMMdd"), F.lpad(F.col("journal_id").cast("string"), 9, "0")),
     )
