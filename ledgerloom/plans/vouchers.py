@@ -34,7 +34,7 @@ FIRST_LINE_RATE = "1"
 DAY_TYPE = ["setting_type", "journal_date"]
 
 
-# Groups up to this number are broadcast as three numbers each, some 40 MB.
+# Groups up to this number are broadcast as three numbers each, some 60 MB.
 HASHED_GROUPS = 500_000
 
 
